@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, toxicity
+from . import bpe, decontaminate, shard, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -32,11 +32,17 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(docs, tokenizer_path(WORD_BPE)).drop("text")
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
+    "op4_sharding": op4_sharding,
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
+    "op4_sharding": shard.ORACLE,
 }
