@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, shard, toxicity
+from . import bpe, decontaminate, shard, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -36,13 +36,19 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
+    "op9_topk": op9_topk,
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op4_sharding": shard.ORACLE,
+    "op9_topk": topk.ORACLE,
 }
