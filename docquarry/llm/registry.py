@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm, near, shard, topk, toxicity
+from . import bpe, decontaminate, lm, near, pii, shard, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -48,11 +48,16 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
+    "op6_pii": op6_pii,
     "op7_near_dedup": op7_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_topk": op9_topk,
