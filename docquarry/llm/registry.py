@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, lm, near, pii, shard, topk, toxicity
+from . import bpe, count, decontaminate, lm, near, pii, shard, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return count.count_tokens(docs, count.pieces_of(tokenizer_path(PIECES))).drop("text")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -61,6 +67,7 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
     "op9_topk": op9_topk,
+    "op10_token_counts": op10_token_counts,
 }
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
