@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, count, decontaminate, lm, near, pii, shard, topk, toxicity
+from . import bpe, count, decontaminate, licenses, lm, near, pii, shard, topk, toxicity
 
 WORD_BPE = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
@@ -58,11 +58,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count.count_tokens(docs, count.pieces_of(tokenizer_path(PIECES))).drop("text")
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_bpe": op3_bpe,
     "op4_sharding": op4_sharding,
+    "op5_licenses": op5_licenses,
     "op6_pii": op6_pii,
     "op7_near_dedup": op7_near_dedup,
     "op8_lm_scoring": op8_lm_scoring,
@@ -72,5 +77,6 @@ QUERIES = {
 ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op4_sharding": shard.ORACLE,
+    "op5_licenses": licenses.ORACLE,
     "op9_topk": topk.ORACLE,
 }
