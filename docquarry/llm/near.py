@@ -15,14 +15,16 @@ Steps, none of which brings a group of documents together in one task:
 2. Each node gets BANDS hashes, each over ROWS consistent weighted samples.  At
    a weighted Jaccard similarity of 0.8 two texts share one with probability
    1 - (1 - 0.8**4)**12 = 0.998.
-3. A bucket (band, hash) has a hub: the member that meets most others in all
-   its buckets, which in a group of edited copies is the original.  Members are
-   linked to it, never to each other, so candidates grow with members.
-4. Candidates are verified on the whole texts: weighted Jaccard >= THRESHOLD.
-5. Components of the verified links are contracted.  In the next phase the hub
-   is taken from a class of the bucket that had none yet, and linked to all
-   members of other classes; this goes on until no link is left to test, or
-   IDLE_PHASES phases in all have joined nothing.
+3. A bucket (band, hash) of more than BLOCK_MEMBERS nodes is dealt out by hash
+   to blocks of about so many.  Within a block the samples of every two members
+   are compared in memory; what leaves it are few links: those of a spanning
+   forest that takes the most similar pairs first (estimate >= LEAST_ESTIMATE),
+   and in a second phase, after step 5, each member's PARTNERS most similar
+   members of other classes, blocks being dealt anew.  In a bucket of several
+   blocks all members are also linked to its hub, the member with the most
+   bucket fellows, which in a group of edited copies is the original.
+4. Links are verified on the whole texts: weighted Jaccard >= THRESHOLD.
+5. Components of the verified links are contracted.
 6. The class id is the smallest id of all rows of the component.
 
 Defined cases: a null text, or one that no other equals or resembles, is a
@@ -43,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .arrow import BLOCK, counter_sum, sliced, unpacked
 from .graph import components
-from .storage import drop, written
+from .storage import written
 from .text import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -52,7 +54,11 @@ BANDS, ROWS = 12, 4
 RARE = 1024
 DAMPING = 0.25
 BUCKET_BITS = 22
-IDLE_PHASES = 2
+BLOCK_MEMBERS = 256
+#: At a similarity of 0.8 the estimate from 48 samples is below this with probability 1e-5.
+LEAST_ESTIMATE = 0.55
+PARTNERS = 3
+PHASES = 2
 #: Shingles that are sampled at once.
 CHUNK = 512
 
@@ -165,42 +171,97 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> Weights:
 
 
 def sketched(docs: DataFrame, weights, row_id: str, text: str) -> DataFrame:
-    """(id, key, b0, b1, ...): the key of the text and its band hashes; null without words."""
-    names = [f"b{i}" for i in range(BANDS)]
+    """(id, key, bands, sketch): the key of the text, its band hashes and its samples (32 bits of each); null without words."""
     given = docs.select(F.col(f"`{row_id}`").alias("id"), F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = weights.value
         for batch in sliced(batches):
-            hashes = np.zeros((batch.num_rows, BANDS), np.int64)
-            none = np.zeros(batch.num_rows, bool)
-            for i, words in enumerate(word_hashes(batch.column("text").to_pylist())):
-                if len(words):
-                    hashes[i] = band_hashes(samples(*shared.of(words)))
-                else:
-                    none[i] = True
-            bands = [pa.array(hashes[:, j], mask=none) for j in range(BANDS)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), *bands], names=["id", "key", *names])
+            bands: list[np.ndarray | None] = []
+            sketch: list[bytes | None] = []
+            for words in word_hashes(batch.column("text").to_pylist()):
+                token = samples(*shared.of(words)) if len(words) else None
+                bands.append(None if token is None else band_hashes(token))
+                sketch.append(None if token is None else token.astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "key", "bands", "sketch"])
 
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(run, f"id {kind}, key binary, " + ", ".join(f"{n} bigint" for n in names))
+    return given.mapInArrow(run, f"id {kind}, key binary, bands array<bigint>, sketch binary")
+
+
+def _forest(like: np.ndarray, root: list) -> Iterator[tuple[int, int]]:
+    """Most similar pairs first, each joining two classes."""
+    up = {r: r for r in root}
+
+    def top(r):
+        while up[r] != r:
+            up[r] = r = up[up[r]]
+        return r
+
+    i, j = np.nonzero(np.triu(like >= LEAST_ESTIMATE, 1))
+    for at in np.argsort(-like[i, j], kind="stable").tolist():
+        a, b = top(root[i[at]]), top(root[j[at]])
+        if a != b:
+            up[a] = b
+            yield int(i[at]), int(j[at])
+
+
+def _partners(like: np.ndarray, root: list) -> Iterator[tuple[int, int]]:
+    """Each member's PARTNERS most similar members of other classes."""
+    _, label = np.unique(np.array(root, object), return_inverse=True)
+    other = np.where(label[:, None] != label[None, :], like, 0)
+    for i in range(len(root)):
+        for j in np.argsort(-other[i], kind="stable")[:PARTNERS].tolist():
+            if other[i, j] >= LEAST_ESTIMATE:
+                yield i, j
+
+
+def _block_links(placed: DataFrame, phase: int) -> DataFrame:
+    """Links (a, b) within the blocks of the buckets."""
+    n = F.ceil(F.col("n") / BLOCK_MEMBERS)
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(phase)), n).cast("int"))
+    dealt = dealt.repartition("band", "hash", "block").sortWithinPartitions("band", "hash", "block", "key")
+
+    def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
+        root = [r[2] for r in rows]
+        if len(set(root)) < 2:
+            return
+        token = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1)
+        like = np.stack([(token == t).mean(axis=1) for t in token])
+        for i, j in (_partners if phase else _forest)(like, root):
+            a, b = rows[i][1], rows[j][1]
+            yield (a, b) if a < b else (b, a)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out: list[tuple[bytes, bytes]] = []
+
+        def made() -> pa.RecordBatch:
+            a, b = zip(*out, strict=True) if out else ((), ())
+            out.clear()
+            return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "hash", "block", "key", "root", "sketch")), strict=True):
+                own = row[:3], *row[3:]
+                if held and held[-1][0] != own[0]:
+                    out += links(held)
+                    held = []
+                held.append(own)
+            if len(out) > 10_000:
+                yield made()
+        out += links(held) if held else []
+        yield made()
 
-def _hubs(placed: DataFrame, used: list[DataFrame]) -> DataFrame:
-    """For each bucket its member with the most neighbours among classes that gave no hub before."""
-    open_ = placed
-    if used:
-        before = reduce(DataFrame.unionAll, used)
-        gone = placed.join(before, ["band", "hash", "key"], "left_semi").select("band", "hash", "root").distinct()
-        open_ = placed.join(gone, ["band", "hash", "root"], "left_anti")
-    best = F.min(F.struct((-F.col("degree")).alias("d"), F.xxhash64("key").alias("o"), F.col("key").alias("k"), F.col("root").alias("r")))
-    return open_.groupBy("band", "hash").agg(best.alias("hub"))
+    return dealt.select("band", "hash", "block", "key", "root", "sketch").mapInArrow(run, "a binary, b binary")
 
 
-def _candidates(placed: DataFrame, hubs: DataFrame) -> DataFrame:
-    """Links of the members of each bucket to its hub, where their classes differ."""
-    linked = placed.join(hubs, ["band", "hash"]).where("root <> hub.r")
-    return linked.select(F.least("key", "hub.k").alias("a"), F.greatest("key", "hub.k").alias("b")).distinct()
+def _hub_links(placed: DataFrame) -> DataFrame:
+    """In buckets of several blocks, links of the members to the one with the most fellows."""
+    large = placed.where(F.col("n") > BLOCK_MEMBERS).select("band", "hash", "key", "degree")
+    best = F.min(F.struct((-F.col("degree")).alias("d"), F.col("key").alias("k"))).alias("hub")
+    hubs = large.groupBy("band", "hash").agg(best)
+    return large.join(hubs, ["band", "hash"]).where("key <> hub.k").select(F.least("key", "hub.k").alias("a"), F.greatest("key", "hub.k").alias("b"))
 
 
 def _verified(links: DataFrame, texts: DataFrame, weights) -> DataFrame:
@@ -224,48 +285,36 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights or inverse_frequencies(docs, text))
     rows = written(sketched(docs, shared, row_id, text), "sketches")
-    names = [f"b{i}" for i in range(BANDS)]
-    nodes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), *[F.min(n).alias(n) for n in names]), "nodes")
-    members = nodes.where("b0 is not null").select("key", F.posexplode(F.array(*names)).alias("band", "hash"))
+    made = F.first(F.struct("bands", "sketch")).alias("made")
+    nodes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), made).select("key", "id", "made.*"), "nodes")
+    members = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("band", "hash"))
     shared_buckets = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = written(members.join(shared_buckets, ["band", "hash"]), "met")
-    buckets = written(met.drop("n").join(met.groupBy("key").agg(F.sum("n").alias("degree")), "key"), "buckets")
+    fellows = met.groupBy("key").agg(F.sum("n").alias("degree")).join(nodes.select("key", "sketch"), "key")
+    buckets = written(met.join(fellows, "key"), "buckets")
     keyed = docs.select(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
-    wanted = buckets.select("key").distinct()
+    wanted = met.select("key").distinct()
     texts = written(keyed.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
 
     links: list[DataFrame] = []
-    tested: list[DataFrame] = []
-    used: list[DataFrame] = []
+    tested: DataFrame | None = None
     roots: DataFrame | None = None
-    idle = 0
-    while idle < IDLE_PHASES:
+    for phase in range(PHASES):
         placed = buckets.withColumn("root", F.col("key"))
         if roots is not None:
             placed = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        placed = written(placed, "placed")
-        hubs = written(_hubs(placed, used), "hubs")
-        used.append(hubs.select("band", "hash", F.col("hub.k").alias("key")))
-        found = _candidates(placed, hubs)
-        for before in tested:
-            found = found.join(before, ["a", "b"], "left_anti")
-        found = written(found, "candidates")
-        if found.isEmpty():
-            break
-        tested.append(found)
-        new = written(_verified(found, texts, shared), "links")
-        drop(placed)
-        if new.isEmpty():
-            idle += 1
-        else:
-            links.append(new)
-            roots = components(reduce(DataFrame.unionAll, links))
-    if roots is None:
-        ids = nodes.select("key", F.col("id").alias("class_id"))
-    else:
-        placed = nodes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        least = placed.groupBy("root").agg(F.min("id").alias("class_id"))
-        ids = placed.join(least, "root").select("key", "class_id")
+        found = _block_links(placed, phase)
+        if not phase:
+            found = found.unionAll(_hub_links(buckets))
+        found = found.distinct()
+        if tested is not None:
+            found = found.join(tested, ["a", "b"], "left_anti")
+        tested = written(found, "candidates")
+        links.append(written(_verified(tested, texts, shared), "links"))
+        roots = components(reduce(DataFrame.unionAll, links))
+    placed = nodes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    least = placed.groupBy("root").agg(F.min("id").alias("class_id"))
+    ids = placed.join(least, "root").select("key", "class_id")
     return rows.select("id", "key").join(ids, "key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
 
 
