@@ -50,7 +50,7 @@ from .text import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS, ROWS = 12, 4
+BANDS, ROWS = 16, 3
 RARE = 1024
 DAMPING = 0.25
 BUCKET_BITS = 22
@@ -280,6 +280,13 @@ def _verified(links: DataFrame, texts: DataFrame, weights) -> DataFrame:
     return links.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
+def _texts(docs: DataFrame, text: str, links: DataFrame) -> DataFrame:
+    """(key, text) of the nodes that have links."""
+    keyed = docs.select(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
+    wanted = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).distinct()
+    return written(keyed.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
+
+
 def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights: Weights | None = None) -> DataFrame:
     """(id, class_id) for each row of docs; class_id is the smallest id of its class."""
     spark = docs.sparkSession
@@ -292,10 +299,6 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights
     met = written(members.join(shared_buckets, ["band", "hash"]), "met")
     fellows = met.groupBy("key").agg(F.sum("n").alias("degree")).join(nodes.select("key", "sketch"), "key")
     buckets = written(met.join(fellows, "key"), "buckets")
-    keyed = docs.select(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
-    wanted = met.select("key").distinct()
-    texts = written(keyed.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
-
     links: list[DataFrame] = []
     tested: DataFrame | None = None
     roots: DataFrame | None = None
@@ -310,6 +313,8 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         tested = written(found, "candidates")
+        if not phase:  # whoever has a link in a later phase has one here
+            texts = _texts(docs, text, tested)
         links.append(written(_verified(tested, texts, shared), "links"))
         roots = components(reduce(DataFrame.unionAll, links))
     placed = nodes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
