@@ -1,0 +1 @@
+"""Exact numbers, JSON and text analysis."""

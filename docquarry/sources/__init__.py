@@ -1,0 +1 @@
+"""Where collections come from and where they are kept."""
