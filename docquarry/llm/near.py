@@ -281,10 +281,14 @@ def _verified(links: DataFrame, texts: DataFrame, weights) -> DataFrame:
 
 
 def _texts(docs: DataFrame, text: str, links: DataFrame) -> DataFrame:
-    """(key, text) of the nodes that have links."""
+    """(key, text) of the nodes that have links.
+
+    Texts are always dealt out by key: the nodes with links grow with the
+    corpus, so no plan may count on broadcasting them.
+    """
     keyed = docs.select(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
     wanted = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).distinct()
-    return written(keyed.join(wanted, "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    return written(keyed.join(wanted.hint("merge"), "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
 
 
 def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights: Weights | None = None) -> DataFrame:
