@@ -81,38 +81,37 @@ def declared(f: IndexField, prefix: str) -> Access:
 
 def value_at(body: Column, path: str, arrays: bool = True) -> Column:
     """The variant at a path of a variant; SQL NULL if absent."""
-    for part in pointer.tokens(path):
+    parts = pointer.tokens(path)
+    if not arrays or not any(map(pointer.is_index, parts)):
+        return F.try_variant_get(body, pointer.variant_path(parts), "variant")
+    for part in parts:
         named = F.try_variant_get(body, pointer.variant_path([part]), "variant")
-        if arrays and pointer.is_index(part):
+        if pointer.is_index(part):
             named = F.coalesce(named, F.try_variant_get(body, f"$[{part}]", "variant"))
         body = named
     return body
 
 
+#: The tag behind the first letters of a variant's type; numbers for all others.
+_KINDS = f"--{NUMBER}VO{NULL}BO{FALSE}ST{STRING}AR{ARRAY}OB{OBJECT}"
+
+
 def kind_of(v: Column) -> Column:
-    """The tag of a variant."""
-    kind = F.schema_of_variant(v)
-    return (
-        F.when(v.isNull(), MISSING)
-        .when(F.is_variant_null(v), NULL)
-        .when(kind == "BOOLEAN", F.when(F.try_variant_get(v, "$", "boolean"), TRUE).otherwise(FALSE))
-        .when(kind == "STRING", STRING)
-        .when(kind.startswith("ARRAY"), ARRAY)
-        .when(kind.startswith("OBJECT"), OBJECT)
-        .otherwise(NUMBER)
-        .cast("tinyint")
-    )
+    """The tag of a variant, written with few mentions of v so that generated code stays small."""
+    start = F.substring(F.schema_of_variant(v), 1, 2)
+    base = F.substr(F.lit(_KINDS), F.greatest(F.position(start, F.lit(_KINDS)), F.lit(1)) + 2, F.lit(1)).cast("tinyint")
+    yes = F.when(base == FALSE, F.try_variant_get(v, "$", "boolean").cast("tinyint")).otherwise(0)
+    return F.coalesce(base + yes, F.lit(MISSING)).cast("tinyint")
 
 
 def scan_number(v: Column) -> Column:
     """A variant number as DECIMAL(38, 18), exactly, or an error: never a rounded value."""
     kind = f"decimal(38,{SCAN_SCALE})"
-    near = F.try_variant_get(v, "$", "double")
-    from_double = near.cast("string").try_cast(kind)
-    value = F.when(F.schema_of_variant(v) == "DOUBLE", F.when(from_double.cast("double") == near, from_double)).otherwise(F.try_variant_get(v, "$", "string").try_cast(kind))
-    same = F.schema_of_variant(v).startswith("DECIMAL") & (F.try_variant_get(v, "$", "string").try_cast("decimal(38,18)").isNull())
+    text = F.try_variant_get(v, "$", "string")
+    value = text.try_cast(kind)
+    same = text.rlike(r"^-?[0-9]{1,20}(\.[0-9]{1,18})?$") | (value.cast("double") == text.try_cast("double")) & text.contains("E")
     failed = F.raise_error(F.lit("a scanned number has too many digits; declare a wide index")).cast(kind)
-    return F.when(same | value.isNull(), failed).otherwise(value)
+    return F.when(same, value).otherwise(failed)
 
 
 def scanned(path: str, body: Column | None = None) -> Access:

@@ -219,7 +219,7 @@ def groups(source: c.Collection, request: QueryRequest, max_groups: int | None =
             key_names.append(f"g{i}w")
             value = F.col(f"g{i}w")
         elif a.kind == "any":
-            value = F.coalesce(F.col(f"g{i}v1"), F.rtrim(F.lit("0"), F.col(f"g{i}v0").cast("string")), F.when(F.col(names[0]) == c.TRUE, "true").when(F.col(names[0]) == c.FALSE, "false"))
+            value = F.coalesce(F.col(f"g{i}v1"), F.rtrim(F.rtrim(F.col(f"g{i}v0").cast("string"), F.lit("0")), F.lit(".")), F.when(F.col(names[0]) == c.TRUE, "true").when(F.col(names[0]) == c.FALSE, "false"))
         elif a.kind == "boolean":
             value = F.when(F.col(names[0]) > c.NULL, F.col(names[0]) == c.TRUE)
         else:

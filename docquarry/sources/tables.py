@@ -53,8 +53,8 @@ def _object(members: dict, kinds: Mapping[str, str]) -> Column:
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 
 
-def collection(definition: CollectionDefinition, df: DataFrame, id: Column, members: Mapping[str, Column], present: Mapping[str, Column] | None = None, version: int = 1) -> c.Collection:
-    """A collection over df.  A NULL member is an explicit null, unless present[path] is false: then it is absent."""
+def collection(definition: CollectionDefinition, df: DataFrame, id: Column, members: Mapping[str, Column], present: Mapping[str, Column] | None = None, raw: tuple[str, ...] = (), version: int = 1) -> c.Collection:
+    """A collection over df; members in `raw` are JSON text already.  A NULL member is an explicit null, unless present[path] is false: then it is absent."""
     present = present or {}
     paths = list(members)
     df = df.select(id.alias("id"), *[members[p].alias(f"m{i}") for i, p in enumerate(paths)], *[present[p].alias(f"p{i}") for i, p in enumerate(paths) if p in present])
@@ -66,7 +66,7 @@ def collection(definition: CollectionDefinition, df: DataFrame, id: Column, memb
         value, here = F.col(f"m{i}"), F.col(f"p{i}") if path in present else F.lit(True)
         parts = pointer.tokens(path)
         inner = reduce(lambda d, k: d.setdefault(k, {}), parts[:-1], nested)
-        inner[parts[-1]] = F.when(here, F.coalesce(_json(value, kinds[f"m{i}"]), F.lit("null")))
+        inner[parts[-1]] = F.when(here, F.coalesce(value if path in raw else _json(value, kinds[f"m{i}"]), F.lit("null")))
         if path not in prefixes:
             continue
         f, prefix = definition.fields[path], prefixes[path]
