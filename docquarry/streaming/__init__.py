@@ -1,0 +1 @@
+"""The change feed as a Structured Streaming source."""
