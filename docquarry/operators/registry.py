@@ -475,3 +475,133 @@ def kv_merge_levels(spark, d):
     newest = base.where(n % 5 == 0).select("key", F.lit(None).cast("binary").alias("value"))
     middle = base.where(n % 3 == 0).select("key", F.lit("new").cast("binary").alias("value"))
     return _text(kv.merged([newest, middle, base]))
+
+
+# ------------------------------------------------------- writes, feed, archive
+
+
+def _tenant(spark, name: str):
+    from ..sources.scratch import shared_folder
+    from ..sources.store import Tenant
+
+    tenant = Tenant(spark, shared_folder(spark, name))
+    declared = [_index(IndexField("/type")), _index(IndexField("/user", "number", 0))]
+    tenant.activate([CollectionDefinition("events", declared), CollectionDefinition("other", declared, write_mode="append_only", archivable=True)])
+    return tenant
+
+
+def _bodies(spark, d) -> DataFrame:
+    """(id, body text) of all events."""
+    body = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("user_id").alias("user")))
+    return t.read(spark, d, "events").select(t.fixed_width("event_id").alias("id"), body.alias("body"))
+
+
+_EVENTS = f"SELECT {_EID}, event_type AS type, CAST(user_id AS DECIMAL(38,0)) AS user, event_id FROM events"
+
+
+@query(
+    f"""SELECT id, CASE WHEN event_id IN (1, 2) THEN 'patched' ELSE type END AS type, CASE WHEN event_id = 2 THEN NULL ELSE "user" END AS "user" FROM ({_EVENTS}) WHERE event_id NOT IN (3, 4)
+    UNION ALL SELECT 'new', 'put', CAST(7 AS DECIMAL(38,0))"""
+)
+def write_put_patch_delete(spark, d):
+    from ..sources.store import Batch
+
+    tenant = _tenant(spark, "writes")
+    tenant.load("events", _bodies(spark, d))
+    batch = Batch("once").put("events", "new", {"type": "put", "user": 7}, "absent").patch("events", "000000000001", {"type": "patched"}).patch("events", "000000000002", {"type": "patched", "user": None})
+    batch = batch.delete("events", "000000000003").delete("events", "000000000004")
+    tenant.mutate(batch)
+    tenant.mutate(batch)  # a retry changes nothing
+    s = tenant.collection("events")
+    return flat(s, s.df, type="/type", user="/user")
+
+
+def _fed(spark, d):
+    """A tenant whose feed has four commits of ten events each, collections in turn; at most 40 rows."""
+    from ..functions import exact
+    from ..sources.store import Batch
+
+    tenant = _tenant(spark, "feed")
+    rows = _bodies(spark, d).orderBy("id").limit(40).collect()
+    for k in range(4):
+        batch = Batch(f"commit-{k}")
+        for r in rows[10 * k : 10 * k + 10]:
+            batch = batch.insert("events" if k % 2 == 0 else "other", r["id"], exact.loads(r["body"]))
+        tenant.mutate(batch)
+    return tenant
+
+
+_FED = f"SELECT row_number() OVER (ORDER BY event_id) AS sequence, ((row_number() OVER (ORDER BY event_id) - 1) // 10) AS k, {_EID} FROM events QUALIFY sequence <= 40"
+
+
+@query(f"SELECT sequence, id, CASE WHEN k % 2 = 0 THEN 'events' ELSE 'other' END AS collection, CAST(10 AS INTEGER) AS commit_event_count FROM ({_FED}) WHERE sequence > 5 AND sequence <= 33")
+def feed_after(spark, d):
+    from ..sources import feed
+
+    return feed.table(_fed(spark, d), 5, 33).select("sequence", "id", "collection", "commit_event_count")
+
+
+@query(f"SELECT sequence, id FROM ({_FED}) WHERE k % 2 = 1")
+def feed_scope(spark, d):
+    from ..sources import feed
+
+    tenant = _fed(spark, d)
+    events, start = [], "beginning"
+    while True:
+        got = feed.read(tenant, ["other"], start, 7)
+        events += [(e["sequence"], e["id"]) for e in got.events]
+        start = got.cursor
+        if got.caught_up:
+            return spark.createDataFrame(events, "sequence bigint, id string")
+
+
+@query(f"SELECT sequence, id FROM ({_FED}) WHERE k % 2 = 0")
+def feed_stream(spark, d):
+    from ..sources.scratch import shared_folder
+    from ..streaming.feed import register
+
+    register(spark)
+    tenant = _fed(spark, d)
+    out, state = shared_folder(spark, "stream"), shared_folder(spark, "stream-state")
+    stream = spark.readStream.format("docquarry_feed").option("path", tenant.files.root).option("collections", "events").load()
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("sequence", "id")
+
+
+@query(f"SELECT id, type FROM ({_EVENTS})")
+def archive_union(spark, d):
+    tenant = _tenant(spark, "archive")
+    revision = tenant.load("other", _bodies(spark, d))
+    tenant.archive("all", "other", revision)
+    s = tenant.collection("other", archived=True)
+    return flat(s, s.df, type="/type")
+
+
+@query(f"SELECT {_EID} FROM events ORDER BY event_id LIMIT 250")
+def lease_scan_pages(spark, d):
+    tenant = _tenant(spark, "lease")
+    tenant.load("events", _bodies(spark, d))
+    lease, after, found = tenant.lease(), None, []
+    for _ in range(5):
+        got = tenant.lease_scan(lease, "events", after, 50)
+        found += [(x["id"],) for x in got["documents"]]
+        after = got["next_after_id"]
+    tenant.close(lease)
+    return spark.createDataFrame(found, "id string")
+
+
+@query("SELECT CAST(o_orderkey % 1000 AS BIGINT) AS key, max_by(o_custkey, o_orderkey) AS value FROM orders GROUP BY 1 HAVING max_by(o_orderstatus, o_orderkey) <> 'P'")
+def kv_commit_log(spark, d):
+    log = t.read(spark, d, "orders")
+    value = F.when(F.col("o_orderstatus") != "P", F.col("o_custkey").cast("string").cast("binary"))
+    df = log.select(F.col("o_orderkey").alias("sequence"), F.lit(0).alias("ordinal"), (F.col("o_orderkey") % 1000).cast("string").cast("binary").alias("key"), value.alias("value"))
+    return kv.commits(df).select(F.col("key").cast("string").cast("long").alias("key"), F.col("value").cast("string").cast("long").alias("value"))
+
+
+@query(f"SELECT * FROM ({_KV}) ORDER BY key LIMIT 128")
+def kv_sealed_run(spark, d):
+    from ..sources.scratch import shared_folder
+
+    path = shared_folder(spark, "run")
+    root = kv.seal(_kv(spark, d), path, "zstd")
+    return _text(kv.forward(kv.opened(spark, path, root), None, None, 128))
