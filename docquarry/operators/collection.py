@@ -101,7 +101,7 @@ def kind_of(v: Column) -> Column:
     start = F.substring(F.schema_of_variant(v), 1, 2)
     base = F.substr(F.lit(_KINDS), F.greatest(F.position(start, F.lit(_KINDS)), F.lit(1)) + 2, F.lit(1)).cast("tinyint")
     yes = F.when(base == FALSE, F.try_variant_get(v, "$", "boolean").cast("tinyint")).otherwise(0)
-    return F.coalesce(base + yes, F.lit(MISSING)).cast("tinyint")
+    return F.when(v.isNull(), MISSING).otherwise(base + yes).cast("tinyint")
 
 
 def scan_number(v: Column) -> Column:

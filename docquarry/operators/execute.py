@@ -35,7 +35,7 @@ def bound(source: c.Collection, request: QueryRequest) -> Bound:
     """Checks everything that needs no data, then plans; no job runs."""
     check_shape(request)
     lookup = lambda path: source.access(path, request.scans)
-    where = bind.predicate(request.where, lookup)
+    where = bind.predicate(request.where, lookup, filters=True)
     for s in request.order:
         bind.order_columns(lookup(s.path), s.descending)
     for path in request.groups:

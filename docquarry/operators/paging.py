@@ -189,7 +189,7 @@ def seek_rows(source: c.Collection, request: QueryRequest, after: list[Any] | No
     for p in w.paths:
         df = df.where(access[p].tag > c.MISSING)
     for p, ops in request.where.fields.items():
-        df = df.where(leaf(access[p], ops))
+        df = df.where(leaf(access[p], ops, filters=True))
     keys = [x for p in w.paths[w.fixed :] for x in (access[p].tag, access[p].num, access[p].txt) if x is not None]
     named = df.withColumns({f"k{i}": x for i, x in enumerate(keys)}).withColumn("score", F.lit(None).cast("double"))
     if after is not None:

@@ -85,6 +85,16 @@ def _table(source: Collection, index: Index) -> DataFrame:
     return made[index.name] if index.name in made else postings(source, index)
 
 
+def build_text_index(source: Collection, name: str, path: str) -> Collection:
+    """The collection with a stored token table, in order of term: a search then reads only the files of its terms."""
+    index = source.definition.text_index(name)
+    if index is None:
+        raise EngineError("INDEX_REQUIRED", f"there is no text index `{name}`")
+    postings(source, index).repartitionByRange("kind", "term").sortWithinPartitions("kind", "term", "id").write.parquet(path)
+    made = source.df.sparkSession.read.schema(POSTINGS).parquet(path)
+    return Collection(source.definition, source.df, source.revision, (source.texts or {}) | {name: made}, source.archived)
+
+
 def _expanded(terms: DataFrame, keep: Column, budget: int) -> list[str]:
     found = [r["term"] for r in terms.where(keep).select("term").distinct().limit(min(MAX_TERM_EXPANSION, budget) + 1).collect()]
     if len(found) > min(MAX_TERM_EXPANSION, budget):

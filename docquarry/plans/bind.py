@@ -16,6 +16,7 @@ from .errors import invalid
 from .query import Filter
 
 Lookup = Callable[[str], c.Access]
+Wrap = Callable[[Column], Column]
 
 
 def _true(p: Column) -> Column:
@@ -71,34 +72,34 @@ def _number(a: c.Access, op: str, value: Decimal) -> Column:
     return {"gt": a.num > at, "gte": a.num >= at, "lt": a.num < at, "lte": a.num <= at}[op]
 
 
-def _equals(a: c.Access, value: Any) -> Column:
+def _equals(a: c.Access, value: Any, true: Wrap = _true) -> Column:
     tag, v = scalar(a, value)
     if a.is_array and tag != c.NULL:
         raise invalid(f"`{a.path}` is an array; use `contains`")
     if tag in (c.NULL, c.FALSE, c.TRUE):
         return a.tag == tag
-    return _true((a.tag == tag) & (_number(a, "eq", v) if tag == c.NUMBER else a.txt == v))
+    return true((a.tag == tag) & (_number(a, "eq", v) if tag == c.NUMBER else a.txt == v))
 
 
-def _among(a: c.Access, values: list) -> Column:
+def _among(a: c.Access, values: list, true: Wrap = _true) -> Column:
     found = [scalar(a, v) for v in values]
     if a.is_array and any(t != c.NULL for t, _ in found):
         raise invalid(f"`{a.path}` is an array; use `contains`")
     parts = [a.tag == t for t in sorted({t for t, _ in found if t <= c.TRUE})]
     texts = sorted({v for t, v in found if t == c.STRING})
     if texts:
-        parts.append(_true((a.tag == c.STRING) & a.txt.isin(texts)))
+        parts.append(true((a.tag == c.STRING) & a.txt.isin(texts)))
     numbers = sorted({v for t, v in found if t == c.NUMBER})
     if numbers and a.wide:
-        parts.append(_true((a.tag == c.NUMBER) & a.num.isin([exact.key_of(v) for v in numbers])))
+        parts.append(true((a.tag == c.NUMBER) & a.num.isin([exact.key_of(v) for v in numbers])))
     elif numbers:
         held = [c.literal(v, a.scale) for v in numbers if not _beyond(v, a) and _grid(v, a, ROUND_FLOOR) == v]
         if held:
-            parts.append(_true((a.tag == c.NUMBER) & a.num.isin(held)))
+            parts.append(true((a.tag == c.NUMBER) & a.num.isin(held)))
     return reduce(lambda x, y: x | y, parts) if parts else F.lit(False)
 
 
-def _range(a: c.Access, bounds: dict[str, Any]) -> Column:
+def _range(a: c.Access, bounds: dict[str, Any], true: Wrap = _true) -> Column:
     if a.is_array:
         raise invalid(f"`{a.path}` is an array; use `contains`")
     found = {op: scalar(a, v) for op, v in bounds.items()}
@@ -113,10 +114,10 @@ def _range(a: c.Access, bounds: dict[str, Any]) -> Column:
             parts.append((a.tag == c.NUMBER) & _number(a, op, v))
         else:
             parts.append((a.tag == c.STRING) & {"gt": a.txt > v, "gte": a.txt >= v, "lt": a.txt < v, "lte": a.txt <= v}[op])
-    return _true(reduce(lambda x, y: x & y, parts))
+    return true(reduce(lambda x, y: x & y, parts))
 
 
-def _contains(a: c.Access, value: Any) -> Column:
+def _contains(a: c.Access, value: Any, true: Wrap = _true) -> Column:
     if not a.is_array and a.kind != "any":
         raise invalid(f"`contains` needs an array; `{a.path}` is a {a.kind}")
     tag, v = scalar(a, value)
@@ -124,41 +125,47 @@ def _contains(a: c.Access, value: Any) -> Column:
         raise invalid("`contains` takes a value that is not null")
     if a.kind == "any":
         same = lambda item: _equals(c.Access(a.path, "any", c.kind_of(item), F.when(c.kind_of(item) == c.NUMBER, c.scan_number(item)), F.when(c.kind_of(item) == c.STRING, F.try_variant_get(item, "$", "string")), scale=c.SCAN_SCALE), value)
-        return _true((a.tag == c.ARRAY) & F.exists(a.arr, same))
+        return true((a.tag == c.ARRAY) & F.exists(a.arr, same))
     if tag == c.NUMBER:
         if _beyond(v, a) or _grid(v, a, ROUND_FLOOR) != v:
             return F.lit(False)
-        return _true(F.array_contains(a.arr, c.literal(v, a.scale)))
-    return _true(F.array_contains(a.arr, F.lit(v)))
+        return true(F.array_contains(a.arr, c.literal(v, a.scale)))
+    return true(F.array_contains(a.arr, F.lit(v)))
 
 
-def leaf(a: c.Access, ops: dict[str, Any]) -> Column:
+def leaf(a: c.Access, ops: dict[str, Any], filters: bool = False) -> Column:
+    """Conditions on one path.
+
+    With `filters` the result may be null for false, which a WHERE clause does
+    not tell apart: plain comparisons are then left bare and reach the scan.
+    """
+    true: Wrap = (lambda p: p) if filters else _true
     parts = []
     for op, value in ops.items():
         if op == "eq":
-            parts.append(_equals(a, value))
+            parts.append(_equals(a, value, true))
         elif op == "ne":
             parts.append(~_equals(a, value))
         elif op == "in":
-            parts.append(_among(a, value))
+            parts.append(_among(a, value, true))
         elif op == "nin":
             parts.append(~_among(a, value))
         elif op == "exists":
             parts.append(a.tag > c.MISSING if value else a.tag == c.MISSING)
         elif op == "contains":
-            parts.append(_contains(a, value))
+            parts.append(_contains(a, value, true))
     bounds = {op: ops[op] for op in ("gt", "gte", "lt", "lte") if op in ops}
     if bounds:
-        parts.append(_range(a, bounds))
+        parts.append(_range(a, bounds, true))
     return reduce(lambda x, y: x & y, parts)
 
 
-def predicate(where: Filter, lookup: Lookup) -> Column:
-    """The filter as one column that is never null."""
-    parts = [leaf(lookup(path), ops) for path, ops in where.fields.items()]
-    parts += [predicate(f, lookup) for f in where.conjuncts]
+def predicate(where: Filter, lookup: Lookup, filters: bool = False) -> Column:
+    """The filter as one column that is never null; with `filters` null may stand for false."""
+    parts = [leaf(lookup(path), ops, filters) for path, ops in where.fields.items()]
+    parts += [predicate(f, lookup, filters) for f in where.conjuncts]
     if where.alternatives is not None:
-        parts.append(reduce(lambda x, y: x | y, [predicate(f, lookup) for f in where.alternatives]))
+        parts.append(reduce(lambda x, y: x | y, [predicate(f, lookup, filters) for f in where.alternatives]))
     if where.negated is not None:
         parts.append(F.lit(False) if where.negated.is_all() else ~predicate(where.negated, lookup))
     return reduce(lambda x, y: x & y, parts) if parts else F.lit(True)

@@ -70,6 +70,16 @@ def test_fuzzy_prefix_budget_and_errors(spark):
         hits(col(spark, ["東京"], "japanese_v1"), TextSearch("t", "東京"))
 
 
+def test_stored_index_answers_alike(spark, tmp_path):
+    from docquarry.operators.search import build_text_index
+
+    s = col(spark, ["The runner was running fast", "We run shipments by sea", "Shipping and ships", "fast running runners"], "english_v1")
+    stored = build_text_index(s, "t", str(tmp_path / "index"))
+    for search in (TextSearch("t", "run"), TextSearch("t", "running fast").phrase(), TextSearch("t", "ship").prefix(), TextSearch("t", "runing").fuzzy(1)):
+        want = [(r.id, round(r.score, 9)) for r in ex.rows(s, QueryRequest("docs").search(search)).collect()]
+        assert want and [(r.id, round(r.score, 9)) for r in ex.rows(stored, QueryRequest("docs").search(search)).collect()] == want
+
+
 def test_terms_match_within_one_field(spark):
     s = col(spark, [{"text": "red", "tags": ["blue"]}, {"text": "x", "tags": ["red", "blue"]}, {"text": None}, {}, {"text": "red blue"}], "unicode_v1", IndexField("/tags", "string_array"))
     assert sorted(hits(s, TextSearch("t", "red blue"))) == ["001", "004"]
