@@ -141,6 +141,18 @@ def get(source: c.Collection, id: str) -> DataFrame:
     return source.df.where(F.col("id") == id).select("id", "version", "body")
 
 
+def decoded(df: DataFrame, ddl: str) -> DataFrame:
+    """Rows with their bodies as typed columns under `doc`; absent members are null."""
+    return df.select("id", "version", F.from_json("body", ddl).alias("doc"), *[c for c in ("score",) if c in df.columns])
+
+
+def within_budget(df: DataFrame, candidates: int) -> DataFrame:
+    """df, if it has at most so many rows: a budget fails, it never shortens an answer. Counts one row more at most."""
+    if df.select(F.lit(1)).limit(candidates + 1).count() > candidates:
+        raise EngineError("RESOURCE_EXHAUSTED", f"the query has more than {candidates} candidates")
+    return df
+
+
 def envelopes(df: DataFrame) -> Iterator[dict[str, Any]]:
     for r in df.toLocalIterator():
         yield {"id": r["id"], "version": r["version"], "body": exact.loads(r["body"]), "score": r["score"]}

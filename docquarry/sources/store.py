@@ -22,14 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import exact
+from ..functions import exact, pointer
+from ..functions import text as tx
 from ..functions.schema import check_body, check_schema
 from ..operators import collection as c
 from ..operators import execute as ex
 from ..operators.paging import Caller, Page, page
 from ..plans.definition import CollectionDefinition
 from ..plans.errors import EngineError, invalid
-from ..plans.query import QueryRequest
+from ..plans.query import MAX_PAGE, QueryRequest
 
 # Limits of batches, reads, feed and archive.
 MAX_OPERATIONS, MAX_READ_SET, MAX_CHUNKS, MAX_DELTAS = 256, 512, 512, 32
@@ -237,12 +238,22 @@ class Tenant:
             revision = int(_content(request.at)["revision"])
         current = self.manifest()
         source = self.collection(request.collection, revision, principal)
+        if source.definition.strict_read_audit:
+            self._read_audited(principal, request.collection)
         if request.aggregates:
             return ex.group_envelopes(source, request)
         if request.paging_mode == "seek":
             source.revision = current["collections"][request.collection]["data_epoch"]
         return page(source, request, Caller(principal, current["policy_epoch"], self.clock))
 
+    def _read_audited(self, principal: str, name: str) -> None:
+        """Record a read before its rows are released; documents and revision-bound cursors are not touched by it."""
+        with self._locked():
+            old = self.manifest()
+            new = exact_copy(old)
+            self._audit(new, principal, "read", name, old["revision"] + 1)
+            self._commit(old, new)
+
     def documents(self, name: str, ids: list[str], m: dict | None = None) -> dict[str, tuple[int, dict]]:
         """A few documents by id; the ids reach the scan as a filter."""
         if not ids:
@@ -323,6 +334,19 @@ class Tenant:
             self._commit(old, new)
             return {"revision": revision, "versions": versions}
 
+    def admit(self, batch: Batch, principal: str = "admin") -> int:
+        """A dry run: how many documents the batch would change; nothing is written or recorded."""
+        m = self.manifest()
+        for op in batch.operations:
+            self._allow(m, principal, op["collection"], "write")
+        return sum(map(len, self._apply(m, batch, principal, m["revision"] + 1).values()))
+
+    def limits(self) -> dict[str, int]:
+        return {
+            "max_batch_operations": MAX_OPERATIONS, "max_batch_bytes": MAX_BATCH_BYTES, "max_document_bytes": MAX_DOCUMENT_BYTES, "max_feed_events": self.feed_events, "max_feed_bytes": self.feed_bytes,
+            "max_page_size": MAX_PAGE, "max_query_groups": ex.MAX_GROUPS,
+        }
+
     def _receipt(self, m: dict, principal: str, key: str):
         return self._frame(m["receipts"], RECEIPTS).where((F.col("principal") == principal) & (F.col("key") == key)).first()
 
@@ -388,6 +412,7 @@ class Tenant:
                 raise EngineError("QUOTA_EXCEEDED", "a document has at most 1 MiB")
             for f in definition.fields.values():
                 c.cell(f, body)
+            check_texts(definition, body)
             state[name][id] = (revision, body)
         out: dict[str, dict[str, tuple[int | None, dict | None]]] = {}
         for name, docs in state.items():
@@ -657,6 +682,16 @@ class Tenant:
             return n
 
 
+def check_texts(definition: CollectionDefinition, body: dict) -> None:
+    """Limits of searchable texts."""
+    for index in definition.indexes:
+        for f in index.fields if index.text and index.text != "japanese_v1" else ():
+            value = pointer.resolve(body, pointer.tokens(f.path))
+            words = [w for t in (value if isinstance(value, list) else [value]) if isinstance(t, str) for w in tx.words(t)]
+            if len(words) > tx.MAX_DOCUMENT_TOKENS or any(len(w.encode()) > tx.MAX_TOKEN_BYTES for w in words):
+                raise EngineError("SCHEMA_VIOLATION", f"`{f.path}` has too many or too long words to be searched")
+
+
 def exact_copy(m: dict) -> dict:
     import copy
 

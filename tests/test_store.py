@@ -153,3 +153,24 @@ def test_definitions_policy_leases_staging_archive_audit(spark, tenant):
     events = t.audit(limit=100).collect()
     assert [e.ordinal for e in events] == list(range(1, len(events) + 1)) and {"activate", "load", "mutate", "archive", "policy"} == {e.action for e in events}
     assert t.schema()["schema_epoch"] == 2 and t.policy()["policy_epoch"] == 3
+
+
+def test_dry_runs_limits_decoding_and_strict_audit(spark, tenant):
+    from docquarry.operators import execute as ex
+
+    t = tenant
+    b = Batch("d").insert("people", "a", {"email": "a@x", "age": 3})
+    before = t.manifest()["revision"]
+    assert t.admit(b) == 1 and t.manifest()["revision"] == before
+    with pytest.raises(EngineError, match="SCHEMA_VIOLATION"):
+        t.admit(Batch("l").insert("people", "z", {"email": "z", "bio": "w" * 300}))
+    t.mutate(b)
+    rows = ex.rows(t.collection("people"), QueryRequest("people"))
+    assert ex.decoded(rows, "email string, age int, nope string").first().doc.asDict() == {"email": "a@x", "age": 3, "nope": None}
+    assert ex.within_budget(rows, 1).count() == 1
+    with pytest.raises(EngineError, match="RESOURCE_EXHAUSTED"):
+        ex.within_budget(rows, 0)
+    assert t.limits()["max_batch_operations"] == 256
+    t.activate([CollectionDefinition("secret", strict_read_audit=True)])
+    t.query(QueryRequest("secret"))
+    assert [e.detail for e in t.audit().where("action = 'read'").collect()] == ["secret"]
