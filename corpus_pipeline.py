@@ -39,8 +39,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document with its token ids, and digests of the ids and of the text that they decode to."""
-    path = tokenizer_path(WORD_BPE)
-    return bpe.bpe_digests(bpe.bpe_encode(docs, path), path)
+    return bpe.bpe_digests(docs, tokenizer_path(WORD_BPE), tokens=True)
 
 
 STAGES = [

@@ -16,6 +16,21 @@ LANES = 16
 SLICE = 512
 
 
+#: Rows of an Arrow batch between the JVM and Python, unless the session says otherwise.
+BATCH_ROWS = 1000
+_DEFAULT = "10000"
+
+
+def small_batches(df: DataFrame) -> None:
+    """Keep Arrow batches of whole texts small: both sides hold a few of them at once outside the heap.
+
+    Only where the session has Spark's own default; a setting of the user's stays.
+    """
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _DEFAULT:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -81,6 +96,7 @@ def counter_sum(df: DataFrame, size: int, count: Callable[[np.ndarray, pa.Record
                 held = 0
         yield from _packed(counters, lane)
 
+    small_batches(df)
     schema = "block int, lane int, data binary"
     parts = df.mapInArrow(local, schema)
     near = parts.repartition("block", "lane").mapInArrow(_summing(True), schema)
@@ -99,11 +115,15 @@ def gathered(sums: DataFrame, size: int) -> np.ndarray:
 def with_columns(df: DataFrame, needs: str, kernel: Callable[[list], dict[str, pa.Array]], schema: str, setup=None) -> DataFrame:
     """df and new columns that kernel makes of column `needs`, row by row.
 
+    setup() makes what the kernel works with, once a task; its close(), if it
+    has one, ends the task.
+
     Existing columns pass through untouched; one whose name a new column takes
     is replaced.  schema is the DDL of the new columns.
     """
     from pyspark.sql.types import StructType, _parse_datatype_string
 
+    small_batches(df)
     added: StructType = _parse_datatype_string(f"struct<{schema}>")
     names = {f.name.lower() for f in added}
     kept = [f for f in df.schema if f.name.lower() not in names]
@@ -117,5 +137,7 @@ def with_columns(df: DataFrame, needs: str, kernel: Callable[[list], dict[str, p
             new = kernel(made, batch.column(needed).to_pylist()) if setup else kernel(batch.column(needed).to_pylist())
             cols = [batch.column(f.name) for f in kept] + [new[f.name] for f in added]
             yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in out])
+        if hasattr(made, "close"):
+            made.close()  # workers outlive their tasks
 
     return df.mapInArrow(run, out)

@@ -5,7 +5,7 @@ The smallest rank is found by scanning, its boundary is deleted and the two
 neighbouring ranks are looked up again, until no pair has a rank.  Words are
 short, so scanning beats a queue; one of over SHORT parts (a run of a hundred
 thousand letters, say) is merged with a heap to the same result.  Distinct
-words are kept in a bounded cache that lives as long as the Python worker.
+words are kept in a bounded cache for the length of a task.
 
 The text rules are those of the tokenizer file (public "word BPE": NFC, white
 space dropped, lower case letter by letter, contractions, runs of letters,
@@ -24,6 +24,7 @@ import json
 import re
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from .arrow import with_columns
 
 SHORT = 192
-CACHE_WORDS = 1 << 17
+CACHE_WORDS = 1 << 16
 NONE = 1 << 60
 
 #: White space as the tokenizer's regular expressions see it. Fixed values.
@@ -166,9 +167,12 @@ class WordBpe:
                 out += found
         return out
 
+    def close(self) -> None:
+        """Forget the words; the vocabulary stays."""
+        self.cache, self._older = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
-        raw = b"".join([p[0] for p in self.pieces(text)])
-        return [int.from_bytes(raw[i : i + 4], "little") for i in range(0, len(raw), 4)]
+        return np.frombuffer(b"".join([p[0] for p in self.pieces(text)]), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return " ".join([self.piece[i] for i in ids if i in self.piece])
@@ -191,12 +195,18 @@ def _file(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _lists(raws: list[bytes]) -> pa.Array:
+    """Lists of ids from their bytes."""
+    offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raws])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raws), "<i4")))
+
+
 def bpe_encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """df with `tokens` (array<int>). Null text has no tokens. A narrow map."""
     file = _file(df, path)
 
     def kernel(bpe, texts):
-        return {"tokens": pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))}
+        return {"tokens": _lists([b"".join([p[0] for p in bpe.pieces(t)]) for t in texts])}
 
     return with_columns(df, text, kernel, "tokens array<int>", lambda: _loaded_from(file.value))
 
@@ -211,18 +221,22 @@ def bpe_decode(df: DataFrame, path: str, tokens: str = "tokens") -> DataFrame:
     return with_columns(df, tokens, kernel, "decoded string", lambda: _loaded_from(file.value))
 
 
-def bpe_digests(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """df with n_tokens, ids_sha256 and decoded_sha256 of what bpe_encode and bpe_decode return."""
+def bpe_digests(df: DataFrame, path: str, text: str = "text", tokens: bool = False) -> DataFrame:
+    """df with n_tokens, ids_sha256 and decoded_sha256 of what bpe_encode and bpe_decode return.
+
+    With `tokens` also the ids themselves; texts are encoded once for all of it.
+    """
     file = _file(df, path)
 
     def kernel(bpe, texts):
-        counts, ids, decoded = [], [], []
+        raws, ids, decoded = [], [], []
         for t in texts:
             found = bpe.pieces(t)
-            raw = b"".join([p[0] for p in found])
-            counts.append(len(raw) // 4)
-            ids.append(hashlib.sha256(raw).hexdigest())
+            raws.append(b"".join([p[0] for p in found]))
+            ids.append(hashlib.sha256(raws[-1]).hexdigest())
             decoded.append(hashlib.sha256(" ".join([p[1] for p in found]).encode("utf-8", "surrogatepass")).hexdigest())
-        return {"n_tokens": pa.array(counts, pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        out = {"n_tokens": pa.array([len(r) // 4 for r in raws], pa.int64()), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())}
+        return out | ({"tokens": _lists(raws)} if tokens else {})
 
-    return with_columns(df, text, kernel, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", lambda: _loaded_from(file.value))
+    schema = "tokens array<int>, " * tokens + "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return with_columns(df, text, kernel, schema, lambda: _loaded_from(file.value))

@@ -9,7 +9,7 @@ the vocabulary; neighbouring unknown characters are one piece.
 
 A text is cut as the tokenizer does: spaces become U+2581, one is put before a
 text that does not begin with it, and every one begins a word.  Words are
-counted once and kept in a bounded cache of the worker.
+counted once and kept in a bounded cache for the length of a task.
 
 Defined cases: null and empty texts have no tokens; repeated rows are each
 counted.
@@ -75,6 +75,10 @@ class UnigramCounter:
             close(gap, False, False)
         return count[n]
 
+    def close(self) -> None:
+        """Forget the words; the vocabulary stays."""
+        self.cache, self._older = {}, {}
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .arrow import small_batches
 from .storage import written
 
 SCALE = 1024
@@ -107,6 +108,7 @@ def build_index(vectors: DataFrame) -> DataFrame:
         if held:
             yield made()
 
+    small_batches(vectors)
     return vectors.mapInArrow(blocks, _INDEX)
 
 

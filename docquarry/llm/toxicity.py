@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import sliced, with_columns
+from .arrow import sliced, small_batches, with_columns
 from .storage import written
 from .text import mix
 
@@ -111,6 +111,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_per_class: int, lab
             made = [features(t) for t in batch.column("__text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"y": batch.column("y"), "features": pa.array(made, pa.list_(pa.int32()))})
 
+    small_batches(rows)
     return rows.mapInArrow(kernel, "y int, features array<int>")
 
 
