@@ -4,8 +4,8 @@ Tokens are the words between spaces and ASCII white space, A-Z folded, then one
 end of text.  What is learned, over all training texts:
 
 1. Counts of all tokens (a table that grows with the corpus and stays
-   distributed).  The TOP most frequent words are handed to the executors; any
-   other token is rare there.
+   distributed).  The TOP most frequent words, each at least one token in
+   LEAST_SHARE, are handed to the executors; any other token is rare there.
 2. Counts of the pairs of adjacent symbols, a symbol being one of the CORE most
    frequent words, one of RARE_KINDS kinds of other words (told by their
    letters), or the end, which also stands before the first word.  Their number
@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import counter_sum, gathered, sliced
+from .arrow import counter_sum, gathered, sliced, small_batches
 from .storage import written
 from .text import FOLD, encoded
 
@@ -48,6 +48,8 @@ CLASSES = 64
 SWEEPS = 4
 LAMBDA = 0.75
 TOP = 50_000
+#: A frequent word makes up at least one in so many tokens; so there are never more than that many to choose from.
+LEAST_SHARE = 1 << 20
 RARE_KINDS = 8
 SYMBOLS = 1 << 11  # core words, rare kinds and the end: at most
 PAIRS = SYMBOLS * SYMBOLS
@@ -90,6 +92,7 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
                 yield from out()
         yield from out()
 
+    small_batches(docs)
     return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -192,7 +195,8 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     counts = written(word_counts(docs, text), "words")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     is_end = F.col("word") == END.decode()
-    top = counts.where(~is_end).orderBy(F.desc("c"), "word").limit(TOP).collect()
+    frequent = F.col("c") * LEAST_SHARE >= int(totals["n"] or 0)
+    top = counts.where(~is_end & frequent).orderBy(F.desc("c"), "word").limit(TOP).collect()
     place = {r["word"].encode(): i for i, r in enumerate(top)}
     ends = counts.where(is_end).first()
     place[END] = len(top)
