@@ -9,6 +9,7 @@ hold in that field; expansions of a clause and fields combine by maximum.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -128,16 +129,25 @@ def matches(source: Collection, search: TextSearch) -> DataFrame:
         return source.df.select("id", F.lit(0.0).alias("score")).limit(0)
     wanted = sorted({t for _, t, _ in weights})
     hit = table.where(F.col("term").isin(wanted))
-    sizes = table.groupBy("field").agg(F.sum("tf").alias("words"))
-    count = source.df.agg(F.count(F.lit(1)).alias("docs"))
-    # per field, and per field and wanted term: as small as the query
-    stats = F.broadcast(sizes.crossJoin(F.broadcast(count)))
-    frequency = F.broadcast(hit.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
-    scored = hit.join(stats, "field").join(frequency, ["field", "term"])
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = K1 * (1 - B + B * F.col("size") / (F.col("words") / F.col("docs")))
-    clauses = F.broadcast(source.df.sparkSession.createDataFrame(weights, "clause int, term string, weight double"))
-    joined = scored.withColumns({"idf": idf, "norm": norm}).join(clauses, "term")
+    # one pass for all statistics: a row for each field and wanted term, and one for the rest of a field
+    named = F.when(F.col("term").isin(wanted), F.col("term")).alias("term")
+    stats = table.groupBy("field", named).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words")).collect()
+    docs = source.df.count()
+    words: dict[int, int] = {}
+    for r in stats:
+        words[r["field"]] = words.get(r["field"], 0) + r["words"]
+    found = {(r["field"], r["term"]): r["df"] for r in stats if r["term"] is not None}
+    clauses = []
+    for i, term, weight in weights:
+        for (field, known), df in found.items():
+            if known == term:
+                idf = math.log(1 + (docs - df + 0.5) / (df + 0.5))
+                clauses.append((i, term, field, weight, idf, words[field] / docs))
+    if not clauses:
+        return source.df.select("id", F.lit(0.0).alias("score")).limit(0)
+    # at most MAX_EXPANSION terms and MAX_QUERY_TOKENS, by field
+    small = source.df.sparkSession.createDataFrame(clauses, "clause int, term string, field int, weight double, idf double, mean double")
+    joined = hit.join(F.broadcast(small), ["term", "field"]).withColumn("norm", K1 * (1 - B + B * F.col("size") / F.col("mean")))
     if search.mode == "phrase" and len(tokens) > 1:
         whole = joined.groupBy("id", "field").agg(
             F.collect_list(F.struct("clause", "places")).alias("parts"), F.sum("idf").alias("idf"), F.max("norm").alias("norm"), F.count(F.lit(1)).alias("n")
