@@ -14,13 +14,14 @@ Steps, none of which brings a group of documents together in one task:
 1. Equal texts become one node (key: md5 of the text) by a partial aggregate.
 2. Each node gets BANDS hashes, each over ROWS consistent weighted samples.  At
    a weighted Jaccard similarity of 0.8 two texts share one with probability
-   1 - (1 - 0.8**4)**12 = 0.998.
+   1 - (1 - 0.8**3)**16 = 0.99999.
 3. A bucket (band, hash) of more than BLOCK_MEMBERS nodes is dealt out by hash
    to blocks of about so many.  Within a block the samples of every two members
    are compared in memory; what leaves it are few links: those of a spanning
    forest that takes the most similar pairs first (estimate >= LEAST_ESTIMATE),
-   and in a second phase, after step 5, each member's PARTNERS most similar
-   members of other classes, blocks being dealt anew.  In a bucket of several
+   and in further phases, after step 5, each member with PARTNERS of the most
+   similar members of other classes, which differ by band, blocks being dealt
+   anew.  In a bucket of several
    blocks all members are also linked to its hub, the member with the most
    bucket fellows, which in a group of edited copies is the original.
 4. Links are verified on the whole texts: weighted Jaccard >= THRESHOLD.
@@ -43,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import BLOCK, counter_sum, sliced, unpacked
+from .arrow import BLOCK, counter_sum, sliced, small_batches, unpacked
 from .graph import components
 from .storage import written
 from .text import mix, shingle_hashes, word_hashes
@@ -52,13 +53,15 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS, ROWS = 16, 3
 RARE = 1024
-DAMPING = 0.25
+DAMPING = 0.1
 BUCKET_BITS = 22
 BLOCK_MEMBERS = 256
 #: At a similarity of 0.8 the estimate from 48 samples is below this with probability 1e-5.
 LEAST_ESTIMATE = 0.55
 PARTNERS = 3
-PHASES = 2
+#: In large blocks different bands try different partners.
+TURNS = 4
+PHASES = 3
 #: Shingles that are sampled at once.
 CHUNK = 512
 
@@ -172,6 +175,7 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> Weights:
 
 def sketched(docs: DataFrame, weights, row_id: str, text: str) -> DataFrame:
     """(id, key, bands, sketch): the key of the text, its band hashes and its samples (32 bits of each); null without words."""
+    small_batches(docs)
     given = docs.select(F.col(f"`{row_id}`").alias("id"), F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,12 +210,12 @@ def _forest(like: np.ndarray, root: list) -> Iterator[tuple[int, int]]:
             yield int(i[at]), int(j[at])
 
 
-def _partners(like: np.ndarray, root: list) -> Iterator[tuple[int, int]]:
-    """Each member's PARTNERS most similar members of other classes."""
+def _partners(like: np.ndarray, root: list, turn: int) -> Iterator[tuple[int, int]]:
+    """PARTNERS of the members of other classes most similar to each member: the first ones, or by turn the next."""
     _, label = np.unique(np.array(root, object), return_inverse=True)
     other = np.where(label[:, None] != label[None, :], like, 0)
     for i in range(len(root)):
-        for j in np.argsort(-other[i], kind="stable")[:PARTNERS].tolist():
+        for j in np.argsort(-other[i], kind="stable")[turn * PARTNERS : (turn + 1) * PARTNERS].tolist():
             if other[i, j] >= LEAST_ESTIMATE:
                 yield i, j
 
@@ -228,7 +232,8 @@ def _block_links(placed: DataFrame, phase: int) -> DataFrame:
             return
         token = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1)
         like = np.stack([(token == t).mean(axis=1) for t in token])
-        for i, j in (_partners if phase else _forest)(like, root):
+        turn = (rows[0][0][0] + phase) % TURNS if len(rows) > TURNS * PARTNERS else 0
+        for i, j in _partners(like, root, turn) if phase else _forest(like, root):
             a, b = rows[i][1], rows[j][1]
             yield (a, b) if a < b else (b, a)
 
@@ -284,11 +289,13 @@ def _texts(docs: DataFrame, text: str, links: DataFrame) -> DataFrame:
     """(key, text) of the nodes that have links.
 
     Texts are always dealt out by key: the nodes with links grow with the
-    corpus, so no plan may count on broadcasting them.
+    corpus, so no plan may count on broadcasting them.  Equal texts are reduced
+    to one in each task before that, so a large group of copies is no burden.
     """
     keyed = docs.select(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
     wanted = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).distinct()
-    return written(keyed.join(wanted.hint("merge"), "key").groupBy("key").agg(F.first("text").alias("text")), "texts")
+    each = keyed.where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
+    return written(each.join(wanted.hint("merge"), "key"), "texts")
 
 
 def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights: Weights | None = None) -> DataFrame:
