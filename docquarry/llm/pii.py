@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import sliced, with_columns
+from .arrow import sliced, small_batches, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 900
@@ -379,9 +379,32 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model |
                         out.append(t[a:b])
             yield pa.RecordBatch.from_pydict({"region": pa.array(out, pa.string())})
 
+    small_batches(docs)
     cuts = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "region string")
-    order = F.xxhash64("region")
-    return fit([r["region"] for r in cuts.orderBy(order, "region").limit(sample).collect()])
+    ranked = cuts.select(F.xxhash64("region").alias("o"), "region")
+    # the smallest of each task, then of each of MERGES tasks: the driver gets at most MERGES times the sample
+    near = ranked.mapInArrow(_smallest(sample), ranked.schema).repartition(MERGES, F.xxhash64("region", F.lit(1)))
+    few = near.mapInArrow(_smallest(sample), ranked.schema).orderBy("o", "region").limit(sample)
+    return fit([r["region"] for r in few.collect()])
+
+
+#: Tasks in which the samples of all tasks meet.
+MERGES = 64
+
+
+def _smallest(n: int):
+    """Keeps the n first rows of a task by (o, region)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, str]] = []
+        for batch in batches:
+            held += zip(batch.column("o").to_pylist(), batch.column("region").to_pylist(), strict=True)
+            if len(held) > 8 * n:
+                held = sorted(held)[:n]
+        held = sorted(held)[:n]
+        yield pa.RecordBatch.from_pydict({"o": pa.array([o for o, _ in held], pa.int64()), "region": pa.array([r for _, r in held], pa.string())})
+
+    return run
 
 
 def find(text: str | None, model: Model | None) -> tuple[list[Span], list[Span]]:
