@@ -11,7 +11,7 @@ dynamic programming over segment ends, bounded by the longest entity, finds
 the best boundaries and kinds together.  Of its segments those that overlap no
 rule span are added.
 
-The field is trained on at most SAMPLE regions (windows around digits and at
+The field is trained on at most SAMPLE distinct regions (windows around digits and at
 signs, the smallest by hash of their text), in which rule spans are the truth,
 each also rewritten in the ways that plain rules miss.  Gradients are exact,
 from the forward and backward sums over all segmentations.
@@ -383,8 +383,8 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model |
     cuts = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "region string")
     ranked = cuts.select(F.xxhash64("region").alias("o"), "region")
     # the smallest of each task, then of each of MERGES tasks: the driver gets at most MERGES times the sample
-    near = ranked.mapInArrow(_smallest(sample), ranked.schema).repartition(MERGES, F.xxhash64("region", F.lit(1)))
-    few = near.mapInArrow(_smallest(sample), ranked.schema).orderBy("o", "region").limit(sample)
+    near = ranked.mapInArrow(_smallest(sample), ranked.schema).repartition(MERGES)
+    few = near.mapInArrow(_smallest(sample), ranked.schema).distinct().orderBy("o", "region").limit(sample)
     return fit([r["region"] for r in few.collect()])
 
 
@@ -393,15 +393,15 @@ MERGES = 64
 
 
 def _smallest(n: int):
-    """Keeps the n first rows of a task by (o, region)."""
+    """Keeps the n first distinct rows of a task by (o, region)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, str]] = []
         for batch in batches:
             held += zip(batch.column("o").to_pylist(), batch.column("region").to_pylist(), strict=True)
             if len(held) > 8 * n:
-                held = sorted(held)[:n]
-        held = sorted(held)[:n]
+                held = sorted(set(held))[:n]
+        held = sorted(set(held))[:n]
         yield pa.RecordBatch.from_pydict({"o": pa.array([o for o, _ in held], pa.int64()), "region": pa.array([r for _, r in held], pa.string())})
 
     return run
