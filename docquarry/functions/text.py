@@ -5,6 +5,7 @@ The stemmer follows the published English (Porter2) algorithm.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -16,7 +17,12 @@ MAX_TOKEN_BYTES, MAX_DOCUMENT_TOKENS, MAX_QUERY_BYTES, MAX_QUERY_TOKENS = 240, 6
 _WORD = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
+_ASCII_WORD = re.compile(r"[a-z0-9]+")
+
+
 def words(text: str) -> list[str]:
+    if text.isascii():
+        return _ASCII_WORD.findall(text.lower())
     return [w.lower() for w in _WORD.findall(unicodedata.normalize("NFKC", text))]
 
 
@@ -30,6 +36,11 @@ def analyse(analyzer: str, text: str) -> tuple[list[str], list[str]]:
     raise EngineError("UNAVAILABLE", "japanese_v1 needs a morphological dictionary, which is not installed")
 
 
+def tokens(analyzer: str, text: str, surface: bool) -> list[str]:
+    """One of the two."""
+    return words(text) if surface or analyzer == "unicode_v1" else analyse(analyzer, text)[0]
+
+
 def query_tokens(analyzer: str, text: str, surface: bool) -> list[str]:
     if len(text.encode()) > MAX_QUERY_BYTES:
         raise invalid(f"a text query has at most {MAX_QUERY_BYTES} bytes")

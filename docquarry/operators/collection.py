@@ -56,11 +56,14 @@ class Collection:
     revision: int = 0
     texts: dict[str, DataFrame] | None = None
     archived: bool = False
+    scans: dict[str, Access] | None = None  # undeclared paths that df already has columns for
 
     def access(self, path: str, scan: bool) -> Access:
         f = self.definition.fields.get(path)
         if f is not None:
             return declared(f, self.definition.columns()[path])
+        if self.scans and path in self.scans:
+            return self.scans[path]
         if not scan:
             raise EngineError("INDEX_REQUIRED", f"`{path}` has no declared index; declare one or set allow_scan")
         return scanned(path)
@@ -124,6 +127,27 @@ def scanned(path: str, body: Column | None = None) -> Access:
     return Access(path, "any", tag, num=num, txt=txt, arr=arr, scale=SCAN_SCALE)
 
 
+def with_scans(source: Collection, paths: list[str]) -> tuple[Collection, Column]:
+    """The collection with columns for undeclared paths, and a condition to add to any filter on them.
+
+    A body is parsed once a row, in a projection below the filter.  Catalyst
+    would otherwise copy the parsing into every mention of a path; it does not
+    move a filter through a projection with a column that depends on the row's
+    place, which is what the condition keeps alive.
+    """
+    df = source.df.withColumn("__body", F.try_parse_json(F.col("body")))
+    df = df.withColumns({f"__s{i}": value_at(F.col("__body"), p) for i, p in enumerate(paths)})
+    df = df.withColumns({f"__s{i}_tag": kind_of(F.col(f"__s{i}")) for i in range(len(paths))})
+    made: dict[str, Column] = {}
+    scans: dict[str, Access] = {}
+    for i, path in enumerate(paths):
+        v, tag = F.col(f"__s{i}"), F.col(f"__s{i}_tag")
+        made |= {f"__s{i}_num": F.when(tag == NUMBER, scan_number(v)), f"__s{i}_str": F.when(tag == STRING, F.try_variant_get(v, "$", "string")), f"__s{i}_arr": F.when(tag == ARRAY, F.try_variant_get(v, "$", "array<variant>"))}
+        scans[path] = Access(path, "any", tag, F.col(f"__s{i}_num"), F.col(f"__s{i}_str"), F.col(f"__s{i}_arr"), SCAN_SCALE)
+    df = df.withColumns(made | {"__place": F.monotonically_increasing_id()})
+    return Collection(source.definition, df, source.revision, source.texts, source.archived, scans), F.col("__place") >= 0
+
+
 # ------------------------------------------------- columns from parsed bodies
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 from typing import Any
 
@@ -16,7 +16,7 @@ from pyspark.sql.types import StringType
 from ..functions import exact, pointer
 from ..plans import bind
 from ..plans.errors import EngineError, invalid
-from ..plans.query import DEFAULT_LIMIT, Aggregation, QueryRequest, check_shape
+from ..plans.query import DEFAULT_LIMIT, Aggregation, Filter, QueryRequest, check_shape
 from . import collection as c
 
 MAX_GROUPS = 10_000
@@ -34,15 +34,26 @@ class Bound:
 def bound(source: c.Collection, request: QueryRequest) -> Bound:
     """Checks everything that needs no data, then plans; no job runs."""
     check_shape(request)
-    lookup = lambda path: source.access(path, request.scans)
-    where = bind.predicate(request.where, lookup, filters=True)
+    undeclared = sorted(p for p in _paths(request) if p not in source.definition.fields) if request.scans else []
+    early, late = request.where, Filter()
+    if undeclared:
+        # conditions on declared paths stay below the parsing of bodies
+        early = Filter({p: ops for p, ops in request.where.fields.items() if p not in undeclared})
+        late = replace(request.where, fields={p: ops for p, ops in request.where.fields.items() if p in undeclared})
+        first = bind.predicate(early, lambda path: source.access(path, False), filters=True)
+        narrowed = c.Collection(source.definition, source.df.where(first), source.revision, source.texts, source.archived)
+        scanned, kept = c.with_scans(narrowed, undeclared)
+    else:
+        scanned, kept = source, None
+    lookup = lambda path: scanned.access(path, request.scans)
+    where = bind.predicate(late if undeclared else early, lookup, filters=True)
     for s in request.order:
         bind.order_columns(lookup(s.path), s.descending)
     for path in request.groups:
         bind.order_columns(lookup(path), False)
     for alias, a in request.aggregates.items():
         _check(alias, a, lookup)
-    df = source.df
+    df = scanned.df
     if request.text is not None:
         from .search import matches
 
@@ -51,7 +62,20 @@ def bound(source: c.Collection, request: QueryRequest) -> Bound:
         df = df.join(matches(source, request.text), "id")
     else:
         df = df.withColumn("score", F.lit(None).cast("double"))
-    return Bound(request, source, df if request.where.is_all() else df.where(where))
+    if kept is not None:
+        where = where & kept
+    elif request.where.is_all():
+        return Bound(request, scanned, df)
+    return Bound(request, scanned, df.where(where))
+
+
+def _paths(request: QueryRequest) -> set[str]:
+    """All paths that a query filters, sorts, groups or aggregates by."""
+
+    def of(f: Filter) -> set[str]:
+        return set(f.fields).union(*map(of, [*f.conjuncts, *(f.alternatives or []), *([f.negated] if f.negated else [])]))
+
+    return of(request.where) | {s.path for s in request.order} | set(request.groups) | {a.path for a in request.aggregates.values() if a.path}
 
 
 def _check(alias: str, a: Aggregation, lookup: bind.Lookup) -> None:

@@ -10,7 +10,7 @@ hold in that field; expansions of a clause and fields combine by maximum.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -31,8 +31,8 @@ GAP = 100
 POSTINGS = "field int, kind string, term string, id string, tf int, places array<int>, size int"
 
 
-def postings(source: Collection, index: Index) -> DataFrame:
-    """The token table of a text index; narrow."""
+def _texts(source: Collection, index: Index) -> tuple[DataFrame, int]:
+    """id and, for each field of the index, its texts as an array t0, t1, ..."""
     columns = source.definition.columns()
     given: list[Column] = []
     for f in index.fields:
@@ -40,10 +40,15 @@ def postings(source: Collection, index: Index) -> DataFrame:
         tag = F.col(f"{prefix}_tag")
         value = F.array(F.col(f"{prefix}_str")) if f.type == "string" else F.col(f"{prefix}_arr")
         given.append(F.when(tag == (STRING if f.type == "string" else ARRAY), value))
-    df = source.df.select("id", *[g.alias(f"t{i}") for i, g in enumerate(given)])
-    analyzer, n = index.text, len(given)
-    if analyzer == "japanese_v1":
-        tx.analyse(analyzer, "")
+    if index.text == "japanese_v1":
+        tx.analyse(index.text, "")
+    return source.df.select("id", *[g.alias(f"t{i}") for i, g in enumerate(given)]), len(given)
+
+
+def postings(source: Collection, index: Index) -> DataFrame:
+    """The token table of a text index; narrow."""
+    df, n = _texts(source, index)
+    analyzer = index.text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,9 +86,42 @@ def _terms(analyzer: str, texts: list | None) -> Iterator[tuple[str, dict[str, l
         yield "surface", surface
 
 
-def _table(source: Collection, index: Index) -> DataFrame:
-    made = source.texts or {}
-    return made[index.name] if index.name in made else postings(source, index)
+def scanned(source: Collection, index: Index, kind: str, keep: Callable[[str], bool]) -> DataFrame:
+    """Postings of an index that is not stored: only those of the terms to keep, and for each text the count of its other words, without a term."""
+    df, n = _texts(source, index)
+    analyzer = index.text
+    schema = pa.schema([("field", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("id", pa.string()), ("tf", pa.int32()), ("places", pa.list_(pa.int32())), ("size", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            out: list[tuple] = []
+            ids = batch.column("id").to_pylist()
+            for field in range(n):
+                for doc, texts in zip(ids, batch.column(f"t{field}").to_pylist(), strict=True):
+                    found: dict[str, list[int]] = {}
+                    size = at = 0
+                    for text in texts or []:
+                        if text is None:
+                            continue
+                        words = tx.tokens(analyzer, text, kind == "surface")
+                        for w in set(words):
+                            if w not in known:
+                                known[w] = keep(w)
+                        for i, w in enumerate(words):
+                            if known[w]:
+                                found.setdefault(w, []).append(at + i)
+                        size += len(words)
+                        at += len(words) + GAP
+                    if len(known) > 1 << 17:
+                        known.clear()
+                    out += [(field, kind, w, doc, len(places), places, size) for w, places in found.items()]
+                    if size:
+                        out.append((field, kind, None, doc, size - sum(map(len, found.values())), [], size))
+            columns = list(zip(*out, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+
+    return df.mapInArrow(run, POSTINGS)
 
 
 def build_text_index(source: Collection, name: str, path: str) -> Collection:
@@ -96,8 +134,8 @@ def build_text_index(source: Collection, name: str, path: str) -> Collection:
     return Collection(source.definition, source.df, source.revision, (source.texts or {}) | {name: made}, source.archived)
 
 
-def _expanded(terms: DataFrame, keep: Column, budget: int) -> list[str]:
-    found = [r["term"] for r in terms.where(keep).select("term").distinct().limit(min(MAX_TERM_EXPANSION, budget) + 1).collect()]
+def _expanded(terms: DataFrame, budget: int) -> list[str]:
+    found = [r["term"] for r in terms.where(F.col("term").isNotNull()).select("term").distinct().limit(min(MAX_TERM_EXPANSION, budget) + 1).collect()]
     if len(found) > min(MAX_TERM_EXPANSION, budget):
         raise EngineError("RESOURCE_EXHAUSTED", "a search term expands to too many words; make it longer")
     return found
@@ -112,22 +150,30 @@ def matches(source: Collection, search: TextSearch) -> DataFrame:
     tokens = tx.query_tokens(index.text, search.query, surface)
     if search.mode == "fuzzy" and search.fuzzy_distance and any(len(t) < 3 for t in tokens):
         raise invalid("a fuzzy term has at least three characters")
-    table = _table(source, index).where(F.col("kind") == ("surface" if surface else "ranked"))
+    kind = "surface" if surface else "ranked"
+    stored = (source.texts or {}).get(index.name)
+    if stored is not None:
+        stored = stored.where(F.col("kind") == kind)
     weights: list[tuple[int, str, float]] = []
     for i, token in enumerate(tokens):
-        left = MAX_EXPANSION - sum(1 for _, t, _ in weights if t)
+        left = MAX_EXPANSION - len(weights)
         if search.mode == "prefix" and i == len(tokens) - 1:
-            weights += [(i, t, 1.0) for t in _expanded(table, F.col("term").startswith(token), left)]
+            terms = scanned(source, index, kind, lambda w, token=token: w.startswith(token)) if stored is None else stored.where(F.col("term").startswith(token))
+            weights += [(i, t, 1.0) for t in _expanded(terms, left)]
         elif search.mode == "fuzzy" and search.fuzzy_distance:
             most = search.fuzzy_distance
-            near = F.levenshtein(F.col("term"), F.lit(token), 2 * most) >= 0  # a transposition is two plain edits
-            found = _expanded(table, near & _within(token, most)(F.col("term")), left)
-            weights += [(i, t, 1.0 / (1 + tx.distance(token, t, most))) for t in found]
+            if stored is None:
+                terms = scanned(source, index, kind, lambda w, token=token, most=most: tx.distance(token, w, most) <= most)
+            else:
+                near = F.levenshtein(F.col("term"), F.lit(token), 2 * most) >= 0  # a transposition is two plain edits
+                terms = stored.where(near & _within(token, most)(F.col("term")))
+            weights += [(i, t, 1.0 / (1 + tx.distance(token, t, most))) for t in _expanded(terms, left)]
         else:
             weights.append((i, token, 1.0))
     if {i for i, _, _ in weights} != set(range(len(tokens))):
         return source.df.select("id", F.lit(0.0).alias("score")).limit(0)
     wanted = sorted({t for _, t, _ in weights})
+    table = scanned(source, index, kind, frozenset(wanted).__contains__) if stored is None else stored
     hit = table.where(F.col("term").isin(wanted))
     # one pass for all statistics: a row for each field and wanted term, and one for the rest of a field
     named = F.when(F.col("term").isin(wanted), F.col("term")).alias("term")
