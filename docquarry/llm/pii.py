@@ -371,20 +371,27 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model |
     """Fit on at most `sample` regions of docs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, str]] = set()
         for batch in sliced(batches):
-            out = []
             for t in batch.column("text").to_pylist():
-                for a, b in regions(t or ""):
-                    if b - a <= 6 * REACH:
-                        out.append(t[a:b])
-            yield pa.RecordBatch.from_pydict({"region": pa.array(out, pa.string())})
+                held.update((_place(t[a:b]), t[a:b]) for a, b in regions(t or "") if b - a <= 6 * REACH)
+            if len(held) > 8 * sample:
+                held = set(sorted(held)[:sample])
+        yield _ranked(sorted(held)[:sample])
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: set[tuple[int, str]] = set()
+        for batch in batches:
+            held.update(zip(batch.column("o").to_pylist(), batch.column("region").to_pylist(), strict=True))
+            if len(held) > 8 * sample:
+                held = set(sorted(held)[:sample])
+        yield _ranked(sorted(held)[:sample])
 
     small_batches(docs)
-    cuts = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]")).mapInArrow(cut, "region string")
-    ranked = cuts.select(F.xxhash64("region").alias("o"), "region")
+    texts = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
     # the smallest of each task, then of each of MERGES tasks: the driver gets at most MERGES times the sample
-    near = ranked.mapInArrow(_smallest(sample), ranked.schema).repartition(MERGES)
-    few = near.mapInArrow(_smallest(sample), ranked.schema).distinct().orderBy("o", "region").limit(sample)
+    near = texts.mapInArrow(cut, "o bigint, region string").repartition(MERGES)
+    few = near.mapInArrow(least, "o bigint, region string").distinct().orderBy("o", "region").limit(sample)
     return fit([r["region"] for r in few.collect()])
 
 
@@ -392,19 +399,13 @@ def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model |
 MERGES = 64
 
 
-def _smallest(n: int):
-    """Keeps the n first distinct rows of a task by (o, region)."""
+def _place(region: str) -> int:
+    """A hash of the text: its place in the sample's order."""
+    return int.from_bytes(hashlib.blake2b(region.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, str]] = []
-        for batch in batches:
-            held += zip(batch.column("o").to_pylist(), batch.column("region").to_pylist(), strict=True)
-            if len(held) > 8 * n:
-                held = sorted(set(held))[:n]
-        held = sorted(set(held))[:n]
-        yield pa.RecordBatch.from_pydict({"o": pa.array([o for o, _ in held], pa.int64()), "region": pa.array([r for _, r in held], pa.string())})
 
-    return run
+def _ranked(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"o": pa.array([o for o, _ in rows], pa.int64()), "region": pa.array([r for _, r in rows], pa.string())})
 
 
 def find(text: str | None, model: Model | None) -> tuple[list[Span], list[Span]]:
