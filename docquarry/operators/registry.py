@@ -517,45 +517,43 @@ def write_put_patch_delete(spark, d):
 
 
 def _fed(spark, d):
-    """A tenant whose feed has four commits of ten events each, collections in turn; at most 40 rows."""
-    from ..functions import exact
-    from ..sources.store import Batch
-
+    """A tenant whose feed has all events: those of odd users in one commit, then all others in another collection."""
     tenant = _tenant(spark, "feed")
-    rows = _bodies(spark, d).orderBy("id").limit(40).collect()
-    for k in range(4):
-        batch = Batch(f"commit-{k}")
-        for r in rows[10 * k : 10 * k + 10]:
-            batch = batch.insert("events" if k % 2 == 0 else "other", r["id"], exact.loads(r["body"]))
-        tenant.mutate(batch)
+    tenant.feed_events = 1 << 40
+    tenant.feed_bytes = 1 << 50
+    odd = t.read(spark, d, "events").where("user_id % 2 = 1").select(t.fixed_width("event_id").alias("id"))
+    bodies = _bodies(spark, d)
+    tenant.load("events", bodies.join(odd, "id", "left_semi"))
+    tenant.load("other", bodies.join(odd, "id", "left_anti"))
     return tenant
 
 
-_FED = f"SELECT row_number() OVER (ORDER BY event_id) AS sequence, ((row_number() OVER (ORDER BY event_id) - 1) // 10) AS k, {_EID} FROM events QUALIFY sequence <= 40"
+_FED = f"""SELECT row_number() OVER (ORDER BY CASE WHEN user_id % 2 = 1 THEN 0 ELSE 1 END, event_id) AS sequence, {_EID},
+  CASE WHEN user_id % 2 = 1 THEN 'events' ELSE 'other' END AS collection, CAST(count(*) OVER (PARTITION BY user_id % 2) AS INTEGER) AS commit_event_count FROM events"""
 
 
-@query(f"SELECT sequence, id, CASE WHEN k % 2 = 0 THEN 'events' ELSE 'other' END AS collection, CAST(10 AS INTEGER) AS commit_event_count FROM ({_FED}) WHERE sequence > 5 AND sequence <= 33")
+@query(f"SELECT sequence, id, collection, commit_event_count FROM ({_FED}) WHERE sequence > 100")
 def feed_after(spark, d):
     from ..sources import feed
 
-    return feed.table(_fed(spark, d), 5, 33).select("sequence", "id", "collection", "commit_event_count")
+    return feed.table(_fed(spark, d), 100).select("sequence", "id", "collection", "commit_event_count")
 
 
-@query(f"SELECT sequence, id FROM ({_FED}) WHERE k % 2 = 1")
+@query(f"SELECT sequence, id FROM ({_FED}) WHERE collection = 'other'")
 def feed_scope(spark, d):
     from ..sources import feed
 
     tenant = _fed(spark, d)
     events, start = [], "beginning"
     while True:
-        got = feed.read(tenant, ["other"], start, 7)
+        got = feed.read(tenant, ["other"], start, 1000)
         events += [(e["sequence"], e["id"]) for e in got.events]
         start = got.cursor
         if got.caught_up:
             return spark.createDataFrame(events, "sequence bigint, id string")
 
 
-@query(f"SELECT sequence, id FROM ({_FED}) WHERE k % 2 = 0")
+@query(f"SELECT sequence, id FROM ({_FED}) WHERE collection = 'events'")
 def feed_stream(spark, d):
     from ..sources.scratch import shared_folder
     from ..streaming.feed import register
@@ -577,15 +575,17 @@ def archive_union(spark, d):
     return flat(s, s.df, type="/type")
 
 
-@query(f"SELECT {_EID} FROM events ORDER BY event_id LIMIT 250")
+@query(f"SELECT {_EID} FROM events")
 def lease_scan_pages(spark, d):
     tenant = _tenant(spark, "lease")
     tenant.load("events", _bodies(spark, d))
     lease, after, found = tenant.lease(), None, []
-    for _ in range(5):
-        got = tenant.lease_scan(lease, "events", after, 50)
+    while True:
+        got = tenant.lease_scan(lease, "events", after, 1000)
         found += [(x["id"],) for x in got["documents"]]
         after = got["next_after_id"]
+        if after is None:
+            break
     tenant.close(lease)
     return spark.createDataFrame(found, "id string")
 

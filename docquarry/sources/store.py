@@ -20,6 +20,7 @@ from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import exact, pointer
@@ -487,10 +488,33 @@ class Tenant:
         size = sum(len(e[3] or "") + len(e[1]) for e in events)
         feed["segments"].append({"path": self._write(table, "feed"), "first": feed["next"], "count": n, "bytes": size})
         feed["next"] += n
+        self._trim(feed)
+
+    def _trim(self, feed: dict) -> None:
         while len(feed["segments"]) > 1 and (sum(s["count"] for s in feed["segments"]) > self.feed_events or sum(s["bytes"] for s in feed["segments"]) > self.feed_bytes):
             feed["segments"].pop(0)  # whole commits only
         feed["first"] = feed["segments"][0]["first"]
 
+    def _feed_load(self, new: dict, name: str, docs: DataFrame, revision: int) -> None:
+        """The events of a bulk load, in order of id, as one segment; numbered without bringing them together."""
+        feed = new["feed"]
+        n, size = docs.agg(F.count(F.lit(1)), F.sum(F.length("body") + F.length("id"))).first()
+        if not n:
+            return
+        dealt = docs.select("id", "body").repartitionByRange("id").withColumn("part", F.spark_partition_id())
+        held = self._frame([self._write(dealt, "feed-order")], "id string, body string, part int")
+        counts = held.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+        starts = counts.select("part", F.coalesce(F.sum("k").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+        place = F.col("start") + F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
+        numbered = held.join(F.broadcast(starts), "part").withColumn("ordinal", place)
+        events = numbered.select(
+            (F.lit(feed["next"]) + F.col("ordinal")).alias("sequence"), F.lit(revision).cast("long").alias("revision"), F.col("ordinal").cast("int").alias("ordinal"), F.lit(n).cast("int").alias("commit_event_count"),
+            F.lit(name).alias("collection"), "id", F.lit(revision).cast("long").alias("version"), F.col("body").alias("document"),
+        )
+        feed["segments"].append({"path": self._write(events, "feed"), "first": feed["next"], "count": n, "bytes": size})
+        feed["next"] += n
+        self._trim(feed)
+
     def _record(self, new: dict, principal: str, batch: Batch, revision: int, outcome: dict) -> None:
         row = pa.table({"principal": [principal], "key": [batch.key], "digest": [batch.digest()], "revision": pa.array([revision], pa.int64()), "outcome": [exact.dumps(outcome)]})
         new["receipts"].append(self._write(row, "receipts"))
@@ -598,8 +622,10 @@ class Tenant:
             revision = old["revision"] + 1
             definition = CollectionDefinition.from_json(held["definition"])
             made = c.from_json(definition, df.select("id", F.lit(revision).cast("long").alias("version"), "body"))
-            new["collections"][name]["base"] = [self._write(made.df, f"data/{name}")]
+            base = self._write(made.df, f"data/{name}")
+            new["collections"][name]["base"] = [base]
             new["collections"][name]["data_epoch"] += 1
+            self._feed_load(new, name, self._frame([base], c.schema_of(definition)), revision)
             self._audit(new, principal, "load", name, revision)
             self._commit(old, new)
             return revision

@@ -117,6 +117,8 @@ def test_feed_scope_gap_and_stream(spark, tenant, tmp_path):
 def test_definitions_policy_leases_staging_archive_audit(spark, tenant):
     t = tenant
     t.load("log", spark.range(40).selectExpr("lpad(id, 3, '0') as id", "concat('{\"n\":', id, '}') as body"))
+    loaded = feed.table(t).orderBy("sequence").collect()
+    assert [(e.sequence, e.ordinal, e.id, e.commit_event_count) for e in loaded] == [(k + 1, k, f"{k:03d}", 40) for k in range(40)]
     lease = t.lease()
     tx = t.begin()
     t.append(tx, 0, Batch().insert("log", "900", {"n": 900}).operations)
