@@ -3,8 +3,8 @@
 A word is a maximal run of digits, ASCII letters (folded to lower case) and
 any characters beyond ASCII.  On UTF-8 bytes that is a table lookup, so whole
 groups of texts are cut and hashed at once with numpy.  Memory is bounded by
-the group: texts are joined up to GROUP_BYTES, and a longer text is its own
-group.
+the group: texts are joined up to GROUP_BYTES, and a longer text is hashed in
+pieces of about PIECE_BYTES that end where a word does.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 GROUP_BYTES = 1 << 18
+PIECE_BYTES = 1 << 20
 
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _IS_WORD = np.zeros(256, bool)
@@ -73,13 +74,24 @@ def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
 
 def _cut(group: list[bytes]) -> Iterator[np.ndarray]:
     if len(group) == 1:
-        yield _hash_words(group[0])[0]
+        yield _hash_long(group[0])
         return
     hashes, starts = _hash_words(b"\n".join(group))
     limits = np.cumsum([len(g) + 1 for g in group])
     yield from np.split(hashes, np.searchsorted(starts, limits[:-1]))
 
 
+def _hash_long(folded: bytes) -> np.ndarray:
+    found, at = [], 0
+    while at < len(folded):
+        end = at + PIECE_BYTES
+        while end < len(folded) and _IS_WORD[folded[end]]:
+            end += 1
+        found.append(_hash_words(folded[at:end])[0])
+        at = end
+    return np.concatenate(found) if found else np.zeros(0, _U)
+
+
 def shingle_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the runs of n words; fewer words, but not none, make one run."""
     if not len(words):
