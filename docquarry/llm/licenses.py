@@ -31,6 +31,8 @@ from .text import FOLD, encoded, mix, shingle_hashes, word_hashes
 SHINGLE = 5
 CONTAINMENT = 0.8
 BANDS, ROWS = 16, 2
+#: Up to so many templates of a length, their bands are compared one by one; more are looked up by key.
+FEW = 8
 FILTER_BITS = 18
 
 # Standard notices of common licenses.
@@ -94,12 +96,14 @@ class Templates:
         self.names: list[str] = []
         self.shingles: list[list[tuple[bytes, ...]]] = []
         keys: list[tuple[int, int]] = []
+        minima_of: list[np.ndarray] = []
         for name, notices in sorted(texts.items()):
             for notice in notices:
                 words = next(word_hashes([notice]))
                 if not len(words):
                     continue
                 minima = _minhashes(shingle_hashes(words, SHINGLE)).min(axis=1, keepdims=True)
+                minima_of.append(minima[:, 0])
                 keys += [(int(k), len(self.names)) for k in _keys(minima)[:, 0]]
                 self.names.append(name)
                 self.shingles.append(_shingles([w for _, _, w in _words(encoded(notice))]))
@@ -109,6 +113,12 @@ class Templates:
         self.maybe = np.zeros(1 << FILTER_BITS, bool)
         self.maybe[(self.keys >> _U(64 - FILTER_BITS)).astype(np.int64)] = True
         self.lengths = sorted({len(s) for s in self.shingles})
+        #: Few templates by length in shingles and words of a shingle: their numbers and minima.
+        self.few: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}
+        for key in {(len(s), len(s[0])) for s in self.shingles}:
+            own = np.array([i for i, s in enumerate(self.shingles) if (len(s), len(s[0])) == key])
+            if len(own) <= FEW:
+                self.few[key] = own, np.stack([minima_of[i] for i in own])
         self.short = {len(s[0]) for s in self.shingles if len(s[0]) < SHINGLE}
 
     def retrieved(self, words: np.ndarray) -> set[tuple[int, int]]:
@@ -119,16 +129,20 @@ class Templates:
                 continue
             hashes = _minhashes(_runs(words, n))
             count = hashes.shape[1]
+            levels = [hashes]  # minima over windows of 1, 2, 4, ... shingles, shared by all lengths
             for m in self.lengths if n == SHINGLE else [1]:
                 step = max(1, m // 8)
-                if m == 1:
-                    minima, starts = hashes, np.arange(count)
-                elif count <= m:
+                if count <= m:
                     minima, starts = hashes.min(axis=1, keepdims=True), np.zeros(1, int)
                 else:
-                    starts = np.arange(0, count - m + step, step)
-                    minima = _window_minima(hashes, m, np.minimum(starts, count - m))
-                    starts = np.minimum(starts, count - m)
+                    starts = np.append(np.arange(0, count - m, step), count - m)
+                    minima = _window_minima(levels, m, starts, step)
+                if (m, n) in self.few:
+                    own, bands = self.few[m, n]
+                    same = (minima[None] == bands[:, :, None]).reshape(len(own), BANDS, ROWS, -1).all(axis=2)
+                    which, _, at = np.nonzero(same)
+                    out.update(zip(own[which].tolist(), starts[at].tolist(), strict=True))
+                    continue
                 keys = _keys(minima)
                 band, at = np.nonzero(self.maybe[(keys >> _U(64 - FILTER_BITS)).astype(np.int64)])
                 for k, s in zip(keys[band, at], starts[at].tolist(), strict=True):
@@ -174,13 +188,16 @@ def _runs(words: np.ndarray, n: int) -> np.ndarray:
     return mix(out + _U(n))
 
 
-def _window_minima(hashes: np.ndarray, m: int, starts: np.ndarray) -> np.ndarray:
-    """Minima over windows of m columns: of two overlapping windows whose length is a power of two."""
-    size, best = 1, hashes
-    while 2 * size <= m:
-        best = np.minimum(best[:, :-size], best[:, size:])
-        size *= 2
-    return np.minimum(best[:, starts], best[:, starts + m - size])
+def _window_minima(levels: list[np.ndarray], m: int, starts: np.ndarray, step: int) -> np.ndarray:
+    """Minima over the windows of m columns at starts (every step, and the last): of two overlapping windows whose length is a power of two."""
+    k = m.bit_length() - 1
+    while len(levels) <= k:
+        half = 1 << len(levels) - 1
+        levels.append(np.minimum(levels[-1][:, :-half], levels[-1][:, half:]))
+    best, shift = levels[k], m - (1 << k)
+    if step == 1:
+        return np.minimum(best[:, : len(starts)], best[:, shift : shift + len(starts)])
+    return np.minimum(best[:, starts], best[:, starts + shift])
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, text: str = "text") -> DataFrame:

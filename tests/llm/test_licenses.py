@@ -44,5 +44,19 @@ def test_own_templates_and_window_minima():
     text = "this is free art indeed"
     assert [f["license"] for f in known.scan(text, next(lic.word_hashes([text])))] == ["tiny"]
     h = np.random.default_rng(0).integers(0, 99, (3, 40)).astype(np.uint32)
-    starts = np.arange(0, 30, 3)
-    assert (lic._window_minima(h, 11, starts) == np.stack([h[:, s : s + 11].min(axis=1) for s in starts], axis=1)).all()
+    levels = [h]
+    for m, step in ((1, 1), (11, 3), (4, 1), (29, 3), (16, 2)):
+        starts = np.append(np.arange(0, 40 - m, step), 40 - m)
+        assert (lic._window_minima(levels, m, starts, step) == np.stack([h[:, s : s + m].min(axis=1) for s in starts], axis=1)).all()
+
+
+def test_keys_and_direct_comparison_retrieve_alike(monkeypatch):
+    text = "x y z released under the MIT license and this work is licensed under the GNU General Public License, version 3. Licensed under CC BY-NC 4.0"
+    words = next(lic.word_hashes([text]))
+    few = lic.Templates(lic.TEMPLATES)
+    assert few.few
+    monkeypatch.setattr(lic, "FEW", 0)
+    many = lic.Templates(lic.TEMPLATES)
+    assert not many.few and few.retrieved(words) <= many.retrieved(words)
+    assert {t for t, _ in few.retrieved(words)} == {t for t, _ in many.retrieved(words)}
+    assert few.scan(text, words) == many.scan(text, words) and len(few.scan(text, words)) == 3
