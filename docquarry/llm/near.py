@@ -24,6 +24,8 @@ Steps, none of which brings a group of documents together in one task:
    anew.  In a bucket of several
    blocks all members are also linked to its hub, the member with the most
    bucket fellows, which in a group of edited copies is the original.
+   A last phase takes every pair of a block that is still in two classes and
+   has the least estimate; blocks hold CROSS_MEMBERS there.
 4. Links are verified on the whole texts: weighted Jaccard >= THRESHOLD.
 5. Components of the verified links are contracted.
 6. The class id is the smallest id of all rows of the component.
@@ -62,6 +64,8 @@ PARTNERS = 3
 #: In large blocks different bands try different partners.
 TURNS = 4
 PHASES = 3
+#: Members of a block of the last phase, which compares all pairs of classes that are still apart.
+CROSS_MEMBERS = 4096
 #: Shingles that are sampled at once.
 CHUNK = 512
 
@@ -261,6 +265,71 @@ def _block_links(placed: DataFrame, phase: int) -> DataFrame:
     return dealt.select("band", "hash", "block", "key", "root", "sketch").mapInArrow(run, "a binary, b binary")
 
 
+def _cross_pairs(token: np.ndarray, label: np.ndarray, side: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each member i, those behind it of other classes that it meets in no band before this one, with estimate >= LEAST_ESTIMATE.
+
+    Members are in order of label.  Where they are of two sides, only pairs of
+    both sides count.
+    """
+    end = np.searchsorted(label, label, "right")
+    two = side.min() != side.max()
+    for i in range(len(label)):
+        at = np.arange(end[i], len(label))
+        if two:
+            at = at[side[at] != side[i]]
+        if not len(at):
+            continue
+        same = token[at] == token[i]
+        near = same.mean(axis=1) >= LEAST_ESTIMATE
+        at, same = at[near], same[near]
+        first = same.reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
+        if not first.all():
+            yield i, at[~first]
+
+
+def _cross_links(placed: DataFrame) -> DataFrame:
+    """Links (a, b) of all pairs of a bucket that are of different classes and similar enough by estimate."""
+    mixed = placed.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "hash")
+    blocks = F.ceil(F.col("n") / CROSS_MEMBERS).cast("int")
+    own = placed.join(mixed, ["band", "hash"]).withColumn("side", F.pmod(F.xxhash64("key", "band"), blocks).cast("int"))
+    met = own.withColumn("other", F.col("side"))
+    dealt = met.select("band", "hash", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "key", "root", "sketch")
+    dealt = dealt.repartition("band", "hash", "low", "high").sortWithinPartitions("band", "hash", "low", "high", "root", "key")
+
+    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        (band, _, low, high), *_ = rows[0]
+        label = np.cumsum([0, *(r[3] != q[3] for q, r in zip(rows, rows[1:]))])
+        side = np.array([r[1] for r in rows])
+        if not label[-1] or low != high and side.min() == side.max():
+            return
+        token = np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), -1)
+        keys = [r[2] for r in rows]
+        a: list[bytes] = []
+        b: list[bytes] = []
+        for i, at in _cross_pairs(token, label, side, band):
+            for j in at.tolist():
+                a.append(min(keys[i], keys[j]))
+                b.append(max(keys[i], keys[j]))
+            if len(a) > 10_000:
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+                a, b = [], []
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "hash", "low", "high", "side", "key", "root", "sketch")), strict=True):
+                own = row[:4], *row[4:]
+                if held and held[-1][0] != own[0]:
+                    yield from links(held)
+                    held = []
+                held.append(own)
+        if held:
+            yield from links(held)
+
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
 def _hub_links(placed: DataFrame) -> DataFrame:
     """In buckets of several blocks, links of the members to the one with the most fellows."""
     large = placed.where(F.col("n") > BLOCK_MEMBERS).select("band", "hash", "key", "degree")
@@ -313,11 +382,11 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights
     links: list[DataFrame] = []
     tested: DataFrame | None = None
     roots: DataFrame | None = None
-    for phase in range(PHASES):
+    for phase in range(PHASES + 1):
         placed = buckets.withColumn("root", F.col("key"))
         if roots is not None:
             placed = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        found = _block_links(placed, phase)
+        found = _block_links(placed, phase) if phase < PHASES else _cross_links(placed)
         if not phase:
             found = found.unionAll(_hub_links(buckets))
         found = found.distinct()

@@ -73,3 +73,27 @@ def test_repeats_null_ids_and_empty(spark):
     assert sorted((r.doc_id or -1, r.class_id or -1) for r in near.digests(df).collect()) == [(-1, -1), (-1, -1), (-1, 5), (5, 5), (5, 5)]
     assert near.digests(df.limit(0)).count() == 0
     assert near.one_of_each(df.limit(0)).count() == 0
+
+
+def family(seed, size, words, edits, vocab=3000):
+    """Copies of one text with random words replaced, the original missing."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(vocab)}" for _ in range(words)]
+    rows = []
+    for k in range(size):
+        w = list(base)
+        for at in rng.sample(range(words), edits):
+            w[at] = f"w{rng.randrange(vocab)}"
+        rows.append((k, " ".join(w)))
+    return rows
+
+
+def classes_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    return {r["id"]: r.class_id for r in near.classes(df, weights=near.Weights(np.zeros(0, np.int64), np.zeros(0))).collect()}
+
+
+def test_every_link_just_above_the_threshold_is_found(spark):
+    for seed in (0, 2):
+        rows = family(seed, 60, 200, 3)
+        assert classes_of(spark, rows) == components(rows)
