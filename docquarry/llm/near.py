@@ -21,11 +21,11 @@ Steps, none of which brings a group of documents together in one task:
    forest that takes the most similar pairs first (estimate >= LEAST_ESTIMATE),
    and in further phases, after step 5, each member with PARTNERS of the most
    similar members of other classes, which differ by band, blocks being dealt
-   anew.  In a bucket of several
+   anew in each band.  In a bucket of several
    blocks all members are also linked to its hub, the member with the most
    bucket fellows, which in a group of edited copies is the original.
-   A last phase takes every pair of a block that is still in two classes and
-   has the least estimate; blocks hold CROSS_MEMBERS there.
+   A last phase takes every pair of a bucket that is still in two classes and
+   has the least estimate, in tasks of two blocks of CROSS_MEMBERS at a time.
 4. Links are verified on the whole texts: weighted Jaccard >= THRESHOLD.
 5. Components of the verified links are contracted.
 6. The class id is the smallest id of all rows of the component.
@@ -227,7 +227,7 @@ def _partners(like: np.ndarray, root: list, turn: int) -> Iterator[tuple[int, in
 def _block_links(placed: DataFrame, phase: int) -> DataFrame:
     """Links (a, b) within the blocks of the buckets."""
     n = F.ceil(F.col("n") / BLOCK_MEMBERS)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("key", F.lit(phase)), n).cast("int"))
+    dealt = placed.withColumn("block", F.pmod(F.xxhash64("key", "band", F.lit(phase)), n).cast("int"))
     dealt = dealt.repartition("band", "hash", "block").sortWithinPartitions("band", "hash", "block", "key")
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
@@ -292,7 +292,7 @@ def _cross_links(placed: DataFrame) -> DataFrame:
     mixed = placed.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "hash")
     blocks = F.ceil(F.col("n") / CROSS_MEMBERS).cast("int")
     own = placed.join(mixed, ["band", "hash"]).withColumn("side", F.pmod(F.xxhash64("key", "band"), blocks).cast("int"))
-    met = own.withColumn("other", F.col("side"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = met.select("band", "hash", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "key", "root", "sketch")
     dealt = dealt.repartition("band", "hash", "low", "high").sortWithinPartitions("band", "hash", "low", "high", "root", "key")
 

@@ -97,3 +97,10 @@ def test_every_link_just_above_the_threshold_is_found(spark):
     for seed in (0, 2):
         rows = family(seed, 60, 200, 3)
         assert classes_of(spark, rows) == components(rows)
+
+
+def test_links_between_the_blocks_of_a_bucket_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near, "BLOCK_MEMBERS", 4)
+    monkeypatch.setattr(near, "CROSS_MEMBERS", 8, raising=False)
+    rows = family(2, 60, 200, 3)
+    assert classes_of(spark, rows) == components(rows)
