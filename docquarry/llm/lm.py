@@ -13,15 +13,20 @@ end of text.  What is learned, over all training texts:
 3. Classes of the core words by exchange: each word in turn moves to the class
    in which the class bigram likelihood is greatest, until a sweep moves none
    or SWEEPS are done.  Every rare kind, and the end, is a class of its own.
+4. Every other word that occurs LEAST_COUNT times joins the class in which its
+   own occurrences, between the classes before and behind them, are likeliest;
+   their counts are a distributed table by word.  Only rarer words stay with
+   their kind.
+5. Class bigrams anew, over all texts with the classes of all words.  Classes of
+   words that are not at hand in the executors come by a join (`_coded`).
 
 A token's probability is
   LAMBDA T(class | class before) E(word | class) + (1 - LAMBDA) U(word),
 U the add-half unigram probability, E the share of the word among its class by
 add-half counts, T the class bigram with add-one-half-times-class-share
-smoothing.  Both E and U of a rare word are its count + 1/2 times what only
-its kind decides, so a text's score is a sum known on the spot plus log10 of
-(count + 1/2) over its rare tokens; those tokens meet the count table in one
-join, on words of which none is frequent.
+smoothing.  A text becomes one class a token and the sum of log10(count + 1/2);
+the tokens that are not among the TOP meet the table of words in one join, on
+words of which none is frequent.
 
 Defined cases: null text is empty (one token, the end); without training texts
 every count is 0; repeated rows count as often as they stand; nothing here
@@ -30,9 +35,10 @@ depends on other columns.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -51,11 +57,17 @@ TOP = 50_000
 #: A frequent word makes up at least one in so many tokens; so there are never more than that many to choose from.
 LEAST_SHARE = 1 << 20
 RARE_KINDS = 8
+#: Words outside the core that occur so often get a class.
+LEAST_COUNT = 3
+#: Added to the code of a token whose class a join decides; no class is as large.
+OPEN = 128
 SYMBOLS = 1 << 11  # core words, rare kinds and the end: at most
 PAIRS = SYMBOLS * SYMBOLS
 END = b"\n"  # no word is one
 #: Distinct words that one task counts before it hands them on.
 HELD_WORDS = 400_000
+#: Distinct words with classes around them that one task counts before it hands them on.
+HELD_CONTEXTS = 200_000
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -167,23 +179,32 @@ class Model:
     label: np.ndarray  # class of a symbol
     size: np.ndarray  # of a class: sum of (count + 1/2), the unseen word of a rare kind included
     core: int
+    classes: np.ndarray  # of the TOP words and the end, by their place
 
-    def score(self, text: str | None) -> tuple[int, int, float, float, list[bytes]]:
-        """n_tokens, known frequent tokens, base and score without the rare tokens' own log10(c + 1/2), and those tokens."""
+    def code(self, text: str | None) -> tuple[int, int, float, bytes, list[bytes]]:
+        """n_tokens, known frequent tokens, their sum of log10(c + 1/2), a class for each token, and the rare tokens.
+
+        A rare token's class is that of its kind, plus OPEN.
+        """
         words = [*tokens(text), END]
         at = [*map(self.place.get, words)]
         rare = [w for w, a in zip(words, at, strict=True) if a is None]
-        plus = self.count[np.array([self._spare if a is None else a for a in at])]
-        end = self.core + RARE_KINDS
-        core = self.core
-        symbols = np.array([a if a is not None and a < core else core + kind(w) for w, a in zip(words, at, strict=True)], np.int64)
-        symbols[-1] = end
-        classes = self.label[symbols]
-        previous = np.concatenate([self.label[end : end + 1], classes[:-1]])
-        whole = self.total + 0.5 * (self.distinct + 1)
-        each = LAMBDA * self.transition[previous, classes] / self.size[classes] + (1 - LAMBDA) / whole
-        logs = float(np.log10(plus).sum())
-        return len(words), int((plus > 1.2).sum()), logs - len(words) * float(np.log10(whole)), logs + float(np.log10(each).sum()), rare
+        place = np.array([self._spare if a is None else a for a in at])
+        plus = self.count[place]
+        codes = self.classes[np.minimum(place, len(self.classes) - 1)].astype(np.uint8)
+        codes[place == self._spare] = [OPEN + CLASSES + kind(w) for w in rare]
+        return len(words), int((plus > 1.2).sum()), float(np.log10(plus).sum()), codes.tobytes(), rare
+
+    @property
+    def whole(self) -> float:
+        return self.total + 0.5 * (self.distinct + 1)
+
+    def score(self, codes: bytes) -> float:
+        """Sum of log10 probabilities less log10(c + 1/2); the last token is the end, which also stands before the first."""
+        classes = np.frombuffer(codes, np.uint8).astype(np.int64)
+        previous = np.concatenate([classes[-1:], classes[:-1]])
+        each = LAMBDA * self.transition[previous, classes] / self.size[classes] + (1 - LAMBDA) / self.whole
+        return float(np.log10(each).sum())
 
     def __post_init__(self):
         self._spare = len(self.count)
@@ -191,7 +212,16 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table of all counts (word, c)."""
+    """The model and the table of all words (word, c, cls)."""
+    model, words = _learned(docs, text)
+    return _with_transitions(model, _coded(docs, model, words, text, [])), words
+
+
+def _learned(docs: DataFrame, text: str) -> tuple[Model, DataFrame]:
+    """The model with the transitions of the core and the kinds only, and the table of all words.
+
+    cls is the class of the words outside the core that occur LEAST_COUNT times, else null.
+    """
     counts = written(word_counts(docs, text), "words")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     is_end = F.col("word") == END.decode()
@@ -220,22 +250,102 @@ def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
     hot = np.zeros((end + 1, CLASSES + RARE_KINDS + 1))
     hot[np.arange(end + 1), label] = 1
     table = hot.T @ pairs @ hot
-    n_class = table.sum(axis=0)
     c = np.array([*[r["c"] for r in top], ends["c"] if ends else 0], np.float64)
     size = np.zeros(len(table))
     np.add.at(size, label[:core], c[:core] + 0.5)
-    others = {r["kind"]: r["mass"] for r in _kind_masses(counts.where(~is_end)).collect()}
-    for i, r in enumerate(top[:core]):
+    clustered = size[:CLASSES].copy()
+    contexts = _contexts(docs, text, {r["word"].encode(): int(label[i]) for i, r in enumerate(top[:core])})
+    assigned = written(_assigned(contexts, _smoothed(table, np.maximum(clustered, 0.5).tolist() + [1.0] * (RARE_KINDS + 1)), clustered), "assigned")
+    for r in assigned.groupBy("cls").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
+        size[r["cls"]] += r["mass"]
+    words = written(counts.join(assigned.select("word", "cls"), "word", "left"), "classed")
+    others = {r["kind"]: r["mass"] for r in _kind_masses(words.where(~is_end & F.col("cls").isNull())).collect()}
+    for r in top[:core]:
         others[kind(r["word"].encode())] -= r["c"] + 0.5
     for k in range(RARE_KINDS):
         size[CLASSES + k] = max(0.0, others.get(k, 0.0)) + 0.5
     size[CLASSES + RARE_KINDS] = c[-1] + 0.5
-    share = np.where(size > 0, n_class + 0.5, 0)  # a class without words gets no probability
+    known = {r["word"]: r["cls"] for r in assigned.where(F.col("n") * LEAST_SHARE >= int(totals["n"] or 0)).orderBy(F.desc("n"), "word").limit(TOP).collect()}
+    classes = [int(label[i]) if i < core else known.get(r["word"], CLASSES + kind(r["word"].encode())) for i, r in enumerate(top)]
+    model = Model(int(totals["n"] or 0), int(totals["v"] or 0), c, place, table, label, size, core, np.array([*classes, CLASSES + RARE_KINDS], np.uint8))
+    return model, words
+
+
+def _smoothed(table: np.ndarray, size) -> np.ndarray:
+    """T from class bigram counts; a class without words gets no probability."""
+    size = np.asarray(size)
+    share = np.where(size > 0, table.sum(axis=0) + 0.5, 0)
     share /= share.sum()
     strength = 0.5 * np.count_nonzero(size)
-    transition = (table + strength * share) / (table.sum(axis=1, keepdims=True) + strength)
-    size = np.maximum(size, 0.5)
-    return Model(int(totals["n"] or 0), int(totals["v"] or 0), c, place, transition, label, size, core), counts
+    return (table + strength * share) / (table.sum(axis=1, keepdims=True) + strength)
+
+
+def _with_transitions(model: Model, coded: DataFrame) -> Model:
+    """The model with the class bigrams of the texts of _coded()."""
+
+    def count(counters: np.ndarray, batch: pa.RecordBatch) -> None:
+        for codes in batch.column("codes").to_pylist():
+            classes = np.frombuffer(codes, np.uint8).astype(np.int64)
+            previous = np.concatenate([classes[-1:], classes[:-1]])
+            pair, n = np.unique(previous * OPEN + classes, return_counts=True)
+            counters[pair] += n
+
+    n = len(model.size)
+    table = gathered(counter_sum(coded.select("codes"), OPEN * OPEN, count), OPEN * OPEN).reshape(OPEN, OPEN)[:n, :n].astype(np.float64)
+    made = replace(model, transition=_smoothed(table, model.size), size=np.maximum(model.size, 0.5), count=model.count[:-1] - 0.5)
+    return made
+
+
+def _contexts(docs: DataFrame, text: str, core: dict[bytes, int]) -> DataFrame:
+    """(word, around, n): how often a word outside the core stands between two classes (before * OPEN + behind)."""
+    shared = docs.sparkSession.sparkContext.broadcast(core)
+    end = CLASSES + RARE_KINDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        held: Counter[tuple[bytes, int]] = Counter()
+
+        def out() -> Iterator[pa.RecordBatch]:
+            keys, counts = list(held), list(held.values())
+            for at in range(0, len(keys), 50_000):
+                words, around = zip(*keys[at : at + 50_000], strict=True)
+                yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "around": pa.array(around, pa.int32()), "n": pa.array(counts[at : at + 50_000], pa.int64())})
+            held.clear()
+
+        for batch in sliced(batches, 64):
+            for t in batch.column("text").to_pylist():
+                words = tokens(t)
+                given = [known.get(w) for w in words]
+                classes = np.array([end, *[CLASSES + kind(w) if c is None else c for w, c in zip(words, given, strict=True)], end])
+                around = (classes[:-2] * OPEN + classes[2:]).tolist()
+                held.update((w, r) for w, c, r in zip(words, given, around, strict=True) if c is None)
+            if len(held) > HELD_CONTEXTS:
+                yield from out()
+        yield from out()
+
+    small_batches(docs)
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, around int, n bigint").groupBy("word", "around").agg(F.sum("n").alias("n"))
+
+
+def _assigned(contexts: DataFrame, transition: np.ndarray, size: np.ndarray) -> DataFrame:
+    """(word, n, cls): the class in which the occurrences of a word are likeliest, for words that occur LEAST_COUNT times."""
+    log_t, total = np.log(transition), len(transition)
+    by_word = contexts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("around", "n")).alias("each"))
+    by_word = by_word.where(F.col("n") >= LEAST_COUNT).select("word", "n", F.col("each.around").alias("around"), F.col("each.n").alias("times"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches):
+            around = batch.column("around")
+            row = np.repeat(np.arange(batch.num_rows), np.array(around.value_lengths().to_pylist(), np.int64))
+            at, times = around.flatten().to_numpy().astype(np.int64), batch.column("times").flatten().to_numpy()
+            before, behind = np.zeros((batch.num_rows, total)), np.zeros((batch.num_rows, total))
+            np.add.at(before, (row, at // OPEN), times)
+            np.add.at(behind, (row, at % OPEN), times)
+            n = batch.column("n").to_numpy()[:, None]
+            likely = before @ log_t[:, :CLASSES] + behind @ log_t[:CLASSES].T - n * np.log(size + n + 0.5)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(likely.argmax(axis=1), pa.int32())], names=["word", "n", "cls"])
+
+    return by_word.mapInArrow(run, "word string, n bigint, cls int")
 
 
 def _kind_masses(counts: DataFrame) -> DataFrame:
@@ -251,43 +361,74 @@ def _kind_masses(counts: DataFrame) -> DataFrame:
     return counts.mapInArrow(run, "kind int, mass double").groupBy("kind").agg(F.sum("mass").alias("mass"))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (or its columns `keep`) with n_tokens, n_known, train_tokens, base_score and score."""
-    names = [c for c in keep or docs.columns if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("doc"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
-    made = "row bigint, n bigint, known bigint, base double, score double, rare array<string>"
-    kept = held.select("doc", "text", "row").schema["doc"]
+def _coded(docs: DataFrame, model: Model, words: DataFrame, text: str, names: list[str]) -> DataFrame:
+    """(doc, n, known, logs, codes): columns `names` as a struct, tokens, known tokens, sum of log10(c + 1/2), class of each token."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    extra = _parse_datatype_string(f"struct<{made}>")
-    out = StructType([kept, *extra.fields])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    doc = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    held = docs.select(doc.alias("doc"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
+    kept = held.schema["doc"]
+    first = StructType([kept, *_parse_datatype_string("struct<row bigint, n bigint, known bigint, logs double, codes binary, rare array<string>>").fields])
+    last = StructType([kept, *_parse_datatype_string("struct<n bigint, known bigint, logs double, codes binary>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in sliced(batches, 128):
-            n, known, base, total, rare = zip(*map(m.score, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ([], [], [], [], [])
-            arrays = [batch.column("doc"), batch.column("row"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(total, pa.float64()), pa.array(rare, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in out])
+            n, known, logs, codes, rare = zip(*map(m.code, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ([], [], [], [], [])
+            arrays = [batch.column("doc"), batch.column("row"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in first])
 
-    scored = written(held.mapInArrow(run, out), "scored")
-    rare = scored.select("row", F.explode("rare").alias("word"))
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, 128):
+            made = []
+            for codes, found in zip(batch.column("codes").to_pylist(), batch.column("found").to_pylist(), strict=True):
+                own = np.frombuffer(codes, np.uint8).copy()
+                at = np.flatnonzero(own >= OPEN)
+                if len(at):
+                    cls = np.array(found, np.int64)
+                    own[at] = np.where(cls < 0, own[at] - OPEN, cls)
+                made.append(own.tobytes())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "n", "known", "logs")), pa.array(made, pa.binary())], names=[f.name for f in last])
+
+    opened = written(held.mapInArrow(run, first), "opened")
+    rare = opened.select("row", F.posexplode("rare").alias("pos", "word"))
     c = F.coalesce(F.col("c"), F.lit(0))
-    own = rare.join(counts, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(c + 0.5)).alias("logs"), F.sum((c > 0).cast("long")).alias("seen")
+    found = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("cls", F.lit(-1)).alias("cls"))))
+    own = rare.join(words, "word", "left").groupBy("row").agg(
+        F.sum(F.log10(c + 0.5)).alias("more"), F.sum((c > 0).cast("long")).alias("seen"), found["cls"].alias("found")
     )
-    logs, seen = F.coalesce("logs", F.lit(0.0)), F.coalesce("seen", F.lit(0))
-    return (
-        scored.drop("rare")
-        .join(own, "row", "left")
-        .select(
-            "doc.*",
-            F.col("n").alias("n_tokens"),
-            (F.col("known") + seen).alias("n_known"),
-            F.lit(model.total).cast("long").alias("train_tokens"),
-            (F.col("base") + logs).alias("base_score"),
-            (F.col("score") + logs).alias("score"),
-        )
+    met = opened.drop("rare").join(own, "row", "left")
+    met = met.select("doc", "n", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"), "codes", "found")
+    return written(met.mapInArrow(close, last), "coded")
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or its columns `keep`) with n_tokens, n_known, train_tokens, base_score and score."""
+    names = [c for c in keep or docs.columns if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
+    return _scored(_coded(docs, model, counts, text, names), model)
+
+
+def _scored(coded: DataFrame, model: Model) -> DataFrame:
+    """What score() returns, of the texts of _coded()."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
+
+    shared = coded.sparkSession.sparkContext.broadcast(model)
+    out = StructType([*coded.drop("codes").schema.fields, *_parse_datatype_string("struct<classes double>").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for batch in sliced(batches, 128):
+            made = pa.array([m.score(c) for c in batch.column("codes").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "n", "known", "logs")), made], names=[f.name for f in out])
+
+    return coded.mapInArrow(run, out).select(
+        "doc.*",
+        F.col("n").alias("n_tokens"),
+        F.col("known").alias("n_known"),
+        F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("logs") - F.col("n") * math.log10(model.whole)).alias("base_score"),
+        (F.col("logs") + F.col("classes")).alias("score"),
     )
 
 
@@ -302,6 +443,7 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    docs = docs.select("doc_id", "text")
-    model, counts = train(docs.where(~held_out()))
-    return score(docs.withColumn("held_out", held_out()), model, counts, keep=["doc_id", "held_out"])
+    docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
+    model, words = _learned(docs.where("not held_out"), "text")
+    coded = _coded(docs, model, words, "text", ["doc_id", "held_out"])
+    return _scored(coded, _with_transitions(model, coded.where("not doc.held_out")))

@@ -87,3 +87,17 @@ def test_better_than_unigrams_on_held_out_texts(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert lm.digests(df).count() == 0
+
+
+def test_words_outside_the_core_get_classes_by_what_stands_around_them(spark, monkeypatch):
+    monkeypatch.setattr(lm, "CORE", 6)
+    monkeypatch.setattr(lm, "TOP", 8)
+    rows = [(i, f"aa n{i % 40} bb" if i % 2 else f"cc m{i % 40} dd") for i in range(400)] + [(1000 + i, "aa bb cc dd ee ff") for i in range(20)] + [(2000, "once")]
+    model, words = lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    cls = {r["word"]: r["cls"] for r in words.collect()}
+    n, m = ({cls[f"{side}{k}"] for k in range(first, 40, 2)} for side, first in (("n", 1), ("m", 0)))
+    assert len(n) == len(m) == 1 and n != m and None not in n | m
+    assert cls["once"] is None and cls["aa"] is None
+    assert model.transition.sum(axis=1) == pytest.approx(1)
+    usual, odd = lm.score(spark.createDataFrame([(1, "aa n1 bb"), (2, "aa m0 bb")], "doc_id long, text string"), model, words).orderBy("doc_id").collect()
+    assert usual.score > odd.score + 0.5
