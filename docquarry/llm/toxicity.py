@@ -3,8 +3,8 @@
 A text, case folded, is a row of code points; its runs of 3 to 6 characters
 are hashed to 2**20 features, each either present or not.  Training:
 
-1. At most `sample_per_class` labelled rows of each class (those with the
-   smallest hash of their id) give the features of their whole texts; the
+1. At most `sample_per_class` labelled ids of each class (of those among the
+   documents given, the ones with the smallest hash) give the features of their whole texts; the
    labels are joined by broadcast, which that bound makes safe.
 2. r = log((p + 1) / (P + 2)) - log((q + 1) / (Q + 2)) over the documents of
    either class that have a feature; the `n_features` with the largest
@@ -101,6 +101,7 @@ def present(text: str | None, slot: np.ndarray, n: int) -> np.ndarray:
 def training_rows(docs: DataFrame, labels: DataFrame, sample_per_class: int, label: str, doc_id: str, text: str) -> DataFrame:
     """y and the features of at most sample_per_class labelled rows of each class."""
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(label) > 0).cast("int").alias("__y"))
+    known = known.join(docs.select(F.col(f"`{doc_id}`").alias("__id")), "__id", "left_semi")  # labels of other documents take no place
     order = F.xxhash64("__id", F.lit(17))
     chosen = known.where("__y = 1").orderBy(order, "__id").limit(sample_per_class).unionAll(known.where("__y = 0").orderBy(order, "__id").limit(sample_per_class))
     texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").alias("__text"))

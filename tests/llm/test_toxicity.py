@@ -39,3 +39,10 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert tx.folds_scored(docs.limit(0), labels).count() == 0
     left = tx.without_toxic(docs, labels)
     assert left.columns == docs.columns and left.where("text = 'you idiot'").count() == 0 and left.where("text = 'kind word'").count() == 40
+
+
+def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
+    docs = spark.createDataFrame([(i, "vile rotten words here" if i % 2 else "kind gentle words here") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    rows = tx.training_rows(docs, labels, 8, "toxic", "doc_id", "text").groupBy("y").count().collect()
+    assert {r["y"]: r["count"] for r in rows} == {0: 8, 1: 8}
