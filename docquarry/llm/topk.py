@@ -12,19 +12,27 @@ above the k-th score, those still equal to it, and the rest; ties at the
 boundary go to the smallest ids, and the selected rows' scores are recomputed
 from their integers.
 
-Queries meet all blocks in passes of bounded size, each broadcast; blocks stay
-where they are.  Per query and block at most k rows leave a task, and the rank
-within a query limits them again before the shuffle.
-
-Defined cases: vectors that are null or hold a null, non-finite or huge
-(2**31 after scaling) component, and rows with a null id, take no part; a
-vector shorter than the longest counts as ending in zeros (its integers, not
-its place); a repeated row is ranked as often as it stands; rows with the
-query's own id are not its results; an empty vector scores 0.
+Rows with an integer of WIDE or more go to blocks of their own, with as many
+slices as their integers need and Python's integers where 64 bits end; else
+they are searched alike.
+
+Queries are dealt into groups of about GROUP_QUERIES.  Each block meets each
+group in one shuffle join on (group, place of the block), so neither goes
+through the driver.  Per query and block at most k rows leave a task, and the
+rank within a query limits them again before the shuffle.
+
+Defined cases: vectors that are null or hold a null or non-finite component,
+and rows with a null id, take no part; every finite vector does; a vector
+shorter than the longest counts as ending in zeros (its integers, not its
+place); a repeated row is ranked as often as it stands; rows with the query's
+own id are not its results; an empty vector scores 0; ranks are by exact
+scores, and a score beyond 64 bits is given as the nearest 64-bit integer; an
+empty table, or one without queries, gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,34 +46,68 @@ from .storage import written
 
 SCALE = 1024
 BLOCK_ROWS = 1 << 16
-#: Queries of one pass at about most.
-PASS_QUERIES = 4096
-BATCH_BYTES = 8 << 20
+#: An integer of so much is wide: int64 sums of products would not hold it.
+WIDE = 1 << 31
+#: Rows of a block with wide integers, which may have a thousand slices an attribute.
+WIDE_ROWS = 1 << 10
+#: Queries of a group at about most.
+GROUP_QUERIES = 2048
+LONG = (1 << 63) - 1
 
-_INDEX = "ids binary, dims int, low binary, digits int, slices binary"
+_INDEX = "ids binary, dims int, wide boolean, low binary, digits int, slices binary"
 
 
-def quantised(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, q array<bigint>) of the rows that take part."""
-    x = F.transform(F.col(f"`{vector}`"), lambda v: v.cast("double") * SCALE)
-    fit = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float(1 << 31)))
-    rows = df.where(F.col(f"`{vec_id}`").isNotNull() & F.col(f"`{vector}`").isNotNull() & F.coalesce(fit, F.lit(False)))
-    return rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v)).alias("q"))
+def vectors(df: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(vec_id, x array<double>) of the rows that take part."""
+    x = F.transform(F.col(f"`{vector}`"), lambda v: v.cast("double"))
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = df.where(F.col(f"`{vec_id}`").isNotNull() & F.col(f"`{vector}`").isNotNull() & F.coalesce(finite, F.lit(False)))
+    return rows.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), x.alias("x"))
+
+
+def _integer(x: float) -> int:
+    """floor(SCALE * x), exact where the product would be beyond a double."""
+    return int(x) * SCALE if abs(x) >= 1 << 53 else math.floor(x * SCALE)
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
-    """Rows of int64, padded with zeros to the longest."""
-    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    """Rows of doubles, padded with zeros to the longest."""
     n = np.diff(lists.offsets.to_numpy()) if len(lists) else np.zeros(0, int)
-    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
     dims = int(n.max()) if len(n) else 0
     if len(n) and (n == dims).all():
         return flat.reshape(len(n), dims)
-    out = np.zeros((len(n), dims), np.int64)
+    out = np.zeros((len(n), dims))
     out[np.arange(dims) < n[:, None]] = flat
     return out
 
 
+def integers(x: np.ndarray) -> np.ndarray:
+    """floor(SCALE * x): int64 if none is wide, else Python's integers."""
+    if not x.size or np.abs(x).max() * SCALE < WIDE:
+        return np.floor(x * SCALE).astype(np.int64)
+    return np.array([[_integer(v) for v in row] for row in x.tolist()], object).reshape(x.shape)
+
+
+def _raw(values: np.ndarray) -> bytes:
+    """64-bit integers, or a text of them where they are wider."""
+    return ",".join(map(str, values.tolist())).encode() if values.dtype == object else values.astype("<i8").tobytes()
+
+
+def _read(raw: bytes, wide: bool) -> np.ndarray:
+    return np.array([int(v) for v in raw.split(b",") if v], object) if wide else np.frombuffer(raw, "<i8")
+
+
+def _ordered(value: int) -> str:
+    """A text that sorts as the integer does, of up to 9999 digits."""
+    digits = str(abs(value))
+    text = f"{len(digits):04d}{digits}"
+    return f"p{text}" if value >= 0 else "n" + text.translate(_NINES)
+
+
+_NINES = str.maketrans("0123456789", "9876543210")
+
+
 def _sliced(ids: np.ndarray, q: np.ndarray) -> dict:
     """One block of the index."""
     order = np.argsort(ids, kind="stable")
@@ -78,38 +120,42 @@ def _sliced(ids: np.ndarray, q: np.ndarray) -> dict:
     for j in range(digits):
         bits[:, j, : len(ids)] = (over >> j) & 1
     slices = np.packbits(bits, axis=-1, bitorder="little")
-    return {"ids": ids.tobytes(), "dims": q.shape[1], "low": low.tobytes(), "digits": digits, "slices": slices.tobytes()}
+    return {"ids": ids.tobytes(), "dims": q.shape[1], "wide": q.dtype == object, "low": _raw(low), "digits": digits, "slices": slices.tobytes()}
 
 
-def build_index(vectors: DataFrame) -> DataFrame:
-    """Blocks of the index over all rows of quantised(); each from rows of one partition."""
+def build_index(rows: DataFrame) -> DataFrame:
+    """Blocks of the index over all rows of vectors(); each from rows of one partition."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
+        held: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {False: [], True: []}
+        kind = pa.schema([("ids", pa.binary()), ("dims", pa.int32()), ("wide", pa.bool_()), ("low", pa.binary()), ("digits", pa.int32()), ("slices", pa.binary())])
 
-        def made() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held)
-            return pa.RecordBatch.from_pylist([_sliced(whole["vec_id"].to_numpy(), _matrix(whole["q"]))], schema=kind)
+        def made(wide: bool) -> pa.RecordBatch:
+            parts = held[wide]
+            dims = max(x.shape[1] for _, x in parts)
+            x = np.concatenate([np.pad(x, ((0, 0), (0, dims - x.shape[1]))) for _, x in parts])
+            ids = np.concatenate([i for i, _ in parts])
+            held[wide] = []
+            return pa.RecordBatch.from_pylist([_sliced(ids, integers(x))], schema=kind)
 
-        kind = pa.schema([("ids", pa.binary()), ("dims", pa.int32()), ("low", pa.binary()), ("digits", pa.int32()), ("slices", pa.binary())])
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS - rows % BLOCK_ROWS)
-                rest = batch.slice(at + part.num_rows, BLOCK_ROWS - part.num_rows) if at + part.num_rows < batch.num_rows else None
-                for piece in (part, rest):
-                    if piece is None or not piece.num_rows:
-                        continue
-                    if rows + piece.num_rows > BLOCK_ROWS:
-                        yield made()
-                        held, rows = [], 0
-                    held.append(piece)
-                    rows += piece.num_rows
-        if held:
-            yield made()
-
-    small_batches(vectors)
-    return vectors.mapInArrow(blocks, _INDEX)
+            ids, x = batch.column("vec_id").to_numpy(), _matrix(batch.column("x"))
+            over = np.abs(x).max(axis=1, initial=0) * SCALE >= WIDE
+            for wide, most in ((False, BLOCK_ROWS), (True, WIDE_ROWS)):
+                own = np.flatnonzero(over == wide)
+                while len(own):
+                    room = most - sum(len(i) for i, _ in held[wide])
+                    part, own = own[:room], own[room:]
+                    held[wide].append((ids[part], x[part]))
+                    if len(part) == room:
+                        yield made(wide)
+        for wide in (False, True):
+            if held[wide]:
+                yield made(wide)
+
+    small_batches(rows)
+    made = rows.mapInArrow(blocks, _INDEX)
+    return made.select(F.monotonically_increasing_id().alias("block"), *made.columns)
 
 
 class Block:
@@ -117,7 +163,7 @@ class Block:
 
     def __init__(self, row: dict):
         self.ids = np.frombuffer(row["ids"], np.int64)
-        self.low = np.frombuffer(row["low"], np.int64)
+        self.low = _read(row["low"], row["wide"])
         words = -(-len(self.ids) // 64)
         self.slices = np.frombuffer(row["slices"], np.uint64).reshape(row["dims"], row["digits"], words)
         self.rows = np.full(words, ~np.uint64(0))
@@ -182,9 +228,14 @@ class Block:
         dims, digits, _ = self.slices.shape
         word, bit = places >> 6, (places & 63).astype(np.uint64)
         over = (self.slices[:, :, word] >> bit) & np.uint64(1)
-        values = (over.astype(np.int64) << np.arange(digits)[None, :, None]).sum(axis=1) + self.low[:, None]
-        weights = query[:dims].astype(object) if digits + 32 > 62 else query[:dims]
-        return [int(v) for v in weights @ values[: len(weights)]] if len(weights) else [0] * len(places)
+        weights = query[:dims]
+        if not len(weights):
+            return [0] * len(places)
+        wide = self.low.dtype == object or weights.dtype == object or digits + int(np.abs(weights).max()).bit_length() + dims.bit_length() > 62
+        number = object if wide else np.int64
+        value = np.array([1 << j for j in range(digits)], number).reshape(1, -1, 1)
+        values = (over.astype(number) * value).sum(axis=1) + self.low.astype(number)[:, None]
+        return [int(v) for v in weights.astype(number) @ values[: len(weights)]]
 
 
 def _places(bitmap: np.ndarray) -> np.ndarray:
@@ -193,18 +244,17 @@ def _places(bitmap: np.ndarray) -> np.ndarray:
 
 def signed_digits(query: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each binary place the dimensions whose digit there is 1, and those where it is -1 (no two digits adjoin)."""
-    rest = query.astype(np.int64)
+    rest = query
     place = 0
     while rest.any():
-        digit = np.where(rest & 1, 2 - (rest & 3), 0)
+        digit = np.where((rest & 1).astype(bool), 2 - (rest & 3), 0)
         yield place, np.flatnonzero(digit == 1), np.flatnonzero(digit == -1)
         rest = (rest - digit) >> 1
         place += 1
 
 
-def _found(block: Block, queries: list[tuple[bytes, list[int]]], k: int) -> Iterator[tuple[int, int, int]]:
-    for raw, ids in queries:
-        vector = np.frombuffer(raw, np.int64)
+def _found(block: Block, queries: list[tuple[np.ndarray, list[int]]], k: int) -> Iterator[tuple[int, int, int]]:
+    for vector, ids in queries:
         own = {i: int(np.searchsorted(block.ids, i, "right") - np.searchsorted(block.ids, i, "left")) for i in ids}
         places = block.top(vector, k + max(own.values()))
         ranked = sorted(zip((-s for s in block.scores(vector, places)), block.ids[places].tolist(), strict=True))
@@ -216,43 +266,43 @@ def _found(block: Block, queries: list[tuple[bytes, list[int]]], k: int) -> Iter
                     left -= 1
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, pass_queries: int = PASS_QUERIES) -> DataFrame:
-    """(query_id, rank from 1, vec_id, score) of each query's k best rows; queries as from quantised()."""
-    spark = index.sparkSession
-    passes = max(1, -(-queries.count() // pass_queries))
-    parts = []
-    for p in range(passes):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(passes)) == p) if passes > 1 else queries
-        by_vector: dict[bytes, list[int]] = {}
-        table = own.toArrow()
-        ids = table["vec_id"].to_pylist()
-        for i, vector in zip(ids, table["q"].to_pylist(), strict=True):
-            same = by_vector.setdefault(np.array(vector, np.int64).tobytes(), [])
-            if i not in same:
-                same.append(i)
-        shared = spark.sparkContext.broadcast(list(by_vector.items()))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    out = list(_found(Block(row), shared.value, k))
-                    for at in range(0, len(out), 1 << 16):
-                        q, v, s = zip(*out[at : at + (1 << 16)], strict=True)
-                        yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
-
-        parts.append(index.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint"))
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionAll(more)
-    best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def search(index: DataFrame, queries: DataFrame, k: int = 10, group_queries: int = GROUP_QUERIES) -> DataFrame:
+    """(query_id, rank from 1, vec_id, score) of each query's k best rows; queries as from vectors(), index stored."""
+    groups = max(1, -(-queries.count() // group_queries))
+    places = max(1, index.count())
+    group = F.pmod(F.xxhash64("vec_id", "x", F.lit(5)), F.lit(groups)).cast("int")
+    asked = queries.distinct().select(group.alias("group"), "vec_id", "x")
+    asked = asked.groupBy("group").agg(F.collect_list(F.struct("vec_id", "x")).alias("asked"))
+    asked = asked.select("group", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), "asked")
+    place = F.pmod(F.xxhash64("block"), F.lit(places)).cast("int")
+    blocks = index.select(F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), place.alias("place"), *index.columns)
+    met = blocks.join(asked, ["group", "place"]).select("ids", "dims", "wide", "low", "digits", "slices", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1).to_pylist()[0]
+                by_vector: dict[tuple, list[int]] = {}
+                for one in row["asked"]:
+                    by_vector.setdefault(tuple(one["x"]), []).append(one["vec_id"])
+                vectors = [(integers(np.array(x, float).reshape(1, -1))[0], ids) for x, ids in by_vector.items()]
+                out = list(_found(Block(row), vectors, k))
+                for start in range(0, len(out), 1 << 16):
+                    q, v, s = zip(*out[start : start + (1 << 16)], strict=True)
+                    clamped = pa.array([max(-LONG - 1, min(LONG, x)) for x in s], pa.int64())
+                    beyond = pa.array([_ordered(x) if abs(x) >= LONG else "" for x in s], pa.string())
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": clamped, "beyond": beyond})
+
+    found = met.mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, beyond string")
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def neighbours(embeddings: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """Rows whose vec_id is divisible by `every` are queries against every row."""
-    vectors = quantised(embeddings)
-    index = written(build_index(vectors), "bit-slices")
-    return search(index, vectors.where(F.col("vec_id") % every == 0), k)
+    rows = vectors(embeddings)
+    index = written(build_index(rows), "bit-slices")
+    return search(index, rows.where(F.col("vec_id") % every == 0), k)
 
 
 ORACLE = """
