@@ -9,37 +9,44 @@ only those above N / RARE are handed to the executors, and as the frequencies
 add up to N times the mean length there are at most RARE times the mean length
 of them, whatever N.
 
-Steps, none of which brings a group of documents together in one task:
+Steps:
 
 1. Equal texts become one node (key: md5 of the text) by a partial aggregate.
 2. Each node gets BANDS hashes, each over ROWS consistent weighted samples.  At
    a weighted Jaccard similarity of 0.8 two texts share one with probability
    1 - (1 - 0.8**3)**16 = 0.99999.
-3. A bucket (band, hash) of more than BLOCK_MEMBERS nodes is dealt out by hash
-   to blocks of about so many.  Within a block the samples of every two members
-   are compared in memory; what leaves it are few links: those of a spanning
-   forest that takes the most similar pairs first (estimate >= LEAST_ESTIMATE),
-   and in further phases, after step 5, each member with PARTNERS of the most
-   similar members of other classes, which differ by band, blocks being dealt
-   anew in each band.  In a bucket of several
-   blocks all members are also linked to its hub, the member with the most
-   bucket fellows, which in a group of edited copies is the original.
-   A last phase takes every pair of a bucket that is still in two classes and
-   has the least estimate, in tasks of two blocks of CROSS_MEMBERS at a time.
-4. Links are verified on the whole texts: weighted Jaccard >= THRESHOLD.
-5. Components of the verified links are contracted.
-6. The class id is the smallest id of all rows of the component.
+3. Families: components of the pairs of a bucket (band, hash) whose samples
+   agree in LEAST_ESTIMATE or more of all places.
+4. Classes: components of the pairs of a family whose weighted Jaccard
+   similarity, over whole texts, is THRESHOLD or more.
+
+Steps 3 and 4 go the same way (`linked`).  A group of at most one block
+(SKETCH_BLOCK samples, TEXT_BLOCK texts or BLOCK_BYTES of text) is compared in
+memory, every pair that is not yet linked.  A larger one is dealt by hash into
+blocks, twice, after which a group of real copies is one class whatever its
+size.  Where a group is still of several classes, its blocks are formed anew,
+those of a large class apart, and every two blocks that are not of one class
+meet in a task of their own.  So every pair of the group is compared or already
+linked, no task sees more than two blocks, and from each only a spanning forest
+of what it has verified leaves, never the pairs it has compared.  The price: a
+group of many similar texts that are not duplicates is compared in full, block
+against block.
+
+A bucket, hub or class with many rows is a skewed key of the joins here, which
+are all sort-merge joins that adaptive execution splits; aggregates are partial.
 
 Defined cases: a null text, or one that no other equals or resembles, is a
 class of its own; empty texts equal each other; texts without words are
 compared as equal texts only; rows with a null id have the class of their
-text, null where it has no other id; repeated rows are each returned.
+text, null where it has no other id; repeated rows are each returned; a very
+long text is sampled piece by piece and fills a block alone; an empty table
+gives no rows; other columns, whatever their names, are ignored by classes()
+and kept by one_of_each().
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,15 +64,11 @@ BANDS, ROWS = 16, 3
 RARE = 1024
 DAMPING = 0.1
 BUCKET_BITS = 22
-BLOCK_MEMBERS = 256
 #: At a similarity of 0.8 the estimate from 48 samples is below this with probability 1e-5.
 LEAST_ESTIMATE = 0.55
-PARTNERS = 3
-#: In large blocks different bands try different partners.
-TURNS = 4
-PHASES = 3
-#: Members of a block of the last phase, which compares all pairs of classes that are still apart.
-CROSS_MEMBERS = 4096
+SKETCH_BLOCK = 1024
+TEXT_BLOCK = 256
+BLOCK_BYTES = 4 << 20
 #: Shingles that are sampled at once.
 CHUNK = 512
 
@@ -178,9 +181,9 @@ def inverse_frequencies(docs: DataFrame, text: str = "text") -> Weights:
 
 
 def sketched(docs: DataFrame, weights, row_id: str, text: str) -> DataFrame:
-    """(id, key, bands, sketch): the key of the text, its band hashes and its samples (32 bits of each); null without words."""
+    """(id, key, bytes, bands, sketch): key and length of the text, its band hashes and its samples (32 bits of each); null without words."""
     small_batches(docs)
-    given = docs.select(F.col(f"`{row_id}`").alias("id"), F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
+    given = docs.select(F.col(f"`{row_id}`").alias("id"), F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.octet_length(F.col(f"`{text}`")).alias("bytes"), F.col(f"`{text}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = weights.value
@@ -191,55 +194,101 @@ def sketched(docs: DataFrame, weights, row_id: str, text: str) -> DataFrame:
                 token = samples(*shared.of(words)) if len(words) else None
                 bands.append(None if token is None else band_hashes(token))
                 sketch.append(None if token is None else token.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("key"), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "key", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "key", "bytes")), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())], names=["id", "key", "bytes", "bands", "sketch"])
 
     kind = given.schema["id"].dataType.simpleString()
-    return given.mapInArrow(run, f"id {kind}, key binary, bands array<bigint>, sketch binary")
+    return given.mapInArrow(run, f"id {kind}, key binary, bytes int, bands array<bigint>, sketch binary")
 
 
-def _forest(like: np.ndarray, root: list) -> Iterator[tuple[int, int]]:
-    """Most similar pairs first, each joining two classes."""
-    up = {r: r for r in root}
+class _Sketches:
+    """The samples of a block."""
 
-    def top(r):
-        while up[r] != r:
-            up[r] = r = up[up[r]]
-        return r
+    def __init__(self, data: list[bytes]):
+        self.token = np.frombuffer(b"".join(data), "<u4").reshape(len(data), -1)
 
-    i, j = np.nonzero(np.triu(like >= LEAST_ESTIMATE, 1))
-    for at in np.argsort(-like[i, j], kind="stable").tolist():
-        a, b = top(root[i[at]]), top(root[j[at]])
-        if a != b:
-            up[a] = b
-            yield int(i[at]), int(j[at])
+    def similar(self, i: int, others: np.ndarray, side: int) -> np.ndarray:
+        """Which of the others agree with i in enough samples."""
+        return others[(self.token[others] == self.token[i]).mean(axis=1) >= LEAST_ESTIMATE]
 
 
-def _partners(like: np.ndarray, root: list, turn: int) -> Iterator[tuple[int, int]]:
-    """PARTNERS of the members of other classes most similar to each member: the first ones, or by turn the next."""
-    _, label = np.unique(np.array(root, object), return_inverse=True)
-    other = np.where(label[:, None] != label[None, :], like, 0)
-    for i in range(len(root)):
-        for j in np.argsort(-other[i], kind="stable")[turn * PARTNERS : (turn + 1) * PARTNERS].tolist():
-            if other[i, j] >= LEAST_ESTIMATE:
-                yield i, j
+class _Texts:
+    """The weighted shingles of a block's texts."""
 
+    def __init__(self, data: list[str], weights: Weights):
+        self.own = [weights.of(w) for w in word_hashes(data)]
+        self.total = np.array([w.sum() for _, w in self.own])
+        self.size = np.array([len(h) for h, _ in self.own])
+        every = np.concatenate([h for h, _ in self.own])
+        self.distinct, number = np.unique(every, return_inverse=True)
+        self.number = np.split(number, np.cumsum(self.size)[:-1])
+        self.held: dict[int, tuple] = {}
 
-def _block_links(placed: DataFrame, phase: int) -> DataFrame:
-    """Links (a, b) within the blocks of the buckets."""
-    n = F.ceil(F.col("n") / BLOCK_MEMBERS)
-    dealt = placed.withColumn("block", F.pmod(F.xxhash64("key", "band", F.lit(phase)), n).cast("int"))
-    dealt = dealt.repartition("band", "hash", "block").sortWithinPartitions("band", "hash", "block", "key")
+    def _laid(self, others: np.ndarray, side: int) -> tuple:
+        """The others, or a few more of their side, with their shingles one behind the other."""
+        if side not in self.held or len(self.held[side][0]) > 2 * len(others):
+            starts = np.cumsum(self.size[others]) - self.size[others]
+            self.held[side] = others, np.concatenate([self.number[j] for j in others]), np.concatenate([self.own[j][1] for j in others]), starts
+        return self.held[side]
+
+    def similar(self, i: int, others: np.ndarray, side: int) -> np.ndarray:
+        """Which of the others have a weighted Jaccard similarity of THRESHOLD with i."""
+        laid, number, weight, starts = self._laid(others, side)
+        dense = np.zeros(len(self.distinct))
+        dense[self.number[i]] = self.own[i][1]
+        both = np.add.reduceat(np.minimum(dense[number], weight), starts)
+        total = self.total[i] + self.total[laid] - both
+        good = laid[both >= THRESHOLD * total]
+        return good if len(laid) == len(others) else good[np.isin(good, others)]
+
+
+def _forest(block, label: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of similar members that span the components of the classes `label`.
+
+    Where members are of two sides, only pairs of both sides count.  A member
+    is compared with those that are not yet reached, so a block of copies
+    takes one comparison a member.
+    """
+    order = np.argsort(label, kind="stable")
+    fellows = np.split(order, np.flatnonzero(np.diff(label[order])) + 1)
+    of_label = {int(label[f[0]]): f for f in fellows}
+    left = np.ones(len(label), bool)
+    two = side.min() != side.max()
+    for start in range(len(label)):
+        if not left[start]:
+            continue
+        queue = of_label[int(label[start])].tolist()
+        left[queue] = False
+        for i in queue:  # grows while it is walked
+            facing = 1 - int(side[i]) if two else 0
+            others = np.flatnonzero(left & (side == facing)) if two else np.flatnonzero(left)
+            if not len(others):
+                continue
+            for j in block.similar(i, others, facing).tolist():
+                if left[j]:
+                    more = of_label[int(label[j])].tolist()
+                    left[more] = False
+                    queue += more
+                    yield i, j
+
+
+def _links(dealt: DataFrame, make: Callable[[list], object]) -> DataFrame:
+    """Links (a, b) of the blocks or pairs of blocks (grp, low, high) with members (side, key, root, data)."""
+    by = ["grp", "low", "high"]
+    names = [*by, "side", "key", "root", "data"]
+    small_batches(dealt)
+    dealt = dealt.select(*names).repartition(*by).sortWithinPartitions(*by, "key")
 
     def links(rows: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        root = [r[2] for r in rows]
-        if len(set(root)) < 2:
+        (_, low, high), *_ = rows[0]
+        side = np.array([int(low != high and r[1] == high) for r in rows])
+        if len(rows) < 2 or low != high and side.min() == side.max():
+            return
+        number: dict[bytes, int] = {}
+        label = np.array([number.setdefault(r[3], len(number)) for r in rows])
+        if len(number) < 2:
             return
-        token = np.frombuffer(b"".join(r[3] for r in rows), "<u4").reshape(len(rows), -1)
-        like = np.stack([(token == t).mean(axis=1) for t in token])
-        turn = (rows[0][0][0] + phase) % TURNS if len(rows) > TURNS * PARTNERS else 0
-        for i, j in _partners(like, root, turn) if phase else _forest(like, root):
-            a, b = rows[i][1], rows[j][1]
-            yield (a, b) if a < b else (b, a)
+        for i, j in _forest(make([r[4] for r in rows]), label, side):
+            yield min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -250,8 +299,8 @@ def _block_links(placed: DataFrame, phase: int) -> DataFrame:
             out.clear()
             return pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "hash", "block", "key", "root", "sketch")), strict=True):
+        for batch in sliced(batches):
+            for row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 own = row[:3], *row[3:]
                 if held and held[-1][0] != own[0]:
                     out += links(held)
@@ -262,109 +311,70 @@ def _block_links(placed: DataFrame, phase: int) -> DataFrame:
         out += links(held) if held else []
         yield made()
 
-    return dealt.select("band", "hash", "block", "key", "root", "sketch").mapInArrow(run, "a binary, b binary")
-
-
-def _cross_pairs(token: np.ndarray, label: np.ndarray, side: np.ndarray, band: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Of each member i, those behind it of other classes that it meets in no band before this one, with estimate >= LEAST_ESTIMATE.
-
-    Members are in order of label.  Where they are of two sides, only pairs of
-    both sides count.
-    """
-    end = np.searchsorted(label, label, "right")
-    two = side.min() != side.max()
-    for i in range(len(label)):
-        at = np.arange(end[i], len(label))
-        if two:
-            at = at[side[at] != side[i]]
-        if not len(at):
-            continue
-        same = token[at] == token[i]
-        near = same.mean(axis=1) >= LEAST_ESTIMATE
-        at, same = at[near], same[near]
-        first = same.reshape(-1, BANDS, ROWS).all(axis=2)[:, :band].any(axis=1)
-        if not first.all():
-            yield i, at[~first]
-
-
-def _cross_links(placed: DataFrame) -> DataFrame:
-    """Links (a, b) of all pairs of a bucket that are of different classes and similar enough by estimate."""
-    mixed = placed.groupBy("band", "hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "hash")
-    blocks = F.ceil(F.col("n") / CROSS_MEMBERS).cast("int")
-    own = placed.join(mixed, ["band", "hash"]).withColumn("side", F.pmod(F.xxhash64("key", "band"), blocks).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = met.select("band", "hash", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"), "side", "key", "root", "sketch")
-    dealt = dealt.repartition("band", "hash", "low", "high").sortWithinPartitions("band", "hash", "low", "high", "root", "key")
-
-    def links(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        (band, _, low, high), *_ = rows[0]
-        label = np.cumsum([0, *(r[3] != q[3] for q, r in zip(rows, rows[1:]))])
-        side = np.array([r[1] for r in rows])
-        if not label[-1] or low != high and side.min() == side.max():
-            return
-        token = np.frombuffer(b"".join(r[4] for r in rows), "<u4").reshape(len(rows), -1)
-        keys = [r[2] for r in rows]
-        a: list[bytes] = []
-        b: list[bytes] = []
-        for i, at in _cross_pairs(token, label, side, band):
-            for j in at.tolist():
-                a.append(min(keys[i], keys[j]))
-                b.append(max(keys[i], keys[j]))
-            if len(a) > 10_000:
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-                a, b = [], []
-        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("band", "hash", "low", "high", "side", "key", "root", "sketch")), strict=True):
-                own = row[:4], *row[4:]
-                if held and held[-1][0] != own[0]:
-                    yield from links(held)
-                    held = []
-                held.append(own)
-        if held:
-            yield from links(held)
-
-    return dealt.mapInArrow(run, "a binary, b binary")
+    return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def _hub_links(placed: DataFrame) -> DataFrame:
-    """In buckets of several blocks, links of the members to the one with the most fellows."""
-    large = placed.where(F.col("n") > BLOCK_MEMBERS).select("band", "hash", "key", "degree")
-    best = F.min(F.struct((-F.col("degree")).alias("d"), F.col("key").alias("k"))).alias("hub")
-    hubs = large.groupBy("band", "hash").agg(best)
-    return large.join(hubs, ["band", "hash"]).where("key <> hub.k").select(F.least("key", "hub.k").alias("a"), F.greatest("key", "hub.k").alias("b"))
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of groups of several blocks that are still of several classes, with their roots."""
+    placed = members.where("blocks > 1").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    mixed = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
+    return placed.join(mixed, "grp")
 
 
-def _verified(links: DataFrame, texts: DataFrame, weights) -> DataFrame:
-    """The links of at least THRESHOLD."""
+def _block(number, *by) -> F.Column:
+    return F.pmod(F.xxhash64(*by), F.ceil(number).cast("bigint")).cast("string")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shared: Weights = weights.value
-        for batch in sliced(batches, 128):
-            x = [shared.of(w) for w in word_hashes(batch.column("ta").to_pylist())]
-            y = [shared.of(w) for w in word_hashes(batch.column("tb").to_pylist())]
-            good = pa.array([weighted_jaccard(p, q) >= THRESHOLD for p, q in zip(x, y, strict=True)], pa.bool_())
-            yield batch.select(["a", "b"]).filter(good)
 
-    of_a = texts.select(F.col("key").alias("a"), F.col("text").alias("ta"))
-    of_b = texts.select(F.col("key").alias("b"), F.col("text").alias("tb"))
-    return links.join(of_a, "a").join(of_b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
+def _crossed(placed: DataFrame) -> DataFrame:
+    """Every two blocks of a group that are not of one class, as (grp, low, high) with their members.
 
+    A class of a block's size or more has blocks of its own; smaller classes
+    share blocks.
+    """
+    classes = placed.groupBy("grp", "root").agg(F.sum("size").alias("share"))
+    few = classes.where("share < 1").groupBy("grp").agg(F.sum("share").alias("few"))
+    large = F.col("share") >= 1
+    own = F.concat(F.hex("root"), F.lit(":"), _block(F.col("share"), "key", F.lit(3)))
+    block = F.when(large, own).otherwise(_block(F.greatest(F.coalesce("few", F.lit(1.0)), F.lit(1.0)), "root", F.lit(4)))
+    dealt = placed.join(classes, ["grp", "root"]).join(few, "grp", "left").withColumn("side", block).withColumn("one", F.when(large, F.col("root")))
+    blocks = dealt.select("grp", "side", "one").distinct()
+    left, right = blocks.select("grp", F.col("side").alias("low"), F.col("one").alias("x")), blocks.select("grp", F.col("side").alias("high"), F.col("one").alias("y"))
+    pairs = left.join(right, "grp").where("low <= high and not coalesce(x = y, false)").select("grp", "low", "high")
+    sides = pairs.withColumn("side", F.explode(F.array_distinct(F.array("low", "high"))))
+    return dealt.join(sides, ["grp", "side"])
+
+
+def linked(members: DataFrame, data: DataFrame, make: Callable[[list], object], what: str) -> tuple[DataFrame, DataFrame]:
+    """(node, root) of all members with a link, and the links (a, b) that span the components.
+
+    members: (grp, key, size), 1 being the size of a full block; data: (key,
+    data).  A pair of similar members of one group is a link.
+    """
+    whole = members.groupBy("grp").agg(F.ceil(F.sum("size")).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = written(members.join(whole, "grp").join(data.hint("merge"), "key"), f"{what}-members")
+    links: DataFrame | None = None
+    roots: DataFrame | None = None
+    for turn in range(3):
+        placed = members.withColumn("root", F.col("key")) if roots is None else _placed(members, roots)
+        if turn == 2:
+            dealt = _crossed(written(placed, f"{what}-apart"))
+        else:
+            block = _block(F.col("blocks"), "key", "grp", F.lit(turn))
+            dealt = placed.withColumn("low", block).withColumn("high", F.col("low")).withColumn("side", F.col("low"))
+        found = written(_links(dealt, make), f"{what}-links")
+        if links is not None and found.isEmpty():
+            continue
+        links = found if links is None else links.unionAll(found)
+        roots = components(links)
+        if not turn and members.where("blocks > 1").isEmpty():
+            break
+    return roots, links
 
-def _texts(docs: DataFrame, text: str, links: DataFrame) -> DataFrame:
-    """(key, text) of the nodes that have links.
 
-    Texts are always dealt out by key: the nodes with links grow with the
-    corpus, so no plan may count on broadcasting them.  Equal texts are reduced
-    to one in each task before that, so a large group of copies is no burden.
-    """
-    keyed = docs.select(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("text"))
-    wanted = links.select(F.col("a").alias("key")).unionAll(links.select(F.col("b").alias("key"))).distinct()
-    each = keyed.where("key is not null").groupBy("key").agg(F.first("text").alias("text"))
-    return written(each.join(wanted.hint("merge"), "key"), "texts")
+def _texts(docs: DataFrame, text: str) -> DataFrame:
+    """(key, data): the text of each node; in each task equal texts are reduced to one before they are dealt out."""
+    keyed = docs.select(F.unhex(F.md5(F.col(f"`{text}`").cast("binary"))).alias("key"), F.col(f"`{text}`").alias("data"))
+    return keyed.where("key is not null").groupBy("key").agg(F.first("data").alias("data"))
 
 
 def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights: Weights | None = None) -> DataFrame:
@@ -372,31 +382,13 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(weights or inverse_frequencies(docs, text))
     rows = written(sketched(docs, shared, row_id, text), "sketches")
-    made = F.first(F.struct("bands", "sketch")).alias("made")
+    made = F.first(F.struct("bytes", "bands", "sketch")).alias("made")
     nodes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), made).select("key", "id", "made.*"), "nodes")
-    members = nodes.where("bands is not null").select("key", F.posexplode("bands").alias("band", "hash"))
-    shared_buckets = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = written(members.join(shared_buckets, ["band", "hash"]), "met")
-    fellows = met.groupBy("key").agg(F.sum("n").alias("degree")).join(nodes.select("key", "sketch"), "key")
-    buckets = written(met.join(fellows, "key"), "buckets")
-    links: list[DataFrame] = []
-    tested: DataFrame | None = None
-    roots: DataFrame | None = None
-    for phase in range(PHASES + 1):
-        placed = buckets.withColumn("root", F.col("key"))
-        if roots is not None:
-            placed = buckets.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        found = _block_links(placed, phase) if phase < PHASES else _cross_links(placed)
-        if not phase:
-            found = found.unionAll(_hub_links(buckets))
-        found = found.distinct()
-        if tested is not None:
-            found = found.join(tested, ["a", "b"], "left_anti")
-        tested = written(found, "candidates")
-        if not phase:  # whoever has a link in a later phase has one here
-            texts = _texts(docs, text, tested)
-        links.append(written(_verified(tested, texts, shared), "links"))
-        roots = components(reduce(DataFrame.unionAll, links))
+    buckets = nodes.where("bands is not null").select(F.explode("bands").alias("grp"), "key", F.lit(1.0 / SKETCH_BLOCK).alias("size"))
+    families, _ = linked(buckets, nodes.select("key", F.col("sketch").alias("data")), _Sketches, "bucket")
+    share = F.greatest(F.lit(1.0 / TEXT_BLOCK), F.col("bytes") / F.lit(float(BLOCK_BYTES)))
+    relatives = families.select(F.col("node").alias("key"), F.col("root").alias("grp")).join(nodes.select("key", share.alias("size")), "key")
+    roots, _ = linked(relatives, _texts(docs, text), lambda data: _Texts(data, shared.value), "family")
     placed = nodes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("id").alias("class_id"))
     ids = placed.join(least, "root").select("key", "class_id")

@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from docquarry.llm import near
+from docquarry.llm import graph, near
 
 
 def w5(t):
@@ -99,8 +99,66 @@ def test_every_link_just_above_the_threshold_is_found(spark):
         assert classes_of(spark, rows) == components(rows)
 
 
-def test_links_between_the_blocks_of_a_bucket_are_found(spark, monkeypatch):
-    monkeypatch.setattr(near, "BLOCK_MEMBERS", 4)
-    monkeypatch.setattr(near, "CROSS_MEMBERS", 8, raising=False)
+def test_links_between_the_blocks_of_a_group_are_found(spark, monkeypatch):
+    monkeypatch.setattr(near, "SKETCH_BLOCK", 7)
+    monkeypatch.setattr(near, "TEXT_BLOCK", 4)
     rows = family(2, 60, 200, 3)
     assert classes_of(spark, rows) == components(rows)
+
+
+def brute_classes(rows, weights):
+    """Classes by the weighted Jaccard similarity of every pair."""
+    own = {i: weights.of(w) for (i, _), w in zip(rows, near.word_hashes([t for _, t in rows]))}
+    up = {i: i for i in own}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in own:
+        for j in own:
+            if i < j and near.weighted_jaccard(own[i], own[j]) >= near.THRESHOLD:
+                a, b = sorted((top(i), top(j)))
+                up[b] = a
+    return {i: top(i) for i in own}
+
+
+def test_buckets_and_families_of_several_blocks_with_document_frequencies(spark, monkeypatch):
+    monkeypatch.setattr(near, "SKETCH_BLOCK", 100)
+    monkeypatch.setattr(near, "TEXT_BLOCK", 32)
+    rng = random.Random(12)
+    line = [f"common{k}" for k in range(60)]
+    rows = family(5, 320, 120, 4) + [(1000 + i, " ".join(line + [f"w{rng.randrange(900)}" for _ in range(34)])) for i in range(300)]
+    for i in range(60):  # near copies among texts that share much
+        words = rows[320 + i][1].split()
+        words[70 + i % 20] = "changed"
+        rows.append((2000 + i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    weights = near.inverse_frequencies(df)
+    assert len(weights.bucket)
+    got = {r["id"]: r.class_id for r in near.classes(df).collect()}
+    want = brute_classes(rows, weights)
+    assert got == want
+    assert len(set(want.values())) > 100
+
+
+def test_hot_group_of_copies_is_one_class(spark):
+    rows = family(7, 1500, 100, 1, vocab=10**6)
+    df = spark.createDataFrame([*rows, (5000, rows[0][1])], "doc_id long, text string").repartition(3)
+    assert {r.class_id for r in near.classes(df).collect()} == {0}
+
+
+def test_very_long_text(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(300_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[:150_000], "x", *words[150_000:]])), (3, " ".join(words[:1000])), (4, "short text")]
+    got = {r["id"]: r.class_id for r in near.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
+def test_components_of_a_path_in_order(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(150)] + [(1000, 1001)], "a long, b long")
+    got = graph.components(edges).collect()
+    assert len(got) == 153 and len({r.root for r in got}) == 2
+    assert len({r.root for r in got if r.node < 1000}) == 1
