@@ -2,24 +2,30 @@
 
 The rules find plain e-mail addresses, IP addresses, card and phone numbers.
 The semi-Markov conditional random field scores whole candidate segments:
-runs of at most MAX_ATOMS atoms (digit runs, letter runs, single signs) whose
-form could be an entity, written plainly or not ("(at)", "[.]", other
-separators, no plus sign).  Features see the whole span: its shape, counts,
+runs of atoms (digit runs, letter runs, single signs) of at most MAX_CHARS
+characters whose form could be an entity, written plainly or not ("(at)",
+"[.]", other separators, no plus sign).  Features see the whole span: its shape, counts,
 check digit, neighbours, length.  A segment of a kind may follow another
 directly, with a weight for the two kinds.  All else is text that scores 0, so
 dynamic programming over segment ends, bounded by the longest entity, finds
 the best boundaries and kinds together.  Of its segments those that overlap no
 rule span are added.
 
-The field is trained on at most SAMPLE distinct regions (windows around digits and at
-signs, the smallest by hash of their text), in which rule spans are the truth,
-each also rewritten in the ways that plain rules miss.  Gradients are exact,
-from the forward and backward sums over all segmentations.
+The field is trained on distinct windows around digits and at signs, in which
+rule spans are the truth, each also rewritten in the ways that plain rules
+miss: at most SAMPLE windows (the smallest by hash of their text) of each
+stratum, a stratum being the kind of a window's first rule span, or none.  So
+windows with personal data are learned from however few they are among windows
+with numbers, and long regions, cut between spans, as well as short ones.
+Gradients are exact, from the forward and backward sums over all segmentations.
 
 Mapping is narrow; time is linear in the text whatever stands in it.
 Defined cases: null text has no spans; empty text has none; without a rule
 span in the corpus nothing is learned or added; offsets are code points, ends
-exclusive; repeated rows are each searched.
+exclusive; equal scores take the segmentation with fewer of the last segments;
+repeated rows are each searched; very long texts are searched region by region;
+an empty table gives no rows; other columns stay, and those named base_pii or
+pii are replaced by detect().
 """
 
 from __future__ import annotations
@@ -38,9 +44,11 @@ from pyspark.sql import functions as F
 from .arrow import sliced, small_batches, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 900
+#: Training windows of a stratum at most.
+SAMPLE = 200
 REACH = 60
-MAX_ATOMS = 24
+#: Characters of a training window, but for one rule span more.
+WINDOW = 360
 MAX_CHARS = 80
 EPOCHS = 6
 
@@ -134,7 +142,7 @@ def candidates(text: str, begin: int, end: int) -> Iterator[Span]:
         if not (first.isalnum() or first in "+(._%-"):
             continue
         letters = digits = 0
-        for j in range(i, min(i + MAX_ATOMS, len(atoms))):
+        for j in range(i, len(atoms)):
             x, y = atoms[j]
             if y - a > MAX_CHARS:
                 break
@@ -201,16 +209,16 @@ class Model:
     def best(self, text: str, begin: int, end: int) -> list[Span]:
         """The segmentation of a region with the highest score."""
         spans = sorted(set(candidates(text, begin, end)), key=lambda s: (s[2], s[1], s[0]))
-        # best value of anything that ends before or at a place, and of what ends with a kind exactly there
-        ends: list[int] = [begin]
+        # best value of what ends at a place or before it, and of what ends with a kind exactly there
+        ends: list[int] = [begin - 1]
         top: list[tuple[float, tuple | None]] = [(0.0, None)]
         exact: dict[tuple[int, str], tuple[float, tuple]] = {}
         for span in spans:
             kind, a, b = span
             k = len(ends) - 1
-            while ends[k] > a:
+            while ends[k] >= a:
                 k -= 1
-            value, chain = top[k]
+            value, chain = top[k]  # nothing ends exactly at a
             for other in KINDS:
                 if (a, other) in exact and exact[a, other][0] + self.follow.get((other, kind), 0.0) > value:
                     value, chain = exact[a, other][0] + self.follow.get((other, kind), 0.0), exact[a, other][1]
@@ -367,32 +375,68 @@ def fit(texts: list[str], epochs: int = EPOCHS, l2: float = 1e-4) -> Model | Non
     return model
 
 
+def windows(text: str) -> Iterator[tuple[str, str]]:
+    """(stratum, window) of all regions; long ones are cut outside rule spans."""
+    for a, b in regions(text):
+        spans = sorted((x, y, k) for k, x, y in base_spans(text[a:b]))
+        at, i = 0, 0
+        while at < b - a:
+            cut, first = min(at + WINDOW, b - a), ""
+            while i < len(spans) and spans[i][0] < cut:
+                first = first or spans[i][2]
+                cut = max(cut, spans[i][1])
+                i += 1
+            yield first or "none", text[a + at : a + cut]
+            at = cut
+
+
 def train(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` regions of docs."""
+    """Fit on at most `sample` windows of each stratum of docs."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[tuple[int, str]] = set()
+        held = _Smallest(sample)
         for batch in sliced(batches):
             for t in batch.column("text").to_pylist():
-                held.update((_place(t[a:b]), t[a:b]) for a, b in regions(t or "") if b - a <= 6 * REACH)
-            if len(held) > 8 * sample:
-                held = set(sorted(held)[:sample])
-        yield _ranked(sorted(held)[:sample])
+                for stratum, window in windows(t or ""):
+                    held.add(stratum, _place(window), window)
+        yield held.rows()
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: set[tuple[int, str]] = set()
+        held = _Smallest(sample)
         for batch in batches:
-            held.update(zip(batch.column("o").to_pylist(), batch.column("region").to_pylist(), strict=True))
-            if len(held) > 8 * sample:
-                held = set(sorted(held)[:sample])
-        yield _ranked(sorted(held)[:sample])
+            for row in zip(*(batch.column(c).to_pylist() for c in ("stratum", "o", "region")), strict=True):
+                held.add(*row)
+        yield held.rows()
 
     small_batches(docs)
     texts = docs.select(F.col(f"`{text}`").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    # the smallest of each task, then of each of MERGES tasks: the driver gets at most MERGES times the sample
-    near = texts.mapInArrow(cut, "o bigint, region string").repartition(MERGES)
-    few = near.mapInArrow(least, "o bigint, region string").distinct().orderBy("o", "region").limit(sample)
-    return fit([r["region"] for r in few.collect()])
+    # the smallest of each task, then of each of MERGES tasks: the driver gets at most MERGES times the samples
+    near = texts.mapInArrow(cut, _Smallest.SCHEMA).repartition(MERGES)
+    few = _Smallest(sample)
+    for row in near.mapInArrow(least, _Smallest.SCHEMA).collect():
+        few.add(*row)
+    return fit(few.rows().column("region").to_pylist())
+
+
+class _Smallest:
+    """The distinct windows with the smallest places, so many of each stratum."""
+
+    SCHEMA = "stratum string, o bigint, region string"
+
+    def __init__(self, most: int):
+        self.most = most
+        self.held: dict[str, set[tuple[int, str]]] = {}
+
+    def add(self, stratum: str, place: int, window: str) -> None:
+        own = self.held.setdefault(stratum, set())
+        own.add((place, window))
+        if len(own) > 8 * self.most:
+            self.held[stratum] = set(sorted(own)[: self.most])
+
+    def rows(self) -> pa.RecordBatch:
+        kept = [(k, *x) for k in sorted(self.held) for x in sorted(self.held[k])[: self.most]]
+        stratum, place, window = zip(*kept, strict=True) if kept else ((), (), ())
+        return pa.RecordBatch.from_pydict({"stratum": pa.array(stratum, pa.string()), "o": pa.array(place, pa.int64()), "region": pa.array(window, pa.string())})
 
 
 #: Tasks in which the samples of all tasks meet.
@@ -404,10 +448,6 @@ def _place(region: str) -> int:
     return int.from_bytes(hashlib.blake2b(region.encode("utf-8", "surrogatepass"), digest_size=7).digest(), "big")
 
 
-def _ranked(rows: list[tuple[int, str]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"o": pa.array([o for o, _ in rows], pa.int64()), "region": pa.array([r for _, r in rows], pa.string())})
-
-
 def find(text: str | None, model: Model | None) -> tuple[list[Span], list[Span]]:
     """The rule spans, and all spans with those that the field adds, both by kind and start."""
     base = base_spans(text)

@@ -79,6 +79,39 @@ def test_sums_and_best_against_all_segmentations(seed):
         assert max(every)[0] == pytest.approx(next(v for v, pick in every if list(pick) == best))
 
 
+@pytest.mark.parametrize("text", ["a@b.cc.d@e.ff", "1.2.3.45.6.7.8", "ab@c.de5.6.7.8", "+1 555-1234567 1.2.3.4"])
+def test_best_of_random_models_with_negative_weights(text):
+    spans = sorted({s for a, b in pii.regions(text) for s in pii.candidates(text, a, b)}, key=lambda s: (s[1], s[2], s[0]))
+    picks = [pick for n in range(4) for pick in itertools.combinations(spans, n) if all(x[2] <= y[1] for x, y in zip(pick, pick[1:]))]
+    for seed in range(150):
+        rng = random.Random(seed)
+        model = model_of(rng, text, spans)
+        model.follow = {(a, b): rng.uniform(-3, 1) for a in pii.KINDS for b in pii.KINDS}
+        value = lambda pick: sum(model.score(text, s) for s in pick) + sum(model.follow[x[0], y[0]] for x, y in zip(pick, pick[1:]) if x[2] == y[1])  # noqa: E731,B023
+        best = model.best(text, 0, len(text))
+        assert value(best) >= max(map(value, picks)) - 1e-9, (text, seed)
+
+
+def test_windows_of_long_regions_cover_them_and_cut_no_span():
+    text = "; ".join(f"u{i}@mail{i}.example.org 10.0.{i % 256}.{i % 7}" for i in range(300))
+    got = list(pii.windows(text))
+    assert "".join(w for _, w in got) == text and max(len(w) for _, w in got) < pii.WINDOW + pii.MAX_CHARS
+    assert sum(len(pii.base_spans(w)) for _, w in got) == len(pii.base_spans(text)) == 600
+    assert {s for s, _ in got} == {"email", "ip"} or {s for s, _ in got} == {"email"}
+    assert [s for s, _ in pii.windows("we sold 12 units")] == ["none"]
+
+
+def test_long_obfuscated_forms_are_candidates():
+    for kind, s in (("email", "jane.doe7 (at) mail (dot) example (dot) co (dot) uk"), ("card", ".".join("4539578763621486"))):
+        assert (kind, 0, len(s)) in set(pii.candidates(s, 0, len(s)))
+
+
+def test_very_long_text_of_spans(spark):
+    text = "reach me at a.b@c.example.org or 10.0.0.1 now " * 4000
+    got = pii.digests(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (got.n_email, got.n_ip) == (4000, 4000) and got.base_sha256 == pii.sha256_of(brute(text))
+
+
 def test_field_finds_rewritten_entities_and_leaves_text_alone(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = pii.train(docs)
