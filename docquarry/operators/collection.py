@@ -57,6 +57,7 @@ class Collection:
     texts: dict[str, DataFrame] | None = None
     archived: bool = False
     scans: dict[str, Access] | None = None  # undeclared paths that df already has columns for
+    max_candidates: int | None = None  # of a query with a filter or a search; more is an error
 
     def access(self, path: str, scan: bool) -> Access:
         f = self.definition.fields.get(path)

@@ -20,6 +20,7 @@ from ..plans.query import DEFAULT_LIMIT, Aggregation, Filter, QueryRequest, chec
 from . import collection as c
 
 MAX_GROUPS = 10_000
+MAX_GROUP_BYTES = 8 << 20
 
 
 @dataclass
@@ -32,7 +33,8 @@ class Bound:
 
 
 def bound(source: c.Collection, request: QueryRequest) -> Bound:
-    """Checks everything that needs no data, then plans; no job runs."""
+    """Checks everything that needs no data, then plans; only a search, or a budget of candidates, runs jobs."""
+    max_candidates = source.max_candidates
     check_shape(request)
     undeclared = sorted(p for p in _paths(request) if p not in source.definition.fields) if request.scans else []
     early, late = request.where, Filter()
@@ -59,14 +61,17 @@ def bound(source: c.Collection, request: QueryRequest) -> Bound:
 
         if source.archived:
             raise EngineError("INDEX_REQUIRED", "archived documents are not in text indexes")
-        df = df.join(matches(source, request.text), "id")
+        df = df.join(matches(source, request.text, max_candidates), "id")
     else:
         df = df.withColumn("score", F.lit(None).cast("double"))
     if kept is not None:
         where = where & kept
     elif request.where.is_all():
+        if max_candidates is not None and request.text is not None:
+            within_budget(df, max_candidates)
         return Bound(request, scanned, df)
-    return Bound(request, scanned, df.where(where))
+    df = df.where(where)
+    return Bound(request, scanned, df if max_candidates is None else within_budget(df, max_candidates))
 
 
 def _paths(request: QueryRequest) -> set[str]:
@@ -345,7 +350,7 @@ def _averaged(df: DataFrame, late: list[tuple[str, int]]) -> DataFrame:
 
 def group_envelopes(source: c.Collection, request: QueryRequest) -> list[dict[str, Any]]:
     """{"group": {...}, "values": {...}} in group order; numbers exact, decimals as text."""
-    out = []
+    out, size = [], 0
     for r in groups(source, request).collect():
         group: dict[str, Any] = {}
         for path in request.groups:
@@ -372,4 +377,7 @@ def group_envelopes(source: c.Collection, request: QueryRequest) -> list[dict[st
                 v = text if source.access(a.path, request.scans).kind == "decimal" else exact.Number(text)
             values[alias] = v
         out.append({"group": group, "values": values})
+        size += len(exact.dumps(out[-1]).encode())
+        if size > MAX_GROUP_BYTES:
+            raise EngineError("RESOURCE_EXHAUSTED", f"the groups take more than {MAX_GROUP_BYTES} bytes")
     return out

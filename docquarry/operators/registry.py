@@ -516,6 +516,57 @@ def write_put_patch_delete(spark, d):
     return flat(s, s.df, type="/type", user="/user")
 
 
+@query(f"""SELECT id, "user" FROM ({_EVENTS}) QUALIFY row_number() OVER (PARTITION BY "user" ORDER BY id) = 1""")
+def load_unique_rejected(spark, d):
+    """A bulk load that breaks a unique index is refused whole; one that keeps it is taken."""
+    from ..plans.errors import EngineError
+    from ..sources.store import Tenant
+    from ..sources.scratch import shared_folder
+
+    tenant = Tenant(spark, shared_folder(spark, "unique"))
+    tenant.activate([CollectionDefinition("first", [Index("user", (IndexField("/user", "number", 0),), unique=True)])])
+    bodies = _bodies(spark, d)
+    try:
+        tenant.load("first", bodies)
+        raise AssertionError("equal keys were loaded")
+    except EngineError as refused:
+        if refused.code != "UNIQUE_VIOLATION":
+            raise
+    first = bodies.groupBy(F.get_json_object("body", "$.user").alias("user")).agg(F.min_by("body", "id").alias("body"), F.min("id").alias("id"))
+    tenant.load("first", first.select("id", "body"))
+    s = tenant.collection("first")
+    return flat(s, s.df, user="/user")
+
+
+@query(f"""SELECT id, CASE WHEN event_id <= 600 THEN 'staged' ELSE type END AS type, "user" FROM ({_EVENTS}) WHERE event_id % 7 <> 0 OR event_id > 600""")
+def staged_commit(spark, d):
+    """Six hundred operations in chunks become visible in one commit."""
+    tenant = _tenant(spark, "staged")
+    tenant.load("events", _bodies(spark, d))
+    before = tenant.collection("events").df.where("cast(id as int) <= 600").select("id").collect()
+    name = tenant.begin()
+    ops = [{"op": "delete", "collection": "events", "id": r["id"], "expected": "any"} if int(r["id"]) % 7 == 0 else {"op": "patch", "collection": "events", "id": r["id"], "patch": {"type": "staged"}, "expected": "any"} for r in before]
+    for k in range(0, len(ops), 200):
+        tenant.append(name, k // 200, ops[k : k + 200])
+    tenant.finalize(name)
+    s = tenant.collection("events")
+    return flat(s, s.df, type="/type", user="/user")
+
+
+@query(f"SELECT id FROM ({_CONV}) WHERE list_contains(w, 'the') AND id <> '000000000001-0000' UNION ALL SELECT 'new'")
+def search_after_write(spark, d):
+    """A search reads the stored text index that the load and the commits have written."""
+    from ..sources.scratch import shared_folder
+    from ..sources.store import Batch, Tenant
+
+    tenant = Tenant(spark, shared_folder(spark, "searched"))
+    tenant.activate([CollectionDefinition("notes", [Index("text", (IndexField("/text"),), text="unicode_v1")])])
+    id = F.concat(t.fixed_width("conv_id"), F.lit("-"), t.fixed_width("turn", 4))
+    tenant.load("notes", t.read(spark, d, "conversations").select(id.alias("id"), F.to_json(F.struct("text")).alias("body")))
+    tenant.mutate(Batch("w").put("notes", "new", {"text": "over The hill"}).put("notes", "other", {"text": "under it"}).delete("notes", "000000000001-0000"))
+    return _found(tenant.collection("notes"), TextSearch("text", "the"))
+
+
 def _fed(spark, d):
     """A tenant whose feed has all events: those of odd users in one commit, then all others in another collection."""
     tenant = _tenant(spark, "feed")
@@ -529,7 +580,7 @@ def _fed(spark, d):
 
 
 _FED = f"""SELECT row_number() OVER (ORDER BY CASE WHEN user_id % 2 = 1 THEN 0 ELSE 1 END, event_id) AS sequence, {_EID},
-  CASE WHEN user_id % 2 = 1 THEN 'events' ELSE 'other' END AS collection, CAST(count(*) OVER (PARTITION BY user_id % 2) AS INTEGER) AS commit_event_count FROM events"""
+  CASE WHEN user_id % 2 = 1 THEN 'events' ELSE 'other' END AS collection, count(*) OVER (PARTITION BY user_id % 2) AS commit_event_count FROM events"""
 
 
 @query(f"SELECT sequence, id, collection, commit_event_count FROM ({_FED}) WHERE sequence > 100")
@@ -543,14 +594,7 @@ def feed_after(spark, d):
 def feed_scope(spark, d):
     from ..sources import feed
 
-    tenant = _fed(spark, d)
-    events, start = [], "beginning"
-    while True:
-        got = feed.read(tenant, ["other"], start, 1000)
-        events += [(e["sequence"], e["id"]) for e in got.events]
-        start = got.cursor
-        if got.caught_up:
-            return spark.createDataFrame(events, "sequence bigint, id string")
+    return feed.frame(_fed(spark, d), ["other"]).select("sequence", "id")
 
 
 @query(f"SELECT sequence, id FROM ({_FED}) WHERE collection = 'events'")
@@ -579,15 +623,10 @@ def archive_union(spark, d):
 def lease_scan_pages(spark, d):
     tenant = _tenant(spark, "lease")
     tenant.load("events", _bodies(spark, d))
-    lease, after, found = tenant.lease(), None, []
-    while True:
-        got = tenant.lease_scan(lease, "events", after, 1000)
-        found += [(x["id"],) for x in got["documents"]]
-        after = got["next_after_id"]
-        if after is None:
-            break
+    lease = tenant.lease()
+    df = tenant.lease_frame(lease, "events").select("id")
     tenant.close(lease)
-    return spark.createDataFrame(found, "id string")
+    return df
 
 
 @query("SELECT CAST(o_orderkey % 1000 AS BIGINT) AS key, max_by(o_custkey, o_orderkey) AS value FROM orders GROUP BY 1 HAVING max_by(o_orderstatus, o_orderkey) <> 'P'")

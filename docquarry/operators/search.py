@@ -1,7 +1,10 @@
 """Ranked full-text search over token tables.
 
-A text index is a table of postings (field, kind, term, id, tf, places, size),
-kind telling stems from surface words; a query reads only the terms it names.
+A text index is a table of postings (field, kind, term, id, version, tf, places,
+size), kind telling stems from surface words, and a row without a term for each
+text; a query reads only the terms it names and the rows without one.  Where no
+index is stored, one pass over the texts keeps the postings of the terms that
+the query could mean, and all further steps read those.
 Frequencies and lengths are of the whole index.  BM25 with k1 = 1.2, b = 0.75,
 idf = ln(1 + (N - df + 1/2) / (df + 1/2)).  Clauses of a field add up, all must
 hold in that field; expansions of a clause and fields combine by maximum.
@@ -11,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import pandas as pd
 import pyarrow as pa
@@ -22,13 +26,16 @@ from ..functions import text as tx
 from ..plans.definition import Index
 from ..plans.errors import EngineError, invalid
 from ..plans.query import TextSearch
+from ..sources.scratch import shared_folder
 from .collection import ARRAY, STRING, Collection
 
 K1, B = 1.2, 0.75
 MAX_TERM_EXPANSION, MAX_EXPANSION = 64, 256
+#: Postings that a search may read for each candidate of its budget.
+POSTINGS_A_CANDIDATE = 8
 #: Between the elements of an array no phrase matches.
 GAP = 100
-POSTINGS = "field int, kind string, term string, id string, tf int, places array<int>, size int"
+POSTINGS = "field int, kind string, term string, id string, version long, tf int, places array<int>, size int"
 
 
 def _texts(source: Collection, index: Index) -> tuple[DataFrame, int]:
@@ -42,7 +49,7 @@ def _texts(source: Collection, index: Index) -> tuple[DataFrame, int]:
         given.append(F.when(tag == (STRING if f.type == "string" else ARRAY), value))
     if index.text == "japanese_v1":
         tx.analyse(index.text, "")
-    return source.df.select("id", *[g.alias(f"t{i}") for i, g in enumerate(given)]), len(given)
+    return source.df.select("id", "version", *[g.alias(f"t{i}") for i, g in enumerate(given)]), len(given)
 
 
 def postings(source: Collection, index: Index) -> DataFrame:
@@ -54,21 +61,27 @@ def postings(source: Collection, index: Index) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
                 part = batch.slice(start, 256)
-                out: dict[str, list] = {name: [] for name in ("field", "kind", "term", "id", "tf", "places", "size")}
-                ids = part.column("id").to_pylist()
+                out: list[tuple] = []
+                keys = list(zip(part.column("id").to_pylist(), part.column("version").to_pylist(), strict=True))
                 for field in range(n):
-                    for doc, texts in zip(ids, part.column(f"t{field}").to_pylist(), strict=True):
+                    for (doc, version), texts in zip(keys, part.column(f"t{field}").to_pylist(), strict=True):
                         for kind, found in _terms(analyzer, texts):
                             size = sum(map(len, found.values()))
-                            for term, places in found.items():
-                                for name, value in zip(out, (field, kind, term, doc, len(places), places, size), strict=True):
-                                    out[name].append(value)
-                kinds = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
-                yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
+                            out += [(field, kind, term, doc, version, len(places), places, size) for term, places in found.items()]
+                            out.append((field, kind, None, doc, version, 0, [], size))
+                yield _batch(out)
 
     return df.mapInArrow(run, POSTINGS)
 
 
+_SCHEMA = pa.schema([("field", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("id", pa.string()), ("version", pa.int64()), ("tf", pa.int32()), ("places", pa.list_(pa.int32())), ("size", pa.int32())])
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * len(_SCHEMA)
+    return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA)
+
+
 def _terms(analyzer: str, texts: list | None) -> Iterator[tuple[str, dict[str, list[int]]]]:
     ranked: dict[str, list[int]] = {}
     surface: dict[str, list[int]] = {}
@@ -87,18 +100,17 @@ def _terms(analyzer: str, texts: list | None) -> Iterator[tuple[str, dict[str, l
 
 
 def scanned(source: Collection, index: Index, kind: str, keep: Callable[[str], bool]) -> DataFrame:
-    """Postings of an index that is not stored: only those of the terms to keep, and for each text the count of its other words, without a term."""
+    """Postings of an index that is not stored: those of the terms to keep, and the row without a term of each text."""
     df, n = _texts(source, index)
     analyzer = index.text
-    schema = pa.schema([("field", pa.int32()), ("kind", pa.string()), ("term", pa.string()), ("id", pa.string()), ("tf", pa.int32()), ("places", pa.list_(pa.int32())), ("size", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, bool] = {}
         for batch in batches:
             out: list[tuple] = []
-            ids = batch.column("id").to_pylist()
+            keys = list(zip(batch.column("id").to_pylist(), batch.column("version").to_pylist(), strict=True))
             for field in range(n):
-                for doc, texts in zip(ids, batch.column(f"t{field}").to_pylist(), strict=True):
+                for (doc, version), texts in zip(keys, batch.column(f"t{field}").to_pylist(), strict=True):
                     found: dict[str, list[int]] = {}
                     size = at = 0
                     for text in texts or []:
@@ -115,11 +127,10 @@ def scanned(source: Collection, index: Index, kind: str, keep: Callable[[str], b
                         at += len(words) + GAP
                     if len(known) > 1 << 17:
                         known.clear()
-                    out += [(field, kind, w, doc, len(places), places, size) for w, places in found.items()]
+                    out += [(field, kind, w, doc, version, len(places), places, size) for w, places in found.items()]
                     if size:
-                        out.append((field, kind, None, doc, size - sum(map(len, found.values())), [], size))
-            columns = list(zip(*out, strict=True)) or [()] * len(schema)
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+                        out.append((field, kind, None, doc, version, 0, [], size))
+            yield _batch(out)
 
     return df.mapInArrow(run, POSTINGS)
 
@@ -129,20 +140,34 @@ def build_text_index(source: Collection, name: str, path: str) -> Collection:
     index = source.definition.text_index(name)
     if index is None:
         raise EngineError("INDEX_REQUIRED", f"there is no text index `{name}`")
-    postings(source, index).repartitionByRange("kind", "term").sortWithinPartitions("kind", "term", "id").write.parquet(path)
+    in_order(postings(source, index)).write.parquet(path)
     made = source.df.sparkSession.read.schema(POSTINGS).parquet(path)
-    return Collection(source.definition, source.df, source.revision, (source.texts or {}) | {name: made}, source.archived)
+    return replace(source, texts=(source.texts or {}) | {name: made})
+
+
+def in_order(table: DataFrame) -> DataFrame:
+    """Postings as they are stored: the files and row groups of a term are few."""
+    return table.repartitionByRange("kind", "term").sortWithinPartitions("kind", "term", "id")
 
 
 def _expanded(terms: DataFrame, budget: int) -> list[str]:
-    found = [r["term"] for r in terms.where(F.col("term").isNotNull()).select("term").distinct().limit(min(MAX_TERM_EXPANSION, budget) + 1).collect()]
+    found = [r["term"] for r in terms.limit(min(MAX_TERM_EXPANSION, budget) + 1).collect()]
     if len(found) > min(MAX_TERM_EXPANSION, budget):
         raise EngineError("RESOURCE_EXHAUSTED", "a search term expands to too many words; make it longer")
     return found
 
 
-def matches(source: Collection, search: TextSearch) -> DataFrame:
-    """(id, score) of the matching documents."""
+def _meant(token: str, mode: str, most: int) -> Callable[[str], bool]:
+    """Whether a word of a text can be meant by a token of the query."""
+    if mode == "prefix":
+        return lambda w: w.startswith(token)
+    if mode == "fuzzy":
+        return lambda w: tx.distance(token, w, most) <= most
+    return lambda w: w == token
+
+
+def matches(source: Collection, search: TextSearch, max_candidates: int | None = None) -> DataFrame:
+    """(id, score) of the matching documents; with a budget of candidates, the postings are bounded too."""
     index = source.definition.text_index(search.index)
     if index is None:
         raise EngineError("INDEX_REQUIRED", f"there is no text index `{search.index}`")
@@ -151,38 +176,37 @@ def matches(source: Collection, search: TextSearch) -> DataFrame:
     if search.mode == "fuzzy" and search.fuzzy_distance and any(len(t) < 3 for t in tokens):
         raise invalid("a fuzzy term has at least three characters")
     kind = "surface" if surface else "ranked"
-    stored = (source.texts or {}).get(index.name)
-    if stored is not None:
-        stored = stored.where(F.col("kind") == kind)
+    most = search.fuzzy_distance or 0
+    modes = ["fuzzy" if search.mode == "fuzzy" and most else "prefix" if search.mode == "prefix" and i == len(tokens) - 1 else "word" for i in range(len(tokens))]
+    table = (source.texts or {}).get(index.name)
+    if table is None:
+        tests = [_meant(t, m, most) for t, m in zip(tokens, modes, strict=True)]
+        path = shared_folder(source.df.sparkSession, "postings")
+        scanned(source, index, kind, lambda w: any(test(w) for test in tests)).write.parquet(path)
+        table = source.df.sparkSession.read.schema(POSTINGS).parquet(path)
+    table = table.where(F.col("kind") == kind)
     weights: list[tuple[int, str, float]] = []
-    for i, token in enumerate(tokens):
+    for i, (token, mode) in enumerate(zip(tokens, modes, strict=True)):
         left = MAX_EXPANSION - len(weights)
-        if search.mode == "prefix" and i == len(tokens) - 1:
-            terms = scanned(source, index, kind, lambda w, token=token: w.startswith(token)) if stored is None else stored.where(F.col("term").startswith(token))
-            weights += [(i, t, 1.0) for t in _expanded(terms, left)]
-        elif search.mode == "fuzzy" and search.fuzzy_distance:
-            most = search.fuzzy_distance
-            if stored is None:
-                terms = scanned(source, index, kind, lambda w, token=token, most=most: tx.distance(token, w, most) <= most)
-            else:
-                near = F.levenshtein(F.col("term"), F.lit(token), 2 * most) >= 0  # a transposition is two plain edits
-                terms = stored.where(near & _within(token, most)(F.col("term")))
+        if mode == "prefix":
+            weights += [(i, t, 1.0) for t in _expanded(table.where(F.col("term").startswith(token)).select("term").distinct(), left)]
+        elif mode == "fuzzy":
+            near = F.levenshtein(F.col("term"), F.lit(token), 2 * most) >= 0  # a transposition is two plain edits
+            terms = table.where(near).select("term").distinct().where(_within(token, most)(F.col("term")))
             weights += [(i, t, 1.0 / (1 + tx.distance(token, t, most))) for t in _expanded(terms, left)]
         else:
             weights.append((i, token, 1.0))
     if {i for i, _, _ in weights} != set(range(len(tokens))):
         return source.df.select("id", F.lit(0.0).alias("score")).limit(0)
     wanted = sorted({t for _, t, _ in weights})
-    table = scanned(source, index, kind, frozenset(wanted).__contains__) if stored is None else stored
     hit = table.where(F.col("term").isin(wanted))
-    # one pass for all statistics: a row for each field and wanted term, and one for the rest of a field
-    named = F.when(F.col("term").isin(wanted), F.col("term")).alias("term")
-    stats = table.groupBy("field", named).agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("words")).collect()
-    docs = source.df.count()
-    words: dict[int, int] = {}
-    for r in stats:
-        words[r["field"]] = words.get(r["field"], 0) + r["words"]
+    # one pass for all statistics: a row for each field and wanted term, and one for the texts of a field
+    stats = table.where(F.col("term").isNull() | F.col("term").isin(wanted)).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("size").alias("words")).collect()
     found = {(r["field"], r["term"]): r["df"] for r in stats if r["term"] is not None}
+    if max_candidates is not None and sum(found.values()) > POSTINGS_A_CANDIDATE * max_candidates:
+        raise EngineError("RESOURCE_EXHAUSTED", f"the search reads more than {POSTINGS_A_CANDIDATE * max_candidates} postings")
+    words = {r["field"]: r["words"] for r in stats if r["term"] is None}
+    docs = source.df.count()
     clauses = []
     for i, term, weight in weights:
         for (field, known), df in found.items():

@@ -168,7 +168,7 @@ def _condition(path: str, entry: Any) -> dict[str, Any]:
         if op in ("in", "nin") and not isinstance(value, list):
             raise invalid(f"`{op}` requires an array")
         if op == "exists" and not isinstance(value, bool):
-            raise invalid("`exists` requires true or false")
+            raise invalid(f"`exists` on `{path}` takes true or false only")
     return dict(entry)
 
 

@@ -17,6 +17,18 @@ def _keys(source: Collection, index: Index) -> list[tuple[str, list[Column]]]:
     return out
 
 
+def shared_keys(source: Collection, other: Collection, index: Index) -> DataFrame:
+    """Keys that documents of both hold."""
+
+    def keyed(s: Collection) -> DataFrame:
+        df, keys = s.df, _keys(s, index)
+        for _, columns in keys:
+            df = df.where(columns[0] > MISSING)
+        return df.select(*[x.alias(f"u{i}_{j}") for i, (_, columns) in enumerate(keys) for j, x in enumerate(columns)])
+
+    return keyed(source).intersect(keyed(other))
+
+
 def violations(source: Collection, index: Index) -> DataFrame:
     """Keys that more than one document holds: their values by path, and n."""
     df = source.df

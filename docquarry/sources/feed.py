@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exact
 from ..operators.paging import _content, _token
-from ..plans.errors import invalid
+from ..plans.errors import EngineError, invalid
 from .store import FEED, FEED_SCAN, Tenant
 
 MAX_COLLECTIONS = 16
@@ -39,6 +39,16 @@ def table(tenant: Tenant, after: int = 0, until: int | None = None) -> DataFrame
     return df if until is None else df.where(F.col("sequence") <= until)
 
 
+def frame(tenant: Tenant, collections: list[str], after: int | None = None, principal: str = "admin") -> DataFrame:
+    """All kept events of the collections after a sequence number, as a table; a gap of retention is an error."""
+    m = tenant.manifest()
+    for name in collections:
+        tenant._allow(m, principal, name, "read")
+    if after is not None and after + 1 < m["feed"]["first"]:
+        raise EngineError("NOT_FOUND", f"events from {after + 1} to {m['feed']['first'] - 1} are no longer kept")
+    return table(tenant, after or 0, m["feed"]["next"] - 1).where(F.col("collection").isin(sorted(set(collections))))
+
+
 def read(tenant: Tenant, collections: list[str], start: str = "beginning", limit: int = 100, principal: str = "admin") -> Events | RetentionGap:
     """A page of events of the collections; start is beginning, now, or the cursor of the page before.
 

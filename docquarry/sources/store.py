@@ -3,9 +3,11 @@
 Every commit writes its own Parquet files and then one manifest that names all
 files of the new revision; a reader that holds a manifest reads that revision
 for as long as its files are kept.  A collection is a base and a few deltas of
-at most MAX_OPERATIONS rows each: reading subtracts the ids of the deltas, whose
-number is bounded by the rule that MAX_DELTAS deltas are folded into the base,
-and adds their newest rows.  One writer at a time holds the tenant's lock file.
+at most MAX_OPERATIONS rows each: reading subtracts the ids of the deltas and
+adds their newest rows.  MAX_DELTAS deltas, or one change of more rows, are
+folded into the base, so what a read broadcasts is at most their product.  Each
+text index is a base and deltas of postings alike, written by every commit.
+One writer at a time holds the tenant's lock file.
 """
 
 from __future__ import annotations
@@ -28,18 +30,22 @@ from ..functions import text as tx
 from ..functions.schema import check_body, check_schema
 from ..operators import collection as c
 from ..operators import execute as ex
-from ..operators.paging import Caller, Page, page
+from ..operators.paging import Caller, Page, _content, _token, page
+from ..operators.search import POSTINGS, in_order, postings
 from ..plans.definition import CollectionDefinition
 from ..plans.errors import EngineError, invalid
 from ..plans.query import MAX_PAGE, QueryRequest
+from .constraints import shared_keys, violations
 
 # Limits of batches, reads, feed and archive.
 MAX_OPERATIONS, MAX_READ_SET, MAX_CHUNKS, MAX_DELTAS = 256, 512, 512, 32
 MAX_DOCUMENT_BYTES, MAX_BATCH_BYTES = 1 << 20, 8 << 20
 MAX_KEYS, MAX_QUERIES = 256, 16
+MAX_CANDIDATES = 100_000
+LEASE_MS = 300_000
 FEED_EVENTS, FEED_BYTES, FEED_SCAN = 100_000, 128 << 20, 1000
 RIGHTS = ("read", "write", "admin", "audit")
-FEED = "sequence long, revision long, ordinal int, commit_event_count int, collection string, id string, version long, document string"
+FEED = "sequence long, revision long, ordinal long, commit_event_count long, collection string, id string, version long, document string"
 RECEIPTS = "principal string, key string, digest string, revision long, outcome string"
 AUDIT = "ordinal long, revision long, at_ms long, principal string, action string, detail string"
 
@@ -139,6 +145,7 @@ class Tenant:
         self.spark, self.files = spark, Files(spark, root)
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.feed_events, self.feed_bytes = feed_events, feed_bytes
+        self.max_candidates: int | None = MAX_CANDIDATES
         self.files.fs.mkdirs(self.files.at("manifests"))
         if not self.files.names("manifests"):
             empty = {
@@ -212,12 +219,18 @@ class Tenant:
         if held["deltas"]:
             # at most MAX_DELTAS times MAX_OPERATIONS rows: safe to broadcast
             deltas = self._frame(held["deltas"], schema + ", gone boolean")
-            newest = deltas.groupBy("id").agg(F.max_by(F.struct(*deltas.columns), "version").alias("r")).select("r.*")
-            df = df.join(F.broadcast(deltas.select("id").distinct()), "id", "left_anti")
-            df = df.unionByName(newest.where(~F.col("gone")).drop("gone"))
+            changed = F.broadcast(deltas.select("id").distinct())
+            newest = deltas.groupBy("id").agg(F.max_by(F.struct(*deltas.columns), "version").alias("r")).select("r.*").where(~F.col("gone")).drop("gone")
+            df = df.join(changed, "id", "left_anti").unionByName(newest)
+        texts = {}
+        for index, paths in held.get("texts", {}).items():
+            texts[index] = self._frame(paths["base"], POSTINGS)
+            if held["deltas"]:
+                fresh = self._frame(paths["deltas"], POSTINGS).join(F.broadcast(newest.select("id", "version")), ["id", "version"], "left_semi")
+                texts[index] = texts[index].join(changed, "id", "left_anti").unionByName(fresh)
         if archived and held["cold"]:
             df = df.unionByName(self._frame(held["cold"], schema))
-        return c.Collection(definition, df, m["revision"], archived=archived)
+        return c.Collection(definition, df, m["revision"], texts, archived)
 
     def collections(self, principal: str = "admin") -> list[CollectionDefinition]:
         m = self.manifest()
@@ -234,11 +247,10 @@ class Tenant:
         """A page of rows (at the cursor's revision), or the groups."""
         revision = None
         if request.at is not None and request.paging_mode == "snapshot":
-            from ..operators.paging import _content
-
             revision = int(_content(request.at)["revision"])
         current = self.manifest()
         source = self.collection(request.collection, revision, principal)
+        source.max_candidates = self.max_candidates
         if source.definition.strict_read_audit:
             self._read_audited(principal, request.collection)
         if request.aggregates:
@@ -259,7 +271,12 @@ class Tenant:
         """A few documents by id; the ids reach the scan as a filter."""
         if not ids:
             return {}
-        df = self._open(m or self.manifest(), name).df.where(F.col("id").isin(ids)).select("id", "version", "body")
+        df = self._open(m or self.manifest(), name).df
+        if len(ids) > MAX_OPERATIONS:  # a staged transaction
+            df = df.join(self.spark.createDataFrame(pa.table({"id": pa.array(ids, pa.string())})), "id", "left_semi")
+        else:
+            df = df.where(F.col("id").isin(ids))
+        df = df.select("id", "version", "body")
         return {r["id"]: (r["version"], exact.loads(r["body"])) for r in df.collect()}
 
     def read_snapshot(self, keys: list[tuple[str, str]], queries: list[QueryRequest], principal: str = "admin", bounds: tuple[int, int] | None = None) -> dict[str, Any]:
@@ -345,7 +362,7 @@ class Tenant:
     def limits(self) -> dict[str, int]:
         return {
             "max_batch_operations": MAX_OPERATIONS, "max_batch_bytes": MAX_BATCH_BYTES, "max_document_bytes": MAX_DOCUMENT_BYTES, "max_feed_events": self.feed_events, "max_feed_bytes": self.feed_bytes,
-            "max_page_size": MAX_PAGE, "max_query_groups": ex.MAX_GROUPS,
+            "max_page_size": MAX_PAGE, "max_query_groups": ex.MAX_GROUPS, "max_query_candidates": self.max_candidates, "max_group_bytes": ex.MAX_GROUP_BYTES,
         }
 
     def _receipt(self, m: dict, principal: str, key: str):
@@ -439,6 +456,13 @@ class Tenant:
                 keys[key] = id
             if not keys:
                 continue
+            if len(docs) > MAX_OPERATIONS:
+                others = source.df.join(self.spark.createDataFrame(pa.table({"id": pa.array(list(docs), pa.string())})), "id", "left_anti")
+                rows = pa.Table.from_batches([c.records(source.definition, [(i, 0, docs[i][1]) for i in keys.values()])])
+                own = c.Collection(source.definition, self.spark.createDataFrame(rows))
+                if not shared_keys(c.Collection(source.definition, others), own, index).limit(1).isEmpty():
+                    raise EngineError("UNIQUE_VIOLATION", f"`{index.name}` already has a document with that key")
+                continue
             others = source.df.where(~F.col("id").isin(list(docs)))
             tests = []
             for key in keys:
@@ -471,10 +495,17 @@ class Tenant:
             gone = pa.array([docs[i][1] is None for i, _, _ in rows], pa.bool_())
             table = pa.Table.from_batches([batch]).append_column("gone", gone)
             held["deltas"].append(self._write(table, f"data/{name}"))
+            for index in searched(definition):
+                held.setdefault("texts", {}).setdefault(index.name, {"base": [], "deltas": []})
+                kept = c.records(definition, [r for r, g in zip(rows, gone.to_pylist(), strict=True) if not g])
+                made = postings(c.Collection(definition, self.spark.createDataFrame(pa.Table.from_batches([kept]))), index)
+                held["texts"][index.name]["deltas"].append(self._write(made.coalesce(1), f"texts/{name}"))
             held["data_epoch"] += 1
             events += [(name, i, revision, None if docs[i][1] is None else exact.dumps(docs[i][1], sort=True)) for i, _, _ in rows]
-            if len(held["deltas"]) >= MAX_DELTAS:
-                held["base"], held["deltas"] = [self._write(self._open(new, name).df, f"data/{name}")], []
+            if len(held["deltas"]) >= MAX_DELTAS or len(rows) > MAX_OPERATIONS:
+                whole = self._open(new, name)
+                texts = {index: {"base": [self._write(in_order(df), f"texts/{name}")], "deltas": []} for index, df in whole.texts.items()}
+                held |= {"base": [self._write(whole.df, f"data/{name}")], "deltas": [], "texts": texts}
         self._feed(new, events, revision)
 
     def _feed(self, new: dict, events: list[tuple], revision: int) -> None:
@@ -482,7 +513,7 @@ class Tenant:
             return
         feed, n = new["feed"], len(events)
         columns = list(zip(*[(feed["next"] + k, revision, k, n, *e) for k, e in enumerate(events)], strict=True))
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string()]
         names = [f.split()[0] for f in FEED.split(", ")]
         table = pa.Table.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], names=names)
         size = sum(len(e[3] or "") + len(e[1]) for e in events)
@@ -508,7 +539,7 @@ class Tenant:
         place = F.col("start") + F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
         numbered = held.join(F.broadcast(starts), "part").withColumn("ordinal", place)
         events = numbered.select(
-            (F.lit(feed["next"]) + F.col("ordinal")).alias("sequence"), F.lit(revision).cast("long").alias("revision"), F.col("ordinal").cast("int").alias("ordinal"), F.lit(n).cast("int").alias("commit_event_count"),
+            (F.lit(feed["next"]) + F.col("ordinal")).alias("sequence"), F.lit(revision).cast("long").alias("revision"), F.col("ordinal").cast("long").alias("ordinal"), F.lit(n).cast("long").alias("commit_event_count"),
             F.lit(name).alias("collection"), "id", F.lit(revision).cast("long").alias("version"), F.col("body").alias("document"),
         )
         feed["segments"].append({"path": self._write(events, "feed"), "first": feed["next"], "count": n, "bytes": size})
@@ -536,6 +567,15 @@ class Tenant:
         self._allow(m, principal, "*", "audit")
         return self._frame(m["audit"]["parts"], AUDIT).where(F.col("ordinal") > after).orderBy("ordinal").limit(limit)
 
+    def audit_page(self, cursor: str | None = None, limit: int = 100, principal: str = "admin") -> tuple[list[dict[str, Any]], str]:
+        """The next audit events, and the cursor behind them, which holds for this tenant and caller only."""
+        bound = {"incarnation": self.manifest()["incarnation"], "audit": principal}
+        held = _content(cursor) if cursor else bound | {"after": 0}
+        if any(held.get(k) != v for k, v in bound.items()):
+            raise invalid("the cursor belongs to another tenant or caller")
+        rows = [r.asDict() for r in self.audit(int(held["after"]), limit, principal).collect()]
+        return rows, _token(bound | {"after": rows[-1]["ordinal"] if rows else int(held["after"])})
+
     # ---------------------------------------------------- definitions, policy
 
     def activate(self, definitions: list[CollectionDefinition], principal: str = "admin") -> int:
@@ -572,18 +612,25 @@ class Tenant:
                     base = self._write(made.df, f"data/{d.name}")
                 except Exception as bad:
                     raise EngineError("SCHEMA_VIOLATION", f"a document of `{d.name}` does not fit: {str(bad)[:300]}") from bad
-                held |= {"definition": d.to_json(), "base": [base], "deltas": []}
-                from .constraints import violations
-
-                fresh = self._open(new, d.name)
-                for index in (i for i in d.indexes if i.unique):
-                    if not violations(fresh, index).limit(1).isEmpty():
-                        raise EngineError("UNIQUE_VIOLATION", f"`{d.name}` has documents with equal `{index.name}`")
+                held |= {"definition": d.to_json(), "base": [base], "deltas": [], "texts": {}}
+                self._constrained(self._open(new, d.name))
+                held["texts"] = self._indexed(self._open(new, d.name))
             new["schema_epoch"] += 1
             self._audit(new, principal, "activate", ",".join(d.name for d in definitions), revision)
             self._commit(old, new)
             return new["revision"]
 
+    def _constrained(self, source: c.Collection) -> None:
+        """Every unique index holds over the whole collection."""
+        for index in (i for i in source.definition.indexes if i.unique):
+            if not violations(source, index).limit(1).isEmpty():
+                raise EngineError("UNIQUE_VIOLATION", f"`{source.definition.name}` has documents with equal `{index.name}`")
+
+    def _indexed(self, source: c.Collection) -> dict[str, dict[str, list[str]]]:
+        """The postings of a collection's text indexes, written anew."""
+        name = source.definition.name
+        return {i.name: {"base": [self._write(in_order(postings(source, i)), f"texts/{name}")], "deltas": []} for i in searched(source.definition)}
+
     def schema(self) -> dict[str, Any]:
         m = self.manifest()
         return {"revision": m["revision"], "schema_epoch": m["schema_epoch"], "collections": {n: h["definition"] for n, h in m["collections"].items()}}
@@ -621,9 +668,37 @@ class Tenant:
             new = exact_copy(old)
             revision = old["revision"] + 1
             definition = CollectionDefinition.from_json(held["definition"])
-            made = c.from_json(definition, df.select("id", F.lit(revision).cast("long").alias("version"), "body"))
-            base = self._write(made.df, f"data/{name}")
-            new["collections"][name]["base"] = [base]
+
+
+            def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for id, text in zip(batch.column("id").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                        if id is None or text is None:
+                            raise EngineError("INVALID_ARGUMENT", "a document needs an id and a body")
+                        if len(text.encode()) > MAX_DOCUMENT_BYTES:
+                            raise EngineError("QUOTA_EXCEEDED", "a document has at most 1 MiB")
+                        body = exact.loads(text)
+                        check_body(body, definition.schema)
+                        check_texts(definition, body)
+                    yield batch
+
+            given = df.select(F.col("id").cast("string").alias("id"), F.lit(revision).cast("long").alias("version"), F.col("body").cast("string").alias("body"))
+            made = c.from_json(definition, given.mapInArrow(check, "id string, version long, body string"))
+            base = f"data/{name}/{uuid.uuid4().hex}"
+            try:
+                try:
+                    made.df.write.parquet(f"{self.files.root}/{base}")
+                except Exception as bad:
+                    code = next((k for k in ("QUOTA_EXCEEDED", "INVALID_ARGUMENT") if k in str(bad)), "SCHEMA_VIOLATION")
+                    raise EngineError(code, f"a document of `{name}` does not fit: {str(bad)[:300]}") from bad
+                loaded = c.Collection(definition, self._frame([base], c.schema_of(definition)))
+                if not loaded.df.groupBy("id").count().where("count > 1").limit(1).isEmpty():
+                    raise EngineError("CONFLICT", "a bulk load has each id once")
+                self._constrained(loaded)
+            except EngineError:
+                self.files.delete(base)
+                raise
+            new["collections"][name] |= {"base": [base], "texts": self._indexed(loaded)}
             new["collections"][name]["data_epoch"] += 1
             self._feed_load(new, name, self._frame([base], c.schema_of(definition)), revision)
             self._audit(new, principal, "load", name, revision)
@@ -659,17 +734,26 @@ class Tenant:
 
     # ------------------------------------------------------------ leases
 
-    def lease(self, principal: str = "admin") -> str:
-        """Pins the current revision for reads by key or in id order."""
+    def lease(self, principal: str = "admin", ttl_ms: int = LEASE_MS) -> str:
+        """Pins the current revision for reads by key or in id order, for a time."""
         name = uuid.uuid4().hex
-        self.files.create(f"leases/{name}.json", exact.dumps({"revision": self.manifest()["revision"], "principal": principal}))
+        held = {"revision": self.manifest()["revision"], "principal": principal, "expires_ms": self.clock() + ttl_ms}
+        self.files.create(f"leases/{name}.json", exact.dumps(held))
         return name
 
     def _leased(self, lease: str) -> int:
         try:
-            return int(exact.loads(self.files.read(f"leases/{lease}.json"))["revision"])
+            held = exact.loads(self.files.read(f"leases/{lease}.json"))
         except Exception as lost:
             raise EngineError("NOT_FOUND", "there is no such lease") from lost
+        if self.clock() > int(held["expires_ms"]):
+            self.close(lease)
+            raise EngineError("NOT_FOUND", "the lease has expired")
+        return int(held["revision"])
+
+    def lease_frame(self, lease: str, name: str) -> DataFrame:
+        """(id, version, body) of a collection at the lease's revision, as a table."""
+        return self._open(self.manifest(self._leased(lease)), name).df.select("id", "version", "body")
 
     def lease_read(self, lease: str, name: str, id: str) -> tuple[int, dict] | None:
         return self.documents(name, [id], self.manifest(self._leased(lease))).get(id)
@@ -701,13 +785,20 @@ class Tenant:
             cold = self._write(df.where(F.col("version") <= cutoff), f"cold/{name}")
             hot = self._write(df.where(F.col("version") > cutoff), f"data/{name}")
             n = self._frame([cold], c.schema_of(CollectionDefinition.from_json(held["definition"]))).count()
-            new["collections"][name] |= {"base": [hot], "deltas": [], "cold": [*held["cold"], cold]}
+            kept = self._frame([hot], c.schema_of(CollectionDefinition.from_json(held["definition"])))
+            texts = {i: {"base": [self._write(in_order(p.join(kept.select("id"), "id", "left_semi")), f"texts/{name}")], "deltas": []} for i, p in self._open(old, name).texts.items()}
+            new["collections"][name] |= {"base": [hot], "deltas": [], "cold": [*held["cold"], cold], "texts": texts}
             new["archives"][archive_id] = n
             self._audit(new, principal, "archive", archive_id, old["revision"] + 1)
             self._commit(old, new)
             return n
 
 
+def searched(definition: CollectionDefinition) -> list:
+    """The text indexes that can be built."""
+    return [i for i in definition.indexes if i.text and i.text != "japanese_v1"]
+
+
 def check_texts(definition: CollectionDefinition, body: dict) -> None:
     """Limits of searchable texts."""
     for index in definition.indexes:

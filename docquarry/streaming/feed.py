@@ -23,6 +23,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 
 from ..sources.store import FEED
 
+BATCH_ROWS = 4096
+
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
     fs, path = pafs.FileSystem.from_uri(root if "://" in root else "file://" + root.removeprefix("file:"))
@@ -38,33 +40,38 @@ def _feed(root: str) -> dict:
         return json.loads(f.read())["feed"]
 
 
-class Segment(InputPartition):
+class Part(InputPartition):
+    """One file of a segment; a bulk load has as many as it had tasks."""
+
     def __init__(self, path: str, after: int, until: int):
         self.path, self.after, self.until = path, after, until
 
 
-def _segments(feed: dict, after: int, until: int) -> list[Segment]:
+def _parts(root: str, feed: dict, after: int, until: int) -> list[Part]:
     if after + 1 < feed["first"] and after > 0:
         raise RuntimeError(f"RETENTION_GAP: events from {after + 1} to {feed['first'] - 1} are no longer kept")
-    return [Segment(s["path"], after, until) for s in feed["segments"] if s["first"] <= until and s["first"] + s["count"] - 1 > after]
+    fs, path = _open(root)
+    wanted = [s["path"] for s in feed["segments"] if s["first"] <= until and s["first"] + s["count"] - 1 > after]
+    files = [f for s in wanted for f in fs.get_file_info(pafs.FileSelector(f"{path}/{s}"))]
+    return [Part(f.path, after, until) for f in files if f.base_name.endswith(".parquet")]
 
 
-def _rows(root: str, collections: list[str], part: Segment) -> Iterator[pa.RecordBatch]:
-    fs, path = _open(root)
-    for info in fs.get_file_info(pafs.FileSelector(f"{path}/{part.path}")):
-        if info.base_name.endswith(".parquet"):
-            table = pq.read_table(info.path, filesystem=fs)
-            keep = pc.and_(pc.greater(table["sequence"], part.after), pc.less_equal(table["sequence"], part.until))
+def _rows(root: str, collections: list[str], part: Part) -> Iterator[pa.RecordBatch]:
+    fs, _ = _open(root)
+    with fs.open_input_file(part.path) as f:
+        for batch in pq.ParquetFile(f).iter_batches(BATCH_ROWS):
+            keep = pc.and_(pc.greater(batch["sequence"], part.after), pc.less_equal(batch["sequence"], part.until))
             if collections:
-                keep = pc.and_(keep, pc.is_in(table["collection"], pa.array(collections)))
-            yield from table.filter(keep).to_batches()
+                keep = pc.and_(keep, pc.is_in(batch["collection"], pa.array(collections)))
+            yield batch.filter(keep)
 
 
 class _Stream(DataSourceStreamReader):
     def __init__(self, options: dict):
-        self.root = options["path"]
-        self.collections = [c for c in options.get("collections", "").split(",") if c]
-        self.start = int(options.get("startingSequence", 0))
+        given = {k.lower(): v for k, v in options.items()}  # names of options have no case
+        self.root = given["path"]
+        self.collections = [c for c in given.get("collections", "").split(",") if c]
+        self.start = int(given.get("startingsequence", 0))
 
     def initialOffset(self) -> dict:
         return {"sequence": max(self.start, _feed(self.root)["first"] - 1) if not self.start else self.start}
@@ -72,10 +79,10 @@ class _Stream(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"sequence": _feed(self.root)["next"] - 1}
 
-    def partitions(self, start: dict, end: dict) -> list[Segment]:
-        return _segments(_feed(self.root), start["sequence"], end["sequence"])
+    def partitions(self, start: dict, end: dict) -> list[Part]:
+        return _parts(self.root, _feed(self.root), start["sequence"], end["sequence"])
 
-    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return _rows(self.root, self.collections, partition)
 
     def commit(self, end: dict) -> None:
@@ -86,11 +93,11 @@ class _Batch(DataSourceReader):
     def __init__(self, options: dict):
         self.stream = _Stream(options)
 
-    def partitions(self) -> list[Segment]:
+    def partitions(self) -> list[Part]:
         feed = _feed(self.stream.root)
-        return _segments(feed, self.stream.start, feed["next"] - 1) or [Segment("", 0, -1)]
+        return _parts(self.stream.root, feed, self.stream.start, feed["next"] - 1) or [Part("", 0, -1)]
 
-    def read(self, partition: Segment) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: Part) -> Iterator[pa.RecordBatch]:
         return _rows(self.stream.root, self.stream.collections, partition) if partition.path else iter(())
 
 

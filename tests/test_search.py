@@ -32,22 +32,25 @@ def test_stems():
         assert tx.stem(word) == want, word
 
 
+BAKERY = ["She was baking bread at dawn", "Two ovens bake all night", "Ovenproof dishes, oven gloves", "warm bread baked twice"]
+
+
 def test_english_modes(spark):
-    s = col(spark, ["The runner was running fast", "We run shipments by sea", "Shipping and ships", "fast running runners"], "english_v1")
-    assert sorted(hits(s, TextSearch("t", "run"))) == ["000", "001", "003"]
-    assert sorted(hits(s, TextSearch("t", "running fast").phrase())) == ["000"]
-    assert sorted(hits(s, TextSearch("t", "fast running").phrase())) == ["003"]
-    assert sorted(hits(s, TextSearch("t", "ship").prefix())) == ["001", "002"]
-    assert sorted(hits(s, TextSearch("t", "ships").prefix())) == ["002"]
-    got = ex.group_envelopes(s, QueryRequest("docs").search(TextSearch("t", "run")).filter(Filter().gte("/n", 1)).aggregate("n", Aggregation.count()))
+    s = col(spark, BAKERY, "english_v1")
+    assert sorted(hits(s, TextSearch("t", "bake"))) == ["000", "001", "003"]
+    assert sorted(hits(s, TextSearch("t", "baking bread").phrase())) == ["000"]
+    assert sorted(hits(s, TextSearch("t", "bread baked").phrase())) == ["003"]
+    assert sorted(hits(s, TextSearch("t", "oven").prefix())) == ["001", "002"]
+    assert sorted(hits(s, TextSearch("t", "ovenproof").prefix())) == ["002"]
+    got = ex.group_envelopes(s, QueryRequest("docs").search(TextSearch("t", "bake")).filter(Filter().gte("/n", 1)).aggregate("n", Aggregation.count()))
     assert exact.dumps(got) == '[{"group":{},"values":{"n":2}}]'
-    assert [r.id for r in ex.rows(s, QueryRequest("docs").search(TextSearch("t", "run")).sort_desc("/n")).collect()] == ["003", "001", "000"]
+    assert [r.id for r in ex.rows(s, QueryRequest("docs").search(TextSearch("t", "bake")).sort_desc("/n")).collect()] == ["003", "001", "000"]
 
 
 def test_unicode_scores(spark):
-    texts = ["ＣＡＦＥ", "cafe cafe bar", "a long cafe text with many other words", "unrelated"]
+    texts = ["ﬁsh", "fish FISH soup", "what the fish wrote home about the weather", "bread"]
     s = col(spark, texts, "unicode_v1")
-    rows = ex.rows(s, QueryRequest("docs").search(TextSearch("t", "Cafe"))).collect()
+    rows = ex.rows(s, QueryRequest("docs").search(TextSearch("t", "Fish"))).collect()
     sizes = [len(tx.words(t)) for t in texts]
     idf, mean = math.log(1 + (4 - 3 + 0.5) / 3.5), sum(sizes) / 4
     want = {f"{i:03d}": idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * sizes[i] / mean)) for i, tf in ((0, 1), (1, 2), (2, 1))}
@@ -56,16 +59,16 @@ def test_unicode_scores(spark):
 
 
 def test_fuzzy_prefix_budget_and_errors(spark):
-    s = col(spark, ["kitten", "sitten", "kitchen", "puppy", "kittne"], "unicode_v1")
-    assert sorted(hits(s, TextSearch("t", "kitten").fuzzy(1))) == ["000", "001", "004"]
-    assert sorted(hits(s, TextSearch("t", "kitten").fuzzy(2))) == ["000", "001", "002", "004"]
-    assert hits(s, TextSearch("t", "kitten").fuzzy(1))[0] == "000"
-    for search, code in [(TextSearch("t", "kitten").fuzzy(3), "INVALID"), (TextSearch("t", "ab").fuzzy(1), "INVALID"), (TextSearch("t", "..."), "INVALID"), (TextSearch("x", "a"), "INDEX_REQUIRED")]:
+    s = col(spark, ["harbour", "harbor", "labour", "bread", "harobur"], "unicode_v1")
+    assert sorted(hits(s, TextSearch("t", "harbour").fuzzy(1))) == ["000", "001", "004"]
+    assert sorted(hits(s, TextSearch("t", "harbour").fuzzy(2))) == ["000", "001", "002", "004"]
+    assert hits(s, TextSearch("t", "harbour").fuzzy(1))[0] == "000"
+    for search, code in [(TextSearch("t", "harbour").fuzzy(3), "INVALID"), (TextSearch("t", "ox").fuzzy(1), "INVALID"), (TextSearch("t", "?!"), "INVALID"), (TextSearch("x", "a"), "INDEX_REQUIRED")]:
         with pytest.raises(EngineError, match=code):
             hits(s, search)
-    many = col(spark, [f"prefix{i:03d}" for i in range(65)], "unicode_v1")
+    many = col(spark, [f"crate{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(70)], "unicode_v1")
     with pytest.raises(EngineError, match="RESOURCE_EXHAUSTED"):
-        hits(many, TextSearch("t", "prefix").prefix())
+        hits(many, TextSearch("t", "crate").prefix())
     with pytest.raises(EngineError, match="UNAVAILABLE"):
         hits(col(spark, ["東京"], "japanese_v1"), TextSearch("t", "東京"))
 
@@ -73,9 +76,9 @@ def test_fuzzy_prefix_budget_and_errors(spark):
 def test_stored_index_answers_alike(spark, tmp_path):
     from docquarry.operators.search import build_text_index
 
-    s = col(spark, ["The runner was running fast", "We run shipments by sea", "Shipping and ships", "fast running runners"], "english_v1")
+    s = col(spark, BAKERY, "english_v1")
     stored = build_text_index(s, "t", str(tmp_path / "index"))
-    for search in (TextSearch("t", "run"), TextSearch("t", "running fast").phrase(), TextSearch("t", "ship").prefix(), TextSearch("t", "runing").fuzzy(1)):
+    for search in (TextSearch("t", "bake"), TextSearch("t", "baking bread").phrase(), TextSearch("t", "oven").prefix(), TextSearch("t", "braed").fuzzy(1)):
         want = [(r.id, round(r.score, 9)) for r in ex.rows(s, QueryRequest("docs").search(search)).collect()]
         assert want and [(r.id, round(r.score, 9)) for r in ex.rows(stored, QueryRequest("docs").search(search)).collect()] == want
 

@@ -176,3 +176,122 @@ def test_dry_runs_limits_decoding_and_strict_audit(spark, tenant):
     t.activate([CollectionDefinition("secret", strict_read_audit=True)])
     t.query(QueryRequest("secret"))
     assert [e.detail for e in t.audit().where("action = 'read'").collect()] == ["secret"]
+
+
+def test_loads_keep_constraints(spark, tenant):
+    t = tenant
+    for rows, code in [
+        ([("a", '{"email":"x"}'), ("b", '{"email":"y"}'), ("b", '{"email":"z"}')], "CONFLICT"),
+        ([("a", '{"email":"x"}'), ("b", '{"email":"x"}')], "UNIQUE_VIOLATION"),
+        ([("a", '{"email":"x"}'), ("b", '{"age":4}')], "SCHEMA_VIOLATION"),
+        ([("a", '{"email":"x"}'), ("b", '["email"]')], "SCHEMA_VIOLATION"),
+        ([("a", '{"email":"x","bio":"' + "w" * 300 + '"}')], "SCHEMA_VIOLATION"),
+        ([("a", '{"email":"' + "w" * (1 << 20) + '"}')], "QUOTA_EXCEEDED"),
+        ([(None, '{"email":"x"}')], "INVALID_ARGUMENT"),
+    ]:
+        with pytest.raises(EngineError, match=code):
+            t.load("people", spark.createDataFrame(rows, "id string, body string").repartition(2))
+    assert ids(t) == [] and t.manifest()["revision"] == 1
+    t.load("people", spark.createDataFrame([("a", '{"email":"x"}'), ("b", '{"email":"y"}')], "id string, body string"))
+    assert ids(t) == ["a", "b"]
+
+
+def test_large_staged_transactions_fold_and_keep_constraints(tenant):
+    t = tenant
+    tx = t.begin()
+    for k in range(3):
+        t.append(tx, k, Batch().operations + [{"op": "put", "collection": "people", "id": f"{k}-{i}", "body": {"email": f"{k}-{i}@x", "age": i}, "expected": "absent"} for i in range(100)])
+    t.finalize(tx)
+    held = t.manifest()["collections"]["people"]
+    assert held["deltas"] == [] and len(held["base"]) == 1 and len(ids(t)) == 300
+    clash = t.begin()
+    for k in range(3):
+        t.append(clash, k, [{"op": "put", "collection": "people", "id": f"n{k}-{i}", "body": {"email": "1-7@x" if k == 2 and i == 50 else f"n{k}-{i}@x"}, "expected": "any"} for i in range(100)])
+    with pytest.raises(EngineError, match="UNIQUE_VIOLATION"):
+        t.finalize(clash)
+    swap = t.begin()
+    for k in range(3):
+        t.append(swap, k, [{"op": "patch", "collection": "people", "id": f"{k}-{i}", "patch": {"email": f"{(k + 1) % 3}-{i}@x"}, "expected": "any"} for i in range(100)])
+    t.finalize(swap)
+    assert t.documents("people", ["0-5"])["0-5"][1]["email"] == "1-5@x"
+
+
+def test_writes_keep_text_indexes(spark, tenant, monkeypatch):
+    from docquarry.operators import search
+    from docquarry.operators.search import build_text_index
+    from docquarry.plans.query import TextSearch
+    from docquarry.sources import store
+
+    monkeypatch.setattr(store, "MAX_DELTAS", 3)
+    monkeypatch.setattr(search, "scanned", None)  # nothing may read the texts again
+    t = tenant
+    t.load("people", spark.createDataFrame([(f"{i}", '{"email":"%d@x","bio":"%s"}' % (i, ["baked bread", "bakes cakes", "sells fish"][i % 3])) for i in range(9)], "id string, body string"))
+    find = lambda q, **kw: [r["id"] for r in t.query(QueryRequest("people").search(q)).rows]
+    assert sorted(find(TextSearch("bio", "bake"))) == ["0", "1", "3", "4", "6", "7"]
+    t.mutate(Batch("1").patch("people", "0", {"bio": "swims"}).delete("people", "1").put("people", "x", {"email": "x@x", "bio": "baking again, bake and bake"}))
+    assert sorted(find(TextSearch("bio", "bake"))) == ["3", "4", "6", "7", "x"] and find(TextSearch("bio", "swimming")) == ["0"]
+    t.mutate(Batch("2").patch("people", "x", {"bio": "rests"}))
+    assert sorted(find(TextSearch("bio", "bake"))) == ["3", "4", "6", "7"]
+    t.mutate(Batch("3").patch("people", "0", {"bio": None}))  # folds
+    assert t.manifest()["collections"]["people"]["deltas"] == [] and find(TextSearch("bio", "swim")) == []
+    assert sorted(find(TextSearch("bio", "bre").prefix())) == ["3", "6"] and sorted(find(TextSearch("bio", "caeks").fuzzy(1))) == ["4", "7"]
+    kept = t.collection("people")
+    fresh = build_text_index(kept, "bio", f"{t.files.root}/fresh")
+    ranked = lambda s: [(r.id, round(r.score, 9)) for r in store.ex.rows(s, QueryRequest("people").search(TextSearch("bio", "bake bread"))).collect()]
+    assert ranked(kept) == ranked(fresh) != []
+    t.max_candidates = 3
+    with pytest.raises(EngineError, match="RESOURCE_EXHAUSTED"):
+        t.query(QueryRequest("people").search(TextSearch("bio", "bake")))
+    with pytest.raises(EngineError, match="RESOURCE_EXHAUSTED"):
+        t.query(QueryRequest("people").filter(Filter().exists("/email")))
+    monkeypatch.setattr(search, "POSTINGS_A_CANDIDATE", 1)
+    with pytest.raises(EngineError, match="postings"):
+        t.query(QueryRequest("people").search(TextSearch("bio", "bake")))
+
+
+def test_leases_expire_and_audit_pages_are_bound(spark, tmp_path):
+    now = [1000]
+    t = Tenant(spark, f"file://{tmp_path}/tenant", clock=lambda: now[0])
+    t.activate([LOG])
+    t.load("log", spark.createDataFrame([("a", '{"n":1}')], "id string, body string"))
+    lease = t.lease(ttl_ms=50)
+    frame = t.lease_frame(lease, "log")
+    t.mutate(Batch("1").insert("log", "b", {"n": 2}))
+    assert [r.id for r in frame.collect()] == ["a"] and t.lease_read(lease, "log", "a")[0] == 2
+    now[0] = 1051
+    for _ in range(2):
+        with pytest.raises(EngineError, match="NOT_FOUND"):
+            t.lease_scan(lease, "log")
+    first, cursor = t.audit_page(limit=2)
+    rest, end = t.audit_page(cursor, limit=2)
+    assert [e["action"] for e in first + rest] == ["activate", "load", "mutate"] and t.audit_page(end)[0] == []
+    t.grant("eve", "*", ["audit"])
+    with pytest.raises(EngineError, match="INVALID"):
+        t.audit_page(cursor, principal="eve")
+
+
+def test_streams_read_a_file_at_a_time(spark, tenant, monkeypatch, request):
+    from docquarry.streaming import feed as stream
+
+    t = tenant
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled"))
+    t.load("log", spark.range(500).repartition(5).selectExpr("lpad(id, 5, '0') as id", "concat('{\"n\":', id, '}') as body"))
+    kept = stream._feed(t.files.root)
+    assert len(stream._parts(t.files.root, kept, 0, kept["next"] - 1)) > 1
+    register(spark)
+    got = spark.read.format("docquarry_feed").option("path", t.files.root).option("startingSequence", 100).load()
+    assert got.count() == 400 and dict(got.dtypes)["ordinal"] == "bigint"
+    assert feed.frame(t, ["log"], 450).count() == 50
+
+
+def test_group_bytes_are_bounded(spark, tenant, monkeypatch):
+    from docquarry.sources import store
+
+    t = tenant
+    t.load("log", spark.range(30).selectExpr("lpad(id, 5, '0') as id", "concat('{\"n\":', id, '}') as body"))
+    q = QueryRequest("log").group_by(["/n"]).aggregate("c", Aggregation.count())
+    assert len(t.query(q)) == 30
+    monkeypatch.setattr(store.ex, "MAX_GROUP_BYTES", 500)
+    with pytest.raises(EngineError, match="RESOURCE_EXHAUSTED"):
+        t.query(q)
