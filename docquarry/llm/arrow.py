@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 14
@@ -31,6 +32,18 @@ def small_batches(df: DataFrame) -> None:
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of so many rows for what is run within; for narrow rows only."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
@@ -74,7 +87,8 @@ def _summing(lane: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
 def counter_sum(df: DataFrame, size: int, count: Callable[[np.ndarray, pa.RecordBatch], None]) -> DataFrame:
     """Sum a counter array of fixed `size` over all rows of df.
 
-    count(counters, batch) adds a batch to one task's own array.  A task hands
+    count(counters, batch) adds a batch to one task's own array, at most 1 a
+    byte of the batch to one counter.  A task hands
     on only compressed blocks of it; they are added as a stream, in two steps,
     so no task ever holds more than its own blocks whatever the input.
     Returns (block int, data binary): compressed little-endian 64-bit counts.
@@ -89,8 +103,8 @@ def counter_sum(df: DataFrame, size: int, count: Callable[[np.ndarray, pa.Record
         lane = context.partitionId() % LANES if context else 0
         for batch in sliced(batches):
             count(counters, batch)
-            held += batch.num_rows
-            if held > 1_000_000:  # far below what a 32-bit counter holds
+            held += batch.nbytes
+            if held > 1 << 30:  # a 32-bit counter holds twice that
                 yield from _packed(counters, lane)
                 counters[:] = 0
                 held = 0

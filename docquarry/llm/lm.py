@@ -3,34 +3,35 @@
 Tokens are the words between spaces and ASCII white space, A-Z folded, then one
 end of text.  What is learned, over all training texts:
 
-1. Counts of all tokens (a table that grows with the corpus and stays
-   distributed).  The TOP most frequent words, each at least one token in
-   LEAST_SHARE, are handed to the executors; any other token is rare there.
-2. Counts of the pairs of adjacent symbols, a symbol being one of the CORE most
-   frequent words, one of RARE_KINDS kinds of other words (told by their
-   letters), or the end, which also stands before the first word.  Their number
-   is fixed by CORE.
-3. Classes of the core words by exchange: each word in turn moves to the class
-   in which the class bigram likelihood is greatest, until a sweep moves none
-   or SWEEPS are done.  Every rare kind, and the end, is a class of its own.
-4. Every other word that occurs LEAST_COUNT times joins the class in which its
-   own occurrences, between the classes before and behind them, are likeliest;
-   their counts are a distributed table by word.  Only rarer words stay with
-   their kind.
-5. Class bigrams anew, over all texts with the classes of all words.  Classes of
-   words that are not at hand in the executors come by a join (`_coded`).
+1. Counts of all tokens, a distributed table.  The TOP most frequent words, each
+   at least one token in LEAST_SHARE, are handed to the executors; every other
+   word is rare: none of them makes up more than one token in TOP.
+2. The texts as codes, two bytes a token: the place of a frequent word, or the
+   spelling kind of a rare one, beside the rare words themselves.  All that
+   follows reads these instead of cutting the texts again.
+3. Pair counts of the symbols: the CORE most frequent words, RARE_KINDS kinds of
+   other words, and the end, which also stands before the first word.
+4. Classes of the core by exchange: each word in turn moves to the class in
+   which the class bigram likelihood is greatest, until a sweep moves none
+   (SWEEPS at most).  Each kind, and the end, is a class of its own.
+5. Every other word that occurs LEAST_COUNT times joins the class in which its
+   own occurrences, between the classes before and behind them, are likeliest:
+   the frequent ones from counters of a fixed size, the rare ones each from its
+   own occurrences, dealt out by word and summed as a stream.  No word is left
+   out for want of room; only words that occur less often stay with their kind.
+6. Class bigrams over all texts with the classes of all words.
 
 A token's probability is
   LAMBDA T(class | class before) E(word | class) + (1 - LAMBDA) U(word),
 U the add-half unigram probability, E the share of the word among its class by
 add-half counts, T the class bigram with add-one-half-times-class-share
-smoothing.  A text becomes one class a token and the sum of log10(count + 1/2);
-the tokens that are not among the TOP meet the table of words in one join, on
-words of which none is frequent.
+smoothing.
 
-Defined cases: null text is empty (one token, the end); without training texts
-every count is 0; repeated rows count as often as they stand; nothing here
-depends on other columns.
+Defined cases: null text is empty (one token, the end); an empty table gives no
+rows; without training texts every count is 0; repeated rows count as often as
+they stand; equal counts go by the word, equal likelihoods to the class of the
+lower number; a very long text is one row of codes, two bytes a token; columns
+whose names are those of results are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -42,16 +43,17 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import counter_sum, gathered, sliced, small_batches
+from .arrow import batch_rows, counter_sum, gathered, sliced, small_batches
 from .storage import written
 from .text import FOLD, encoded
 
 CORE = 2032
 CLASSES = 64
-SWEEPS = 4
+SWEEPS = 100
 LAMBDA = 0.75
 TOP = 50_000
 #: A frequent word makes up at least one in so many tokens; so there are never more than that many to choose from.
@@ -59,15 +61,22 @@ LEAST_SHARE = 1 << 20
 RARE_KINDS = 8
 #: Words outside the core that occur so often get a class.
 LEAST_COUNT = 3
-#: Added to the code of a token whose class a join decides; no class is as large.
+#: Above every class.
 OPEN = 128
+#: A rare word that the training texts do not have; its class is that of its kind.
+NONE = 255
+#: All classes: those of the exchange, the kinds and the end.
+ALL = CLASSES + RARE_KINDS + 1
+END_CLASS = ALL - 1
 SYMBOLS = 1 << 11  # core words, rare kinds and the end: at most
 PAIRS = SYMBOLS * SYMBOLS
+#: The code of a rare word is this plus its kind; frequent words have lower codes.
+RARE = (1 << 16) - RARE_KINDS
 END = b"\n"  # no word is one
 #: Distinct words that one task counts before it hands them on.
 HELD_WORDS = 400_000
-#: Distinct words with classes around them that one task counts before it hands them on.
-HELD_CONTEXTS = 200_000
+#: Texts, or their codes, that a kernel sees at once.
+TEXTS = 64
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -92,16 +101,16 @@ def word_counts(docs: DataFrame, text: str) -> DataFrame:
 
         def out() -> Iterator[pa.RecordBatch]:
             words, counts = list(held), list(held.values())
+            held.clear()
             for at in range(0, len(words), 50_000):
                 yield pa.RecordBatch.from_pydict({"word": pa.array(words[at : at + 50_000], pa.string()), "c": pa.array(counts[at : at + 50_000], pa.int64())})
-            held.clear()
 
-        for batch in sliced(batches, 64):
+        for batch in sliced(batches, TEXTS):
             for t in batch.column("text").to_pylist():
                 held.update(tokens(t))
+                if len(held) > HELD_WORDS:
+                    yield from out()
             held[END] += batch.num_rows
-            if len(held) > HELD_WORDS:
-                yield from out()
         yield from out()
 
     small_batches(docs)
@@ -171,255 +180,283 @@ def exchange(pairs: np.ndarray, fixed: np.ndarray, classes: int, sweeps: int) ->
 
 @dataclass
 class Model:
+    """What scoring needs beside the table of rare words; its size is fixed."""
+
     total: int  # N
     distinct: int  # V
-    count: np.ndarray  # of the TOP words, by their place
-    place: dict[bytes, int]
+    place: dict[bytes, int]  # of the frequent words and the end, which is last
+    count: np.ndarray  # by place
+    classes: np.ndarray  # by place
+    core: int  # places below this are clustered by exchange
+    size: np.ndarray  # of a class: sum of (count + 1/2), the unseen word of a kind included
     transition: np.ndarray  # T over classes
-    label: np.ndarray  # class of a symbol
-    size: np.ndarray  # of a class: sum of (count + 1/2), the unseen word of a rare kind included
-    core: int
-    classes: np.ndarray  # of the TOP words and the end, by their place
-
-    def code(self, text: str | None) -> tuple[int, int, float, bytes, list[bytes]]:
-        """n_tokens, known frequent tokens, their sum of log10(c + 1/2), a class for each token, and the rare tokens.
-
-        A rare token's class is that of its kind, plus OPEN.
-        """
-        words = [*tokens(text), END]
-        at = [*map(self.place.get, words)]
-        rare = [w for w, a in zip(words, at, strict=True) if a is None]
-        place = np.array([self._spare if a is None else a for a in at])
-        plus = self.count[place]
-        codes = self.classes[np.minimum(place, len(self.classes) - 1)].astype(np.uint8)
-        codes[place == self._spare] = [OPEN + CLASSES + kind(w) for w in rare]
-        return len(words), int((plus > 1.2).sum()), float(np.log10(plus).sum()), codes.tobytes(), rare
 
     @property
     def whole(self) -> float:
         return self.total + 0.5 * (self.distinct + 1)
 
-    def score(self, codes: bytes) -> float:
-        """Sum of log10 probabilities less log10(c + 1/2); the last token is the end, which also stands before the first."""
-        classes = np.frombuffer(codes, np.uint8).astype(np.int64)
-        previous = np.concatenate([classes[-1:], classes[:-1]])
-        each = LAMBDA * self.transition[previous, classes] / self.size[classes] + (1 - LAMBDA) / self.whole
-        return float(np.log10(each).sum())
+    def log_classes(self, classes: np.ndarray) -> np.ndarray:
+        """For each token of some texts, one behind the other, log10 of its probability less log10(c + 1/2)."""
+        previous = np.concatenate([[END_CLASS], classes[:-1]])  # each text ends with the end, which stands before the next
+        return np.log10(LAMBDA * self.transition[previous, classes] / self.size[classes] + (1 - LAMBDA) / self.whole)
 
-    def __post_init__(self):
-        self._spare = len(self.count)
-        self.count = np.concatenate([self.count + 0.5, [1.0]])  # log10 of a rare token's own count is added later
 
+def _together(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of some texts one behind the other, and where each text starts."""
+    data = column.to_pylist()
+    width = np.dtype(kind).itemsize
+    ends = np.cumsum([len(d) // width for d in data])
+    return np.frombuffer(b"".join(data), kind), np.concatenate([[0], ends[:-1]]).astype(np.int64)
 
-def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
-    """The model and the table of all words (word, c, cls)."""
-    model, words = _learned(docs, text)
-    return _with_transitions(model, _coded(docs, model, words, text, [])), words
 
+def _opened(docs: DataFrame, place: dict[bytes, int], text: str, names: list[str]) -> DataFrame:
+    """(doc, row, codes, rare): columns `names` as a struct, a code for each token, the rare words in order."""
+    from pyspark.sql.types import StructType, _parse_datatype_string
 
-def _learned(docs: DataFrame, text: str) -> tuple[Model, DataFrame]:
-    """The model with the transitions of the core and the kinds only, and the table of all words.
+    shared = docs.sparkSession.sparkContext.broadcast(place)
+    doc = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
+    given = docs.select(doc.alias("doc"), F.monotonically_increasing_id().alias("row"), F.col(f"`{text}`").alias("text"))
+    schema = StructType([*given.schema.fields[:2], *_parse_datatype_string("struct<codes binary, rare array<string>>").fields])
 
-    cls is the class of the words outside the core that occur LEAST_COUNT times, else null.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in sliced(batches, TEXTS):
+            codes, rare = [], []
+            for t in batch.column("text").to_pylist():
+                words = tokens(t)
+                at = [known.get(w) for w in words]
+                own = [w for w, a in zip(words, at, strict=True) if a is None]
+                row = np.array([RARE if a is None else a for a in at] + [known[END]], "<u2")
+                row[row == RARE] += np.array([kind(w) for w in own], "<u2")
+                codes.append(row.tobytes())
+                rare.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("row"), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))], names=[f.name for f in schema])
+
+    small_batches(docs)
+    return written(given.mapInArrow(run, schema), "opened")
+
+
+def train(docs: DataFrame, text: str = "text") -> tuple[Model, DataFrame]:
+    """The model and the table of the rare words (word, c, cls); cls is a class of the exchange, or that of the word's kind."""
+    counted = _counted(docs, text)
+    opened = _opened(docs, counted.place, text, [])
+    model, words = _learned(opened, counted)
+    return _with_transitions(model, _coded(opened, model, words)), words
+
+
+def _counted(docs: DataFrame, text: str) -> Model:
+    """N, V and the frequent words."""
     counts = written(word_counts(docs, text), "words")
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).first()
     is_end = F.col("word") == END.decode()
     frequent = F.col("c") * LEAST_SHARE >= int(totals["n"] or 0)
     top = counts.where(~is_end & frequent).orderBy(F.desc("c"), "word").limit(TOP).collect()
-    place = {r["word"].encode(): i for i, r in enumerate(top)}
     ends = counts.where(is_end).first()
+    place = {r["word"].encode(): i for i, r in enumerate(top)}
     place[END] = len(top)
-    core = min(CORE, len(top))
-    end = core + RARE_KINDS
-    shared = docs.sparkSession.sparkContext.broadcast({w: i for w, i in place.items() if i < core})
-
-    def count(counters: np.ndarray, batch: pa.RecordBatch) -> None:
-        known = shared.value
-        for t in batch.column("text").to_pylist():
-            words = tokens(t)
-            row = np.array([end, *[known[w] if w in known else core + kind(w) for w in words], end], np.int64)
-            pair, n = np.unique(row[:-1] * SYMBOLS + row[1:], return_counts=True)
-            counters[pair] += n
-
-    sums = counter_sum(docs.select(F.col(f"`{text}`").alias("text")), PAIRS, count)
-    pairs = gathered(sums, PAIRS).reshape(SYMBOLS, SYMBOLS)[: end + 1, : end + 1].astype(np.float64)
+    c = np.array([*[r["c"] for r in top], ends["c"] if ends else 0], np.int64)
+    kinds = np.array([*[CLASSES + kind(r["word"].encode()) for r in top], END_CLASS])
+    return Model(int(totals["n"] or 0), int(totals["v"] or 0), place, c, kinds, min(CORE, len(top)), np.zeros(ALL), np.zeros((ALL, ALL)))
+
+
+def _learned(opened: DataFrame, counted: Model) -> tuple[Model, DataFrame]:
+    """The model with the classes of all words, and the table of the rare words."""
+    core, top, end = counted.core, len(counted.count) - 1, counted.core + RARE_KINDS
+    kinds = counted.classes
+    symbol = np.zeros(1 << 16, np.int64)
+    symbol[: top + 1] = [*range(core), *(core + kinds[core:top] - CLASSES), end]
+    symbol[RARE:] = core + np.arange(RARE_KINDS)
+
+    def pair(counters: np.ndarray, batch: pa.RecordBatch) -> None:
+        for part in sliced([batch], TEXTS):
+            codes, _ = _together(part.column("codes"), "<u2")
+            row = np.concatenate([[end], symbol[codes]])
+            np.add.at(counters, row[:-1] * SYMBOLS + row[1:], 1)
+
+    pairs = gathered(counter_sum(opened.select("codes"), PAIRS, pair), PAIRS).reshape(SYMBOLS, SYMBOLS)[: end + 1, : end + 1].astype(np.float64)
     fixed = np.full(end + 1, -1)
     fixed[core:] = CLASSES + np.arange(RARE_KINDS + 1)
     label = exchange(pairs, fixed, CLASSES, SWEEPS)
-    hot = np.zeros((end + 1, CLASSES + RARE_KINDS + 1))
+    hot = np.zeros((end + 1, ALL))
     hot[np.arange(end + 1), label] = 1
     table = hot.T @ pairs @ hot
-    c = np.array([*[r["c"] for r in top], ends["c"] if ends else 0], np.float64)
-    size = np.zeros(len(table))
+    c = counted.count.astype(np.float64)
+    size = np.zeros(ALL)
     np.add.at(size, label[:core], c[:core] + 0.5)
     clustered = size[:CLASSES].copy()
-    contexts = _contexts(docs, text, {r["word"].encode(): int(label[i]) for i, r in enumerate(top[:core])})
-    assigned = written(_assigned(contexts, _smoothed(table, np.maximum(clustered, 0.5).tolist() + [1.0] * (RARE_KINDS + 1)), clustered), "assigned")
-    for r in assigned.groupBy("cls").agg(F.sum(F.col("n") + 0.5).alias("mass")).collect():
+    smooth = _smoothed(table, np.maximum(clustered, 0.5).tolist() + [1.0] * (RARE_KINDS + 1))
+    classes = np.concatenate([label[:core], kinds[core:]])
+
+    # the frequent words outside the core, from counters of what stands on either side of each
+    around = np.zeros(1 << 16, np.int64)
+    around[: top + 1] = classes
+    around[RARE:] = CLASSES + np.arange(RARE_KINDS)
+    middle = top - core
+
+    def sides(counters: np.ndarray, batch: pa.RecordBatch) -> None:
+        for part in sliced([batch], TEXTS):
+            codes, _ = _together(part.column("codes"), "<u2")
+            own = np.flatnonzero((codes >= core) & (codes < top))
+            cls = np.concatenate([[END_CLASS], around[codes]])
+            at = (codes[own].astype(np.int64) - core) * 2 * ALL
+            np.add.at(counters, at + cls[own], 1)
+            np.add.at(counters, at + ALL + cls[own + 2], 1)
+
+    if middle:
+        found = gathered(counter_sum(opened.select("codes"), middle * 2 * ALL, sides), middle * 2 * ALL).reshape(middle, 2, ALL)
+        n = c[core:top]
+        likely = found[:, 0] @ _before(smooth) + found[:, 1] @ _behind(smooth)
+        classes[core:top] = np.where(n >= LEAST_COUNT, _likeliest(likely, n, clustered), kinds[core:top])
+        around[core:top] = classes[core:top]
+        np.add.at(size, classes[core:top], n + 0.5)
+    with batch_rows(opened.sparkSession, 10_000):
+        words = written(_assigned(opened, around, smooth, clustered), "rare")
+    for r in words.groupBy("cls").agg(F.sum(F.col("c") + 0.5).alias("mass")).collect():
         size[r["cls"]] += r["mass"]
-    words = written(counts.join(assigned.select("word", "cls"), "word", "left"), "classed")
-    others = {r["kind"]: r["mass"] for r in _kind_masses(words.where(~is_end & F.col("cls").isNull())).collect()}
-    for r in top[:core]:
-        others[kind(r["word"].encode())] -= r["c"] + 0.5
-    for k in range(RARE_KINDS):
-        size[CLASSES + k] = max(0.0, others.get(k, 0.0)) + 0.5
-    size[CLASSES + RARE_KINDS] = c[-1] + 0.5
-    known = {r["word"]: r["cls"] for r in assigned.where(F.col("n") * LEAST_SHARE >= int(totals["n"] or 0)).orderBy(F.desc("n"), "word").limit(TOP).collect()}
-    classes = [int(label[i]) if i < core else known.get(r["word"], CLASSES + kind(r["word"].encode())) for i, r in enumerate(top)]
-    model = Model(int(totals["n"] or 0), int(totals["v"] or 0), c, place, table, label, size, core, np.array([*classes, CLASSES + RARE_KINDS], np.uint8))
-    return model, words
+    size[CLASSES:END_CLASS] += 0.5
+    size[END_CLASS] = c[-1] + 0.5
+    return Model(counted.total, counted.distinct, counted.place, counted.count, classes, core, np.maximum(size, 0.5), smooth), words
 
 
-def _smoothed(table: np.ndarray, size) -> np.ndarray:
-    """T from class bigram counts; a class without words gets no probability."""
-    size = np.asarray(size)
-    share = np.where(size > 0, table.sum(axis=0) + 0.5, 0)
-    share /= share.sum()
-    strength = 0.5 * np.count_nonzero(size)
-    return (table + strength * share) / (table.sum(axis=1, keepdims=True) + strength)
+def _before(transition: np.ndarray) -> np.ndarray:
+    """For the class before a word, the log likelihood of each class of the word."""
+    return np.log(transition)[:, :CLASSES]
 
 
-def _with_transitions(model: Model, coded: DataFrame) -> Model:
-    """The model with the class bigrams of the texts of _coded()."""
-
-    def count(counters: np.ndarray, batch: pa.RecordBatch) -> None:
-        for codes in batch.column("codes").to_pylist():
-            classes = np.frombuffer(codes, np.uint8).astype(np.int64)
-            previous = np.concatenate([classes[-1:], classes[:-1]])
-            pair, n = np.unique(previous * OPEN + classes, return_counts=True)
-            counters[pair] += n
+def _behind(transition: np.ndarray) -> np.ndarray:
+    return np.log(transition)[:CLASSES].T
 
-    n = len(model.size)
-    table = gathered(counter_sum(coded.select("codes"), OPEN * OPEN, count), OPEN * OPEN).reshape(OPEN, OPEN)[:n, :n].astype(np.float64)
-    made = replace(model, transition=_smoothed(table, model.size), size=np.maximum(model.size, 0.5), count=model.count[:-1] - 0.5)
-    return made
 
+def _likeliest(likely: np.ndarray, n: np.ndarray, clustered: np.ndarray) -> np.ndarray:
+    """The class of each word: its n occurrences share the class with what is in it."""
+    n = np.asarray(n, np.float64)[:, None]
+    return (likely - n * np.log(clustered + n + 0.5)).argmax(axis=1)
 
-def _contexts(docs: DataFrame, text: str, core: dict[bytes, int]) -> DataFrame:
-    """(word, around, n): how often a word outside the core stands between two classes (before * OPEN + behind)."""
-    shared = docs.sparkSession.sparkContext.broadcast(core)
-    end = CLASSES + RARE_KINDS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        held: Counter[tuple[bytes, int]] = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            keys, counts = list(held), list(held.values())
-            for at in range(0, len(keys), 50_000):
-                words, around = zip(*keys[at : at + 50_000], strict=True)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(words, pa.string()), "around": pa.array(around, pa.int32()), "n": pa.array(counts[at : at + 50_000], pa.int64())})
-            held.clear()
-
-        for batch in sliced(batches, 64):
-            for t in batch.column("text").to_pylist():
-                words = tokens(t)
-                given = [known.get(w) for w in words]
-                classes = np.array([end, *[CLASSES + kind(w) if c is None else c for w, c in zip(words, given, strict=True)], end])
-                around = (classes[:-2] * OPEN + classes[2:]).tolist()
-                held.update((w, r) for w, c, r in zip(words, given, around, strict=True) if c is None)
-            if len(held) > HELD_CONTEXTS:
-                yield from out()
-        yield from out()
+def _smoothed(table: np.ndarray, size) -> np.ndarray:
+    """T from class bigram counts; a class without words gets no share of what is smoothed."""
+    size = np.asarray(size)
+    share = np.where(size > 0, table.sum(axis=0) + 0.5, 0)
+    share /= share.sum()
+    strength = 0.5 * np.count_nonzero(size)
+    return (table + strength * share) / (table.sum(axis=1, keepdims=True) + strength)
 
-    small_batches(docs)
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, around int, n bigint").groupBy("word", "around").agg(F.sum("n").alias("n"))
 
+def _assigned(opened: DataFrame, around: np.ndarray, transition: np.ndarray, clustered: np.ndarray) -> DataFrame:
+    """(word, c, cls) of the rare words.
 
-def _assigned(contexts: DataFrame, transition: np.ndarray, size: np.ndarray) -> DataFrame:
-    """(word, n, cls): the class in which the occurrences of a word are likeliest, for words that occur LEAST_COUNT times."""
-    log_t, total = np.log(transition), len(transition)
-    by_word = contexts.groupBy("word").agg(F.sum("n").alias("n"), F.collect_list(F.struct("around", "n")).alias("each"))
-    by_word = by_word.where(F.col("n") >= LEAST_COUNT).select("word", "n", F.col("each.around").alias("around"), F.col("each.n").alias("times"))
+    Each occurrence goes to its word's task with the classes on both sides;
+    there the occurrences of a word, sorted, are summed as they come.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches):
-            around = batch.column("around")
-            row = np.repeat(np.arange(batch.num_rows), np.array(around.value_lengths().to_pylist(), np.int64))
-            at, times = around.flatten().to_numpy().astype(np.int64), batch.column("times").flatten().to_numpy()
-            before, behind = np.zeros((batch.num_rows, total)), np.zeros((batch.num_rows, total))
-            np.add.at(before, (row, at // OPEN), times)
-            np.add.at(behind, (row, at % OPEN), times)
-            n = batch.column("n").to_numpy()[:, None]
-            likely = before @ log_t[:, :CLASSES] + behind @ log_t[:CLASSES].T - n * np.log(size + n + 0.5)
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(likely.argmax(axis=1), pa.int32())], names=["word", "n", "cls"])
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, TEXTS):
+            codes, _ = _together(batch.column("codes"), "<u2")
+            own = np.flatnonzero(codes >= RARE)
+            cls = np.concatenate([[END_CLASS], around[codes]])
+            yield pa.RecordBatch.from_arrays([batch.column("rare").flatten(), pa.array((cls[own] * OPEN + cls[own + 2]).astype(np.int32))], names=["word", "around"])
 
-    return by_word.mapInArrow(run, "word string, n bigint, cls int")
+    before, behind = _before(transition), _behind(transition)
 
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, n, likely = None, 0, np.zeros(CLASSES)  # of the last word so far
 
-def _kind_masses(counts: DataFrame) -> DataFrame:
-    """For each kind the sum of (c + 1/2) over the words of it."""
+        def made(words: list[str], n: np.ndarray, likely: np.ndarray) -> pa.RecordBatch:
+            kinds = np.array([CLASSES + kind(w.encode()) for w in words], np.int64)
+            cls = np.where(n >= LEAST_COUNT, _likeliest(likely, n, clustered), kinds)
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64()), pa.array(cls, pa.int32())], names=["word", "c", "cls"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mass = [0.0] * RARE_KINDS
         for batch in batches:
-            for word, c in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist(), strict=True):
-                mass[kind(word.encode())] += c + 0.5
-        yield pa.RecordBatch.from_pydict({"kind": pa.array(range(RARE_KINDS), pa.int32()), "mass": pa.array(mass, pa.float64())})
-
-    return counts.mapInArrow(run, "kind int, mass double").groupBy("kind").agg(F.sum("mass").alias("mass"))
-
-
-def _coded(docs: DataFrame, model: Model, words: DataFrame, text: str, names: list[str]) -> DataFrame:
-    """(doc, n, known, logs, codes): columns `names` as a struct, tokens, known tokens, sum of log10(c + 1/2), class of each token."""
+            if not batch.num_rows:
+                continue
+            words, at = batch.column("word"), batch.column("around").to_numpy()
+            turn = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(turn) + 1])
+            sums = np.add.reduceat(before[at // OPEN] + behind[at % OPEN], starts)
+            counts = np.diff(np.append(starts, len(words)))
+            own = words.take(pa.array(starts)).to_pylist()
+            if own[0] == word:
+                sums[0] += likely
+                counts[0] += n
+            elif word is not None:
+                yield made([word], np.array([n]), likely[None])
+            if len(own) > 1:
+                yield made(own[:-1], counts[:-1], sums[:-1])
+            word, n, likely = own[-1], counts[-1], sums[-1].copy()
+        if word is not None:
+            yield made([word], np.array([n]), likely[None])
+
+    met = opened.select("codes", "rare").mapInArrow(occurrences, "word string, around int")
+    return met.repartition("word").sortWithinPartitions("word").mapInArrow(summed, "word string, c bigint, cls int")
+
+
+def _coded(opened: DataFrame, model: Model, words: DataFrame) -> DataFrame:
+    """(doc, n, known, logs, codes): tokens, known tokens, sum of log10(c + 1/2), the class of each token as a byte."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    doc = F.struct(*[F.col(f"`{c}`") for c in names]) if names else F.struct(F.lit(0).alias("none"))
-    held = docs.select(doc.alias("doc"), F.col(f"`{text}`").alias("text"), F.monotonically_increasing_id().alias("row"))
-    kept = held.schema["doc"]
-    first = StructType([kept, *_parse_datatype_string("struct<row bigint, n bigint, known bigint, logs double, codes binary, rare array<string>>").fields])
-    last = StructType([kept, *_parse_datatype_string("struct<n bigint, known bigint, logs double, codes binary>").fields])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for batch in sliced(batches, 128):
-            n, known, logs, codes, rare = zip(*map(m.code, batch.column("text").to_pylist()), strict=True) if batch.num_rows else ([], [], [], [], [])
-            arrays = [batch.column("doc"), batch.column("row"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(codes, pa.binary()), pa.array(rare, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in first])
+    shared = opened.sparkSession.sparkContext.broadcast((model.count, model.classes))
+    schema = StructType([opened.schema["doc"], *_parse_datatype_string("struct<n bigint, known bigint, logs double, codes binary>").fields])
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, 128):
-            made = []
-            for codes, found in zip(batch.column("codes").to_pylist(), batch.column("found").to_pylist(), strict=True):
-                own = np.frombuffer(codes, np.uint8).copy()
-                at = np.flatnonzero(own >= OPEN)
-                if len(at):
-                    cls = np.array(found, np.int64)
-                    own[at] = np.where(cls < 0, own[at] - OPEN, cls)
-                made.append(own.tobytes())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "n", "known", "logs")), pa.array(made, pa.binary())], names=[f.name for f in last])
-
-    opened = written(held.mapInArrow(run, first), "opened")
+        count, own = shared.value
+        cls = np.zeros(1 << 16, np.uint8)
+        cls[: len(own)] = own
+        cls[RARE:] = CLASSES + np.arange(RARE_KINDS)
+        logs = np.zeros(1 << 16)
+        logs[: len(count)] = np.log10(count + 0.5)
+        known = np.zeros(1 << 16, np.int64)
+        known[: len(count)] = count > 0
+        for batch in sliced(batches, TEXTS):
+            codes, starts = _together(batch.column("codes"), "<u2")
+            classes = cls[codes]
+            rare = np.flatnonzero(codes >= RARE)
+            found = batch.column("found").flatten().to_numpy() % 256
+            classes[rare] = np.where(found == NONE, classes[rare], found)
+            out = [classes[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(codes)], strict=True)]
+            n = np.diff(np.append(starts, len(codes)))
+            arrays = [pa.array(n, pa.int64()), pa.array(np.add.reduceat(known[codes], starts) + batch.column("seen").to_numpy()), pa.array(np.add.reduceat(logs[codes], starts) + batch.column("more").to_numpy()), pa.array(out, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *arrays], names=[f.name for f in schema])
+
     rare = opened.select("row", F.posexplode("rare").alias("pos", "word"))
     c = F.coalesce(F.col("c"), F.lit(0))
-    found = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("cls", F.lit(-1)).alias("cls"))))
-    own = rare.join(words, "word", "left").groupBy("row").agg(
-        F.sum(F.log10(c + 0.5)).alias("more"), F.sum((c > 0).cast("long")).alias("seen"), found["cls"].alias("found")
-    )
-    met = opened.drop("rare").join(own, "row", "left")
-    met = met.select("doc", "n", (F.col("known") + F.coalesce("seen", F.lit(0))).alias("known"), (F.col("logs") + F.coalesce("more", F.lit(0.0))).alias("logs"), "codes", "found")
-    return written(met.mapInArrow(close, last), "coded")
+    place = F.col("pos").cast("long") * 256 + F.coalesce(F.col("cls"), F.lit(NONE))
+    own = rare.join(words, "word", "left").groupBy("row").agg(F.sum(F.log10(c + 0.5)).alias("more"), F.sum((c > 0).cast("long")).alias("seen"), F.sort_array(F.collect_list(place)).alias("found"))
+    met = opened.select("doc", "row", "codes").join(own, "row", "left").select("doc", "codes", F.coalesce("more", F.lit(0.0)).alias("more"), F.coalesce("seen", F.lit(0)).alias("seen"), F.coalesce("found", F.expr("cast(array() as array<bigint>)")).alias("found"))
+    return written(met.mapInArrow(close, schema), "coded")
+
+
+def _with_transitions(model: Model, coded: DataFrame) -> Model:
+    """The model with the class bigrams of the texts of _coded()."""
+
+    def count(counters: np.ndarray, batch: pa.RecordBatch) -> None:
+        for part in sliced([batch], TEXTS):
+            classes, _ = _together(part.column("codes"), "u1")
+            row = np.concatenate([[END_CLASS], classes]).astype(np.int64)
+            np.add.at(counters, row[:-1] * OPEN + row[1:], 1)
+
+    table = gathered(counter_sum(coded.select("codes"), OPEN * OPEN, count), OPEN * OPEN).reshape(OPEN, OPEN)[:ALL, :ALL].astype(np.float64)
+    return replace(model, transition=_smoothed(table, model.size))
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Model, words: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns `keep`) with n_tokens, n_known, train_tokens, base_score and score."""
     names = [c for c in keep or docs.columns if c.lower() not in ("n_tokens", "n_known", "train_tokens", "base_score", "score")]
-    return _scored(_coded(docs, model, counts, text, names), model)
+    return _scored(_coded(_opened(docs, model.place, text, names), model, words), model)
 
 
 def _scored(coded: DataFrame, model: Model) -> DataFrame:
     """What score() returns, of the texts of _coded()."""
     from pyspark.sql.types import StructType, _parse_datatype_string
 
-    shared = coded.sparkSession.sparkContext.broadcast(model)
+    light = replace(model, place={}, count=np.zeros(0), classes=np.zeros(0))
+    shared = coded.sparkSession.sparkContext.broadcast(light)
     out = StructType([*coded.drop("codes").schema.fields, *_parse_datatype_string("struct<classes double>").fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for batch in sliced(batches, 128):
-            made = pa.array([m.score(c) for c in batch.column("codes").to_pylist()], pa.float64())
+        for batch in sliced(batches, TEXTS):
+            classes, starts = _together(batch.column("codes"), "u1")
+            made = pa.array(np.add.reduceat(m.log_classes(classes.astype(np.int64)), starts))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc", "n", "known", "logs")), made], names=[f.name for f in out])
 
     return coded.mapInArrow(run, out).select(
@@ -444,6 +481,8 @@ def held_out(doc_id: str = "doc_id"):
 
 def digests(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text").withColumn("held_out", held_out())
-    model, words = _learned(docs.where("not held_out"), "text")
-    coded = _coded(docs, model, words, "text", ["doc_id", "held_out"])
+    counted = _counted(docs.where("not held_out"), "text")
+    opened = _opened(docs, counted.place, "text", ["doc_id", "held_out"])
+    model, words = _learned(opened.where("not doc.held_out"), counted)
+    coded = _coded(opened, model, words)
     return _scored(coded, _with_transitions(model, coded.where("not doc.held_out")))
