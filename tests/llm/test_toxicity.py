@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 
 from docquarry.llm import toxicity as tx
@@ -46,3 +49,44 @@ def test_labels_of_other_documents_take_no_place_in_the_sample(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
     rows = tx.training_rows(docs, labels, 8, "toxic", "doc_id", "text").groupBy("y").count().collect()
     assert {r["y"]: r["count"] for r in rows} == {0: 8, 1: 8}
+
+
+def plain_fit(texts, y, n_features, l2=tx.L2):
+    """Ratios, choice and weights by loops and Newton's method."""
+    has = [set(tx.features(t).tolist()) for t in texts]
+    pos, neg = sum(y), len(y) - sum(y)
+    table = {}
+    for f in set().union(*has):
+        p = sum(f in h for h, v in zip(has, y) if v)
+        q = sum(f in h for h, v in zip(has, y) if not v)
+        r = math.log((p + 1) / (pos + 2)) - math.log((q + 1) / (neg + 2))
+        table[f] = abs(p / pos - q / neg) * abs(r), r
+    best = sorted(sorted((f for f in table if table[f][0] > 0), key=lambda f: (-table[f][0], f))[:n_features])
+    x = np.array([[table[f][1] * (f in h) for f in best] + [1.0] for h in has])
+    share = np.array([0.5 / pos if v else 0.5 / neg for v in y])
+    pull = np.array([l2] * len(best) + [0.0])
+    w = np.zeros(len(best) + 1)
+    for _ in range(60):
+        s = 1 / (1 + np.exp(-x @ w))
+        step = np.linalg.solve((x.T * (share * s * (1 - s))) @ x + np.diag(pull), x.T @ (share * (s - y)) + pull * w)
+        w -= step * min(1, 3 / np.linalg.norm(step))
+    return best, w, x
+
+
+def test_ratios_choice_and_weights_against_plain_loops(spark):
+    rng = random.Random(3)
+    bad, good = ["idiot", "vile", "rotten", "hate"], ["kind", "river", "bread", "lamp"]
+    rows = [(i, " ".join(rng.choice(bad if rng.random() < (0.5 if i % 3 == 0 else 0.1) else good) for _ in range(rng.randrange(1, 7)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    model = tx.fit(docs, labels, n_features=25)
+    best, w, x = plain_fit([t for _, t in rows], [int(i % 3 == 0) for i, _ in rows], 25)
+    assert np.flatnonzero(model.slot >= 0).tolist() == best
+    want = 1 / (1 + np.exp(-x @ w))
+    assert np.allclose(model.scores([t for _, t in rows]), want, atol=2e-3)
+
+
+def test_very_long_text(spark):
+    docs = spark.createDataFrame([(i, ("you idiot " if i % 2 else "kind word ") * (20_000 if i > 37 else 2)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(36)], "doc_id long, toxic int")
+    assert all(r.predicted == r.doc_id % 2 for r in tx.folds_scored(docs, labels).collect())
