@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before
 kept; between stages the rows are written to the shared folder and read again.
 All but the last return the columns of documents.
+
+Defined cases, in every stage: an empty table gives an empty table; a null text
+is kept as it is (no two null texts are duplicates; its digests are those of the
+empty text); an empty text is kept once; rows are told apart by their place, so
+null or repeated ids do no harm; a very long text is worked on whole; columns
+beyond those of documents, whatever their names, pass through all stages but the
+last, whose own columns replace them.
 """
 
 from __future__ import annotations
