@@ -21,7 +21,7 @@ from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -43,6 +43,7 @@ MAX_DOCUMENT_BYTES, MAX_BATCH_BYTES = 1 << 20, 8 << 20
 MAX_KEYS, MAX_QUERIES = 256, 16
 MAX_CANDIDATES = 100_000
 LEASE_MS = 300_000
+ARCHIVE_DOCUMENTS, ARCHIVE_BYTES = 100_000, 4096 * (8 << 20)
 FEED_EVENTS, FEED_BYTES, FEED_SCAN = 100_000, 128 << 20, 1000
 RIGHTS = ("read", "write", "admin", "audit")
 FEED = "sequence long, revision long, ordinal long, commit_event_count long, collection string, id string, version long, document string"
@@ -50,6 +51,11 @@ RECEIPTS = "principal string, key string, digest string, revision long, outcome
 AUDIT = "ordinal long, revision long, at_ms long, principal string, action string, detail string"
 
 
+def digest() -> Column:
+    """Of an archived document."""
+    return F.xxhash64("id", "version", "body")
+
+
 class Files:
     """The file system behind a root path, by Spark's own connectors."""
 
@@ -146,6 +152,7 @@ class Tenant:
         self.clock = clock or (lambda: int(time.time() * 1000))
         self.feed_events, self.feed_bytes = feed_events, feed_bytes
         self.max_candidates: int | None = MAX_CANDIDATES
+        self.archive_documents, self.archive_bytes = ARCHIVE_DOCUMENTS, ARCHIVE_BYTES
         self.files.fs.mkdirs(self.files.at("manifests"))
         if not self.files.names("manifests"):
             empty = {
@@ -229,7 +236,10 @@ class Tenant:
                 fresh = self._frame(paths["deltas"], POSTINGS).join(F.broadcast(newest.select("id", "version")), ["id", "version"], "left_semi")
                 texts[index] = texts[index].join(changed, "id", "left_anti").unionByName(fresh)
         if archived and held["cold"]:
-            df = df.unionByName(self._frame(held["cold"], schema))
+            # every file by its name, so that a lost one is an error; every row against its digest
+            cold = self._frame(held["cold"], schema + ", digest bigint")
+            lost = F.raise_error(F.lit(f"CORRUPTED: an archived document of `{name}` is not what was archived")).cast("boolean")
+            df = df.unionByName(cold.where(F.when(F.col("digest") == digest(), True).otherwise(lost)).drop("digest"))
         return c.Collection(definition, df, m["revision"], texts, archived)
 
     def collections(self, principal: str = "admin") -> list[CollectionDefinition]:
@@ -782,12 +792,16 @@ class Tenant:
                 raise EngineError("FORBIDDEN", f"`{name}` is not an append-only archivable collection")
             new = exact_copy(old)
             df = self._open(old, name).df
-            cold = self._write(df.where(F.col("version") <= cutoff), f"cold/{name}")
+            cold = self._write(df.where(F.col("version") <= cutoff).withColumn("digest", digest()), f"cold/{name}")
+            parts = [f"{cold}/{p}" for p in self.files.names(cold) if p.startswith("part-")]
+            n, size = self._frame(parts, "id string, body string").agg(F.count(F.lit(1)), F.sum(F.octet_length("body") + F.octet_length("id"))).first()
+            if n > self.archive_documents or (size or 0) > self.archive_bytes:
+                self.files.delete(cold)
+                raise EngineError("RESOURCE_EXHAUSTED", f"an archive has at most {self.archive_documents} documents and {self.archive_bytes} bytes")
             hot = self._write(df.where(F.col("version") > cutoff), f"data/{name}")
-            n = self._frame([cold], c.schema_of(CollectionDefinition.from_json(held["definition"]))).count()
             kept = self._frame([hot], c.schema_of(CollectionDefinition.from_json(held["definition"])))
             texts = {i: {"base": [self._write(in_order(p.join(kept.select("id"), "id", "left_semi")), f"texts/{name}")], "deltas": []} for i, p in self._open(old, name).texts.items()}
-            new["collections"][name] |= {"base": [hot], "deltas": [], "cold": [*held["cold"], cold], "texts": texts}
+            new["collections"][name] |= {"base": [hot], "deltas": [], "cold": [*held["cold"], *parts], "texts": texts}
             new["archives"][archive_id] = n
             self._audit(new, principal, "archive", archive_id, old["revision"] + 1)
             self._commit(old, new)

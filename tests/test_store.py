@@ -295,3 +295,28 @@ def test_group_bytes_are_bounded(spark, tenant, monkeypatch):
     monkeypatch.setattr(store.ex, "MAX_GROUP_BYTES", 500)
     with pytest.raises(EngineError, match="RESOURCE_EXHAUSTED"):
         t.query(q)
+
+
+def test_archives_are_bounded_and_verified(spark, tenant):
+    import pyarrow.parquet as pq
+
+    t = tenant
+    revision = t.load("log", spark.range(60).selectExpr("lpad(id, 5, '0') as id", "concat('{\"n\":', id, '}') as body"))
+    t.archive_documents = 59
+    with pytest.raises(EngineError, match="RESOURCE_EXHAUSTED"):
+        t.archive("a", "log", revision)
+    assert t.collection("log").df.count() == 60 and t.files.names("cold/log") == []
+    t.archive_documents = 60
+    assert t.archive("a", "log", revision) == 60
+    assert t.collection("log", archived=True).df.count() == 60 and t.collection("log").df.count() == 0
+    parts = t.manifest()["collections"]["log"]["cold"]
+    part = f"{t.files.root}/{parts[0]}".removeprefix("file://")
+    whole = pq.read_table(part)
+    changed = whole.set_column(whole.schema.get_field_index("body"), "body", [['{"n":0}'] * len(whole)])
+    pq.write_table(changed, part)
+    t.files.delete(f"{parts[0].rsplit('/', 1)[0]}/.{parts[0].rsplit('/', 1)[1]}.crc")
+    with pytest.raises(Exception, match="CORRUPTED"):
+        t.collection("log", archived=True).df.collect()
+    t.files.delete(parts[0])
+    with pytest.raises(Exception, match="(?i)not.*exist|not_found"):
+        t.collection("log", archived=True).df.collect()
