@@ -11,9 +11,12 @@ from .storage import drop, written
 ROUNDS = 4
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stored: bool = False) -> DataFrame:
     """(node, root) for every node of edges (a, b); root is one node of its component.
 
+    Edges that are `stored` are a written table without repeats and with a < b;
+    it is read as it is, and kept.
+
     In each round a node points at its least neighbour if that is less than
     itself, edges are carried over to what their ends point at, and those within
     one node vanish.  The first ROUNDS go by the nodes' own order, which ends
@@ -23,7 +26,7 @@ def components(edges: DataFrame) -> DataFrame:
     hub are a skewed key of a sort-merge join, which adaptive execution splits.
     Rounds are written to the shared folder; edges never reach the driver.
     """
-    left = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    left = edges if stored else written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     chain: DataFrame | None = None
     turn = 0
     while not left.isEmpty():
@@ -47,9 +50,11 @@ def components(edges: DataFrame) -> DataFrame:
             drop(chain)
             drop(points)
             chain = longer
-        drop(left)
+        if left is not edges:
+            drop(left)
         left = after
-    drop(left)
+    if left is not edges:
+        drop(left)
     if chain is None:
         return edges.select(F.col("a").alias("node"), F.col("a").alias("root")).limit(0)
     return chain

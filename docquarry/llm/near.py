@@ -3,7 +3,9 @@
 Words are those of text.py, a shingle is SHINGLE of them (fewer, but not none,
 make one).  The weight of a shingle in a text is its count there times its
 inverse document frequency, 1 up to one document in RARE and falling with the
-logarithm of the frequency to 1 - DAMPING for a shingle of all documents.
+logarithm of the frequency to 1 - DAMPING for a shingle of all documents.  The
+full logarithm (DAMPING = 1) would part real near copies: what large groups of
+copies share weighs less there than their edits do (figures in the README).
 Frequencies are counted over all documents, in 2**BUCKET_BITS hashed counters;
 only those above N / RARE are handed to the executors, and as the frequencies
 add up to N times the mean length there are at most RARE times the mean length
@@ -32,8 +34,9 @@ of what it has verified leaves, never the pairs it has compared.  The price: a
 group of many similar texts that are not duplicates is compared in full, block
 against block.
 
-A bucket, hub or class with many rows is a skewed key of the joins here, which
-are all sort-merge joins that adaptive execution splits; aggregates are partial.
+Joins with the groups and classes of several blocks are salted; a bucket with
+many rows is a skewed key of one more join, a sort-merge join that adaptive
+execution splits; aggregates are partial.
 
 Defined cases: a null text, or one that no other equals or resembles, is a
 class of its own; empty texts equal each other; texts without words are
@@ -55,7 +58,7 @@ from pyspark.sql import functions as F
 
 from .arrow import BLOCK, counter_sum, sliced, small_batches, unpacked
 from .graph import components
-from .storage import written
+from .storage import drop, written
 from .text import mix, shingle_hashes, word_hashes
 
 SHINGLE = 5
@@ -69,6 +72,7 @@ LEAST_ESTIMATE = 0.55
 SKETCH_BLOCK = 1024
 TEXT_BLOCK = 256
 BLOCK_BYTES = 4 << 20
+SALTS = 32
 #: Shingles that are sampled at once.
 CHUNK = 512
 
@@ -272,7 +276,7 @@ def _forest(block, label: np.ndarray, side: np.ndarray) -> Iterator[tuple[int, i
 
 
 def _links(dealt: DataFrame, make: Callable[[list], object]) -> DataFrame:
-    """Links (a, b) of the blocks or pairs of blocks (grp, low, high) with members (side, key, root, data)."""
+    """Links (a, b) between classes, in the blocks or pairs of blocks (grp, low, high) with members (side, key, root, data)."""
     by = ["grp", "low", "high"]
     names = [*by, "side", "key", "root", "data"]
     small_batches(dealt)
@@ -288,7 +292,7 @@ def _links(dealt: DataFrame, make: Callable[[list], object]) -> DataFrame:
         if len(number) < 2:
             return
         for i, j in _forest(make([r[4] for r in rows]), label, side):
-            yield min(rows[i][2], rows[j][2]), max(rows[i][2], rows[j][2])
+            yield min(rows[i][3], rows[j][3]), max(rows[i][3], rows[j][3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -318,7 +322,14 @@ def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
     """The members of groups of several blocks that are still of several classes, with their roots."""
     placed = members.where("blocks > 1").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     mixed = placed.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("grp")
-    return placed.join(mixed, "grp")
+    return _salted(placed, mixed, ["grp"])
+
+
+def _salted(members: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
+    """A join with one row for each group or class, of which few are left but which may have very many members."""
+    salt = F.pmod(F.xxhash64("key", F.lit(7)), F.lit(SALTS)).cast("int")
+    copies = other.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return members.withColumn("salt", salt).join(copies, [*on, "salt"]).drop("salt")
 
 
 def _block(number, *by) -> F.Column:
@@ -333,10 +344,11 @@ def _crossed(placed: DataFrame) -> DataFrame:
     """
     classes = placed.groupBy("grp", "root").agg(F.sum("size").alias("share"))
     few = classes.where("share < 1").groupBy("grp").agg(F.sum("share").alias("few"))
+    classes = classes.join(few, "grp", "left")
     large = F.col("share") >= 1
     own = F.concat(F.hex("root"), F.lit(":"), _block(F.col("share"), "key", F.lit(3)))
     block = F.when(large, own).otherwise(_block(F.greatest(F.coalesce("few", F.lit(1.0)), F.lit(1.0)), "root", F.lit(4)))
-    dealt = placed.join(classes, ["grp", "root"]).join(few, "grp", "left").withColumn("side", block).withColumn("one", F.when(large, F.col("root")))
+    dealt = _salted(placed, classes, ["grp", "root"]).withColumn("side", block).withColumn("one", F.when(large, F.col("root")))
     blocks = dealt.select("grp", "side", "one").distinct()
     left, right = blocks.select("grp", F.col("side").alias("low"), F.col("one").alias("x")), blocks.select("grp", F.col("side").alias("high"), F.col("one").alias("y"))
     pairs = left.join(right, "grp").where("low <= high and not coalesce(x = y, false)").select("grp", "low", "high")
@@ -344,15 +356,14 @@ def _crossed(placed: DataFrame) -> DataFrame:
     return dealt.join(sides, ["grp", "side"])
 
 
-def linked(members: DataFrame, data: DataFrame, make: Callable[[list], object], what: str) -> tuple[DataFrame, DataFrame]:
-    """(node, root) of all members with a link, and the links (a, b) that span the components.
+def linked(members: DataFrame, data: DataFrame, make: Callable[[list], object], what: str) -> DataFrame:
+    """(node, root) of all members with a link.
 
     members: (grp, key, size), 1 being the size of a full block; data: (key,
     data).  A pair of similar members of one group is a link.
     """
     whole = members.groupBy("grp").agg(F.ceil(F.sum("size")).alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = written(members.join(whole, "grp").join(data.hint("merge"), "key"), f"{what}-members")
-    links: DataFrame | None = None
     roots: DataFrame | None = None
     for turn in range(3):
         placed = members.withColumn("root", F.col("key")) if roots is None else _placed(members, roots)
@@ -362,13 +373,21 @@ def linked(members: DataFrame, data: DataFrame, make: Callable[[list], object],
             block = _block(F.col("blocks"), "key", "grp", F.lit(turn))
             dealt = placed.withColumn("low", block).withColumn("high", F.col("low")).withColumn("side", F.col("low"))
         found = written(_links(dealt, make), f"{what}-links")
-        if links is not None and found.isEmpty():
-            continue
-        links = found if links is None else links.unionAll(found)
-        roots = components(links)
-        if not turn and members.where("blocks > 1").isEmpty():
-            break
-    return roots, links
+        if roots is None:
+            roots = components(found, stored=True)
+            if members.where("blocks > 1").isEmpty():
+                break
+        elif not found.isEmpty():
+            roots = written(_joined(roots, components(found, stored=True)), f"{what}-roots")
+    drop(members)
+    return roots
+
+
+def _joined(roots: DataFrame, higher: DataFrame) -> DataFrame:
+    """The classes of `roots`, joined as `higher` joins their roots and members that had no link so far."""
+    up = higher.select(F.col("node").alias("root"), F.col("root").alias("up"))
+    mapped = roots.join(up, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return mapped.unionAll(higher.join(roots.select("node"), "node", "left_anti").select("node", "root"))
 
 
 def _texts(docs: DataFrame, text: str) -> DataFrame:
@@ -385,10 +404,10 @@ def classes(docs: DataFrame, row_id: str = "doc_id", text: str = "text", weights
     made = F.first(F.struct("bytes", "bands", "sketch")).alias("made")
     nodes = written(rows.where("key is not null").groupBy("key").agg(F.min("id").alias("id"), made).select("key", "id", "made.*"), "nodes")
     buckets = nodes.where("bands is not null").select(F.explode("bands").alias("grp"), "key", F.lit(1.0 / SKETCH_BLOCK).alias("size"))
-    families, _ = linked(buckets, nodes.select("key", F.col("sketch").alias("data")), _Sketches, "bucket")
+    families = linked(buckets, nodes.select("key", F.col("sketch").alias("data")), _Sketches, "bucket")
     share = F.greatest(F.lit(1.0 / TEXT_BLOCK), F.col("bytes") / F.lit(float(BLOCK_BYTES)))
     relatives = families.select(F.col("node").alias("key"), F.col("root").alias("grp")).join(nodes.select("key", share.alias("size")), "key")
-    roots, _ = linked(relatives, _texts(docs, text), lambda data: _Texts(data, shared.value), "family")
+    roots = linked(relatives, _texts(docs, text), lambda data: _Texts(data, shared.value), "family")
     placed = nodes.select("key", "id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = placed.groupBy("root").agg(F.min("id").alias("class_id"))
     ids = placed.join(least, "root").select("key", "class_id")
