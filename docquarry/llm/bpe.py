@@ -13,7 +13,10 @@ single numerals, runs of the rest, bytes as symbols, an end mark on the last).
 
 Defined cases: null text is empty text; empty text has no tokens; the strings
 of the special tokens are those tokens wherever they stand; ids that the
-vocabulary lacks decode to nothing.
+vocabulary lacks decode to nothing; equal ranks are merged from the left;
+repeated rows are each encoded; a very long text is cut into words first; an
+empty table gives no rows; columns with the names of results are replaced,
+others stay.
 """
 
 from __future__ import annotations

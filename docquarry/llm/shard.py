@@ -12,7 +12,9 @@ partition; the counts of partition and shard are then added up and joined on.
 No task ever sorts a whole shard.
 
 Defined cases: a null key is the text "null" and comes first; null text has
-size 1; records that share a key share the shard, each with its own slot.
+size 1; records that share a key share the shard, each with its own slot; an
+empty table gives no rows; the length of a text does not matter; digests() gives
+its own columns only.
 """
 
 from __future__ import annotations
