@@ -13,12 +13,16 @@ the window, must hold at least CONTAINMENT of the template's distinct shingles.
 
 A narrow map; what is broadcast is the templates, a parameter.  Defined cases:
 null, empty and short texts have no licenses; templates of fewer than SHINGLE
-words make one shingle of their words; repeated rows are each scanned.
+words make one shingle of their words; of notices of one template that overlap
+the first is kept; repeated rows are each scanned; the time of a very long text
+is in proportion to its length, however many notices it holds; an empty table
+gives no rows; a column named licenses is replaced, others stay.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +54,28 @@ TEMPLATES: dict[str, list[str]] = {
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ],
-    "BSD-3-Clause": [
+    "BSD": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     ],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
+    "LGPL": [
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    ],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+    "CC-BY-SA-4.0": ["This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": [
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
@@ -163,21 +186,26 @@ class Templates:
         for template in sorted({t for t, _ in hits}):
             wanted = set(self.shingles[template])
             m, n = len(self.shingles[template]), len(self.shingles[template][0])
-            # places of the template's shingles near the windows
-            near: set[int] = set()
-            for t, s in hits:
-                if t == template:
-                    near.update(p for p in range(max(0, s - m), min(len(plain) - n + 1, s + 2 * m + 1)) if tuple(plain[p : p + n]) in wanted)
-            at = sorted(near)
-            done = -1
-            for i, first in enumerate(at):
-                if first <= done:
-                    continue
-                held = {tuple(plain[p : p + n]) for p in at[i:] if p < first + m}
-                if len(held) >= CONTAINMENT * len(wanted):
-                    last = max(p for p in at[i:] if p < first + m)
-                    out.append({"license": self.names[template], "start": places[first][0], "end": places[last + n - 1][1], "containment": len(held) / len(wanted)})
-                    done = last
+            # places of the template's shingles near the windows, each looked at once
+            at: list[int] = []
+            seen = 0
+            for s in sorted(s for t, s in hits if t == template):
+                upto = min(len(plain) - n + 1, s + 2 * m + 1)
+                at += [p for p in range(max(seen, s - m), upto) if tuple(plain[p : p + n]) in wanted]
+                seen = max(seen, upto)
+            held: Counter[tuple] = Counter()  # shingles from a place on, less than the template's length behind it
+            done, ahead = -1, 0
+            for first in at:
+                while ahead < len(at) and at[ahead] < first + m:
+                    held[tuple(plain[at[ahead] : at[ahead] + n])] += 1
+                    ahead += 1
+                if first > done and len(held) >= CONTAINMENT * len(wanted):
+                    done = at[ahead - 1]
+                    out.append({"license": self.names[template], "start": places[first][0], "end": places[done + n - 1][1], "containment": len(held) / len(wanted)})
+                own = tuple(plain[first : first + n])
+                held[own] -= 1
+                if not held[own]:
+                    del held[own]
         return sorted(out, key=lambda f: (f["start"], f["end"], f["license"]))
 
 

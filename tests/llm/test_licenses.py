@@ -60,3 +60,11 @@ def test_keys_and_direct_comparison_retrieve_alike(monkeypatch):
     assert not many.few and few.retrieved(words) <= many.retrieved(words)
     assert {t for t, _ in few.retrieved(words)} == {t for t, _ in many.retrieved(words)}
     assert few.scan(text, words) == many.scan(text, words) and len(few.scan(text, words)) == 3
+
+
+def test_long_text_of_repeated_notices(spark):
+    notice = "Released under the MIT License. "
+    text = ("word " * 40 + notice) * 3000
+    found = lic.scan(spark.createDataFrame([(1, text), (2, "released under the " * 30_000)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert len(found[0].licenses) == 3000 and {text[s["start"] : s["end"]] for s in found[0].licenses} == {"Released under the MIT License"}
+    assert found[1].licenses == []
