@@ -9,10 +9,13 @@ the vocabulary; neighbouring unknown characters are one piece.
 
 A text is cut as the tokenizer does: spaces become U+2581, one is put before a
 text that does not begin with it, and every one begins a word.  Words are
-counted once and kept in a bounded cache for the length of a task.
+counted once and kept in a bounded cache for the length of a task; those of more
+than CACHED characters are not kept.  A long word is passed PIECE characters at
+a time, and only the places of one longest piece are carried on.
 
-Defined cases: null and empty texts have no tokens; repeated rows are each
-counted.
+Defined cases: null and empty texts have no tokens; a very long text without a
+space is one word; repeated rows are each counted; an empty table gives no rows;
+a column n_tokens is replaced, others stay.
 """
 
 from __future__ import annotations
@@ -26,6 +29,9 @@ from .arrow import with_columns
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_WORDS = 1 << 18
+CACHED = 64
+#: Characters of a word that are passed at once.
+PIECE = 1 << 12
 
 
 class UnigramCounter:
@@ -37,14 +43,29 @@ class UnigramCounter:
                 self._find.add_word(text, (len(text), score))
         self._find.make_automaton()
         self._empty = len(self._find) == 0
+        self._longest = max((len(t) for t, _ in pieces), default=0)
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.cache: dict[str, int] = {}
         self._older: dict[str, int] = {}
 
     def word(self, word: str) -> int:
-        n = len(word)
-        best, count, unknown = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        at = 0  # places up to here have their best
+        best, count, unknown = [0.0], [0], [False]
+        if len(word) <= PIECE:
+            self._carry(word, best, count, unknown)
+        else:
+            for start in range(0, len(word), PIECE):
+                over = min(start, self._longest)  # no vocabulary piece that ends behind start begins before that
+                best, count, unknown = best[-over - 1 :], count[-over - 1 :], unknown[-over - 1 :]
+                self._carry(word[start - over : start + PIECE], best, count, unknown)
+        return count[-1]
+
+    def _carry(self, word: str, best: list[float], count: list[int], unknown: list[bool]) -> None:
+        """Carry the lists, which hold the first places of a word, on to all of its places."""
+        n, done = len(word), len(best) - 1
+        best += [0.0] * (n - done)
+        count += [0] * (n - done)
+        unknown += [False] * (n - done)
+        at = done  # places up to here have their best
         waiting = -1
 
         def close(end: int, single: bool, known: bool) -> None:
@@ -56,6 +77,8 @@ class UnigramCounter:
         known = single = False
         for last, (size, score) in () if self._empty else self._find.iter(word):
             end = last + 1
+            if end <= done:
+                continue
             if end != waiting:
                 if waiting > 0:
                     close(waiting, single, known)
@@ -73,7 +96,6 @@ class UnigramCounter:
             at = waiting
         for gap in range(at + 1, n + 1):
             close(gap, False, False)
-        return count[n]
 
     def close(self) -> None:
         """Forget the words; the vocabulary stays."""
@@ -88,14 +110,14 @@ class UnigramCounter:
             words = words[1:]
         found = [*map(self.cache.get, words)]
         if None in found:
-            missing = {w for w, f in zip(words, found, strict=True) if f is None}
+            missing = {w for w, f in zip(words, found, strict=True) if f is None and len(w) <= CACHED}
             if len(self.cache) + len(missing) > CACHE_WORDS:
                 self.cache, self._older = {}, self.cache
             for w in missing:
                 n = self._older.get(w)
                 n = self.word(MARK + w) if n is None else n
                 self.cache[w] = n
-            found = [self.cache.get(w, f) for w, f in zip(words, found, strict=True)]
+            found = [self.word(MARK + w) if len(w) > CACHED else self.cache.get(w, f) for w, f in zip(words, found, strict=True)]
         return sum(found)
 
 

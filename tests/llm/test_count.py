@@ -49,3 +49,29 @@ def test_frame(spark):
     n = len(LIB.encode("Hello world", add_special_tokens=False).ids)
     assert sorted(r.n_tokens for r in got.collect()) == [0, 0, n, n]
     assert count.count_tokens(df.limit(0), PIECES).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(alphabet="abc", min_size=8, max_size=60), st.integers(0, 10**6), st.integers(1, 9))
+def test_words_in_pieces(text, seed, piece):
+    rng = random.Random(seed)
+    pieces = [(p, float(rng.choice([-1, -2, -2, -3]))) for p in ["▁", "a", "b", "ab", "ba", "aa", "▁a", "abab", "bb", "aba"] if rng.random() < 0.8] or [("a", -1.0)]
+    counter = count.UnigramCounter(pieces)
+    whole = counter.word("▁" + text)
+    old, count.PIECE = count.PIECE, piece
+    try:
+        assert counter.word("▁" + text) == whole
+    finally:
+        count.PIECE = old
+
+
+def test_very_long_word_needs_no_memory_for_its_places(spark):
+    import tracemalloc
+
+    word = "abcdefgh日" * 200_000
+    tracemalloc.start()
+    n = OWN.count(word)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == len(LIB.encode(word, add_special_tokens=False).ids)
+    assert peak < 16 * len(word) and word not in OWN.cache
