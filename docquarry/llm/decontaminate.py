@@ -9,25 +9,29 @@ group, any length of text.
 
 What is broadcast is bounded: items are divided by hash into blocks of at most
 `index_bytes` of text, measured beforehand.  With more than one block the
-documents pass the blocks one after another, and each pass is written to the
-shared folder so that only one block is in a worker's memory at a time.
+documents are written once and scanned for one block after another, so that only
+one is in a worker's memory at a time; a scan leaves rows for the documents that
+it hits, which are few, and they are joined back by row at the end.
 
 Defined cases: null or empty text has no words and is clean; null item text
 has no windows; a null item id is the string "null"; items that repeat an id
-count once; repeated documents are each judged; without items all is clean.
+count once; repeated documents are each judged; without items all is clean; a
+very long text is hashed in pieces; columns with the names of the results are
+replaced by find(), and all others, or all in decontaminate(), stay.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import with_columns
+from .arrow import sliced, small_batches, with_columns
 from .storage import written
 from .text import FOLD, encoded, shingle_hashes, word_hashes
 
@@ -103,35 +107,71 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str
     """docs with n_words, n_hit, items (ids with a verified window, sorted as strings) and hits (byte spans)."""
     blocks = _blocks(benchmark, item_id, item_text, index_bytes)
     spark = docs.sparkSession
-    for k, block in enumerate(blocks):
-        index = spark.sparkContext.broadcast(WindowIndex([(r["id"], r["text"]) for r in block.collect()], n))
-        first, last = k == 0, k == len(blocks) - 1
-
-        def kernel(found: WindowIndex, rows: list, first=first, last=last) -> dict[str, pa.Array]:
-            texts = [r["text"] for r in rows]
-            n_words, marks, ids, spans, n_hit = [], [], [], [], []
-            for row, hashes in zip(rows, word_hashes(texts), strict=True):
-                hit, items = found.search(row["text"], hashes)
-                if not first:
-                    hit |= np.unpackbits(np.frombuffer(row["marks"], np.uint8), count=len(hit)).astype(bool)
-                    items = sorted({*items, *row["ids"]})
-                n_words.append(len(hashes))
-                n_hit.append(int(hit.sum()))
-                ids.append(items)
-                marks.append(np.packbits(hit).tobytes())
-                spans.append(_spans(row["text"], hit) if last and hit.any() else [])
-            if not last:
-                return {"__marks": pa.array(marks, pa.binary()), "__ids": pa.array(ids, pa.list_(pa.string()))}
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            return {"n_words": pa.array(n_words, pa.int64()), "n_hit": pa.array(n_hit, pa.int64()), "items": pa.array(ids, pa.list_(pa.string())), "hits": pa.array(spans, kind)}
-
-        given = [F.col(f"`{text}`").alias("text")] + ([] if first else [F.col("__marks").alias("marks"), F.col("__ids").alias("ids")])
-        fed = docs.withColumn("__fed", F.struct(*given))
-        docs = with_columns(fed, "__fed", kernel, FOUND if last else "__marks binary, __ids array<string>", lambda index=index: index.value)
-        docs = docs.drop("__fed") if not last else docs.drop("__fed", "__marks", "__ids")
-        if not last:
-            docs = written(docs, "decontaminate")
-    return docs
+    if len(blocks) == 1:
+        index = spark.sparkContext.broadcast(_index(blocks[0], n))
+
+        def kernel(found: WindowIndex, texts: list) -> dict[str, pa.Array]:
+            return _columns([(t, *found.search(t, hashes)) for t, hashes in zip(texts, word_hashes(texts), strict=True)])
+
+        return with_columns(docs, text, kernel, FOUND, lambda: index.value)
+    # several blocks: each pass leaves rows for the documents that it hits only
+    held = written(docs.withColumn("__row", F.monotonically_increasing_id()), "decontaminate")
+    parts = []
+    for block in blocks:
+        index = spark.sparkContext.broadcast(_index(block, n))
+        parts.append(written(_hit(held.select("__row", F.col(f"`{text}`").alias("text")), index), "hits"))
+        index.unpersist()
+    hits = parts[0]
+    for part in parts[1:]:
+        hits = hits.unionAll(part)
+    marks = hits.groupBy("__row").agg(F.collect_list("marks").alias("marks"), F.flatten(F.collect_list("items")).alias("items"))
+    fed = held.join(marks, "__row", "left").withColumn("__fed", F.struct(F.col(f"`{text}`").alias("text"), "marks", "items")).drop("__row", "marks", "items")
+
+    def merge(rows: list) -> dict[str, pa.Array]:
+        made = []
+        for row, hashes in zip(rows, word_hashes([r["text"] for r in rows]), strict=True):
+            hit = np.zeros(len(hashes), bool)
+            for m in row["marks"] or []:
+                hit |= np.unpackbits(np.frombuffer(m, np.uint8), count=len(hit)).astype(bool)
+            made.append((row["text"], hit, sorted({*(row["items"] or [])})))
+        return _columns(made)
+
+    return with_columns(fed, "__fed", merge, FOUND).drop("__fed")
+
+
+def _index(block: DataFrame, n: int) -> WindowIndex:
+    return WindowIndex([(r["id"], r["text"]) for r in block.collect()], n)
+
+
+def _hit(texts: DataFrame, index) -> DataFrame:
+    """(__row, marks, items) of the texts with a verified window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: WindowIndex = index.value
+        for batch in sliced(batches):
+            rows, marks, items = [], [], []
+            given = batch.column("text").to_pylist()
+            for row, t, hashes in zip(batch.column("__row").to_pylist(), given, word_hashes(given), strict=True):
+                hit, own = found.search(t, hashes)
+                if own:
+                    rows.append(row)
+                    marks.append(np.packbits(hit).tobytes())
+                    items.append(own)
+            yield pa.RecordBatch.from_pydict({"__row": pa.array(rows, pa.int64()), "marks": pa.array(marks, pa.binary()), "items": pa.array(items, pa.list_(pa.string()))})
+
+    small_batches(texts)
+    return texts.mapInArrow(run, "__row bigint, marks binary, items array<string>")
+
+
+def _columns(found: list[tuple[str | None, np.ndarray, list[str]]]) -> dict[str, pa.Array]:
+    """Of each text, which words are hit and by which items."""
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    return {
+        "n_words": pa.array([len(hit) for _, hit, _ in found], pa.int64()),
+        "n_hit": pa.array([int(hit.sum()) for _, hit, _ in found], pa.int64()),
+        "items": pa.array([items for _, _, items in found], pa.list_(pa.string())),
+        "hits": pa.array([_spans(t, hit) if hit.any() else [] for t, hit, _ in found], kind),
+    }
 
 
 def _spans(text: str, hit: np.ndarray) -> list[dict[str, int]]:
