@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrow import batch_rows, counter_sum, gathered, sliced, small_batches
-from .storage import written
+from .storage import drop, written
 from .text import FOLD, encoded
 
 CORE = 2032
@@ -252,6 +252,7 @@ def _counted(docs: DataFrame, text: str) -> Model:
     frequent = F.col("c") * LEAST_SHARE >= int(totals["n"] or 0)
     top = counts.where(~is_end & frequent).orderBy(F.desc("c"), "word").limit(TOP).collect()
     ends = counts.where(is_end).first()
+    drop(counts)
     place = {r["word"].encode(): i for i, r in enumerate(top)}
     place[END] = len(top)
     c = np.array([*[r["c"] for r in top], ends["c"] if ends else 0], np.int64)
@@ -485,4 +486,6 @@ def digests(docs: DataFrame) -> DataFrame:
     opened = _opened(docs, counted.place, "text", ["doc_id", "held_out"])
     model, words = _learned(opened.where("not doc.held_out"), counted)
     coded = _coded(opened, model, words)
+    drop(opened)
+    drop(words)
     return _scored(coded, _with_transitions(model, coded.where("not doc.held_out")))
